@@ -31,6 +31,12 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark)}/{tag}-{uuid.uuid4().hex}"
 
 
+def few(df: DataFrame, rows: int) -> DataFrame:
+    """df in no more partitions than its narrow rows need: two for each core of the cluster, or one for each two million."""
+    n = max(2 * df.sparkSession.sparkContext.defaultParallelism, rows // 2_000_000 + 1)
+    return df.coalesce(n)
+
+
 def cut(df: DataFrame, tag: str) -> DataFrame:
     """df, written to the shared folder and read again: later steps neither recompute it nor depend on a live executor."""
     path = fresh_path(df.sparkSession, tag)

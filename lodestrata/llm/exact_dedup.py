@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, fresh_path, text_of
+from .common import SPACE, few, fresh_path, text_of
 
 BUCKET_CAPACITY = 65_536
 MAX_DEPTH = 12
@@ -72,7 +72,7 @@ def build_index(docs: DataFrame, key: Column | None = None, capacity: int = BUCK
         }
     )
     staged = fresh_path(spark, "exact-keys")
-    flat.write.parquet(staged)
+    few(flat, docs.count()).write.parquet(staged)
     flat = spark.read.parquet(staged)
     directory = directory_of(flat, capacity, max_depth)
     placed = fresh_path(spark, "exact-directory")
