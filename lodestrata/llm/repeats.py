@@ -7,12 +7,13 @@ window can only repeat where its anchor does. Anchors meet by their hash:
 
 1. Anchors whose whole surroundings (every window that can hold them) are hashed alike form a class; all but the
    smallest document of a class are covered there.
-2. Of classes that share an anchor, the surroundings are fetched and the suffixes that begin at each window are sorted,
-   in a merge sort whose comparisons find the longest common extension by binary search over prefix hashes. Neighbours
-   that agree on WINDOW bytes are compared byte by byte; should a hash have been wrong, those suffixes are sorted again by
-   their bytes. In each run of equal windows, all but the smallest document are covered.
+2. Of classes that share an anchor, the surroundings are fetched and what follows each anchor, and what precedes it, read
+   backwards, is sorted as suffixes are: in a merge sort whose comparisons find the longest common extension by binary
+   search over prefix hashes. Neighbours are compared byte by byte; should a hash have been wrong, those suffixes are sorted
+   again by their bytes. Windows are equal if both their parts are; in each class of equal windows, all but the smallest
+   document are covered.
 
-Sorting is by anchor and offset: suffixes that can be equal, and no others, meet. Groups are streamed; an anchor with more
+Suffixes are sorted within the group of an anchor: those that can be equal, and no others, meet. Groups are streamed; an anchor with more
 classes than a task should hold is resolved by grouping its windows' bytes in Spark instead.
 """
 
@@ -138,10 +139,12 @@ class ClassStream:
 
 
 def sort_suffixes(data: np.ndarray, sums: np.ndarray, prefixes: Prefixes, start: np.ndarray, segment: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
-    """The order of suffixes within each segment by their first length bytes, and whether each equals the one before it.
+    """The order of suffixes within each segment by their first length bytes, and how many bytes each shares with the one before
+    it (0 for the first of a segment).
 
-    start: of suffixes, grouped by segment. A merge sort of all segments at once: in each round, each element finds its place
-    in the run that its own run is merged with, by binary search."""
+    start: of suffixes, grouped by segment; data has length bytes after each. A merge sort of all segments at once: in each
+    round, each element finds its place in the run that its own run is merged with, by binary search. Neighbours are then
+    compared byte by byte; a segment that a wrong hash has put out of order is sorted again by its bytes."""
     n = len(start)
     order = np.arange(n)
     begin = np.flatnonzero(np.r_[True, segment[1:] != segment[:-1]]) if n else np.zeros(0, np.int64)
@@ -169,24 +172,28 @@ def sort_suffixes(data: np.ndarray, sums: np.ndarray, prefixes: Prefixes, start:
         moved[first + pair + own + (lo - low)] = order
         order = moved
         width *= 2
-    same = np.zeros(n, bool)
-    if n:
-        inner = np.flatnonzero(rank > 0)
-        x, y = start[order[inner - 1]], start[order[inner]]
-        equal = common(data, sums, prefixes, x, y, length) >= length
-        claimed = inner[equal]
-        span = np.arange(length)
-        for at in range(0, len(claimed), 65_536):  # the bytes themselves
-            part = claimed[at : at + 65_536]
-            ok = (data[start[order[part - 1]][:, None] + span] == data[start[order[part]][:, None] + span]).all(1)
-            same[part] = ok
-            for s in np.unique(segment[order[part[~ok]]]):  # a hash was wrong
-                rows = np.flatnonzero(segment == s)
-                text = [data[p : p + length].tobytes() for p in start[rows]]
-                by = sorted(range(len(rows)), key=text.__getitem__)
-                order[rows] = rows[by]
-                same[rows] = [False, *(text[i] == text[j] for i, j in zip(by, by[1:], strict=False))]
-    return order, same
+    shared = np.zeros(n, np.int64)
+    inner = np.flatnonzero(rank > 0)
+    shared[inner], ordered = bytes_shared(data, start[order[inner - 1]], start[order[inner]], length)
+    for s in np.unique(segment[inner[~ordered]]):  # a hash was wrong
+        rows = np.flatnonzero(segment == s)
+        by = sorted(rows.tolist(), key=lambda i: data[start[i] : start[i] + length].tobytes())
+        order[rows] = by
+        shared[rows[1:]] = bytes_shared(data, start[order[rows[:-1]]], start[order[rows[1:]]], length)[0]
+    return order, shared
+
+
+def bytes_shared(data: np.ndarray, x: np.ndarray, y: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """How many of length bytes at x and y agree before the first that does not, and whether x comes before y or equals it."""
+    span, shared, ordered = np.arange(length), np.empty(len(x), np.int64), np.empty(len(x), bool)
+    for at in range(0, len(x), 16_384):
+        part = slice(at, at + 16_384)
+        differ = data[x[part][:, None] + span] != data[y[part][:, None] + span]
+        some = differ.any(1)
+        shared[part] = np.where(some, differ.argmax(1), length)
+        k = np.minimum(shared[part], length - 1)
+        ordered[part] = ~some | (data[x[part] + k] < data[y[part] + k])
+    return shared, ordered
 
 
 def common(data: np.ndarray, sums: np.ndarray, prefixes: Prefixes, x: np.ndarray, y: np.ndarray, length: int) -> np.ndarray:
@@ -209,28 +216,39 @@ def compare(data: np.ndarray, sums: np.ndarray, prefixes: Prefixes, x: np.ndarra
 def covered_in_groups(anchor: np.ndarray, doc: np.ndarray, where: np.ndarray, left: np.ndarray, around: list[bytes], prefixes: Prefixes, window: int = WINDOW, width: int = ANCHOR):
     """doc, begin, end, anchor's place of what equal windows in smaller documents cover. Rows are whole groups of an anchor; around: the bytes
     near it, of which left come before it."""
-    data = np.frombuffer(b"".join(around), np.uint8)
+    reach, wide = window - width, window - width + 1
+    pad = bytes(window)
+    data = np.frombuffer(b"".join([pad, *around, pad]), np.uint8)
     sizes = np.array([len(x) for x in around])
-    place = np.r_[0, sizes.cumsum()[:-1]] + left
+    place = window + np.r_[0, sizes.cumsum()[:-1]] + left
     right = sizes - left
     group = np.cumsum(np.r_[True, anchor[1:] != anchor[:-1]])
-    sums = prefixes.of(data)
-    wide = window - width + 1
-    row = np.repeat(np.arange(len(anchor)), wide)
-    offset = np.tile(np.arange(wide), len(anchor))
-    fits = (offset <= left[row]) & (window - offset <= right[row])
-    row, offset = row[fits], offset[fits]
-    segment = group[row] * wide + offset
-    by = np.argsort(segment, kind="stable")
-    row, offset, segment = row[by], offset[by], segment[by]
-    if not len(row):
-        return tuple(np.zeros(0, np.int64) for _ in range(4))
-    order, same = sort_suffixes(data, sums, prefixes, place[row] - offset, segment, window)
-    row, offset = row[order], offset[order]
-    runs = np.flatnonzero(~same)
-    least = np.repeat(np.minimum.reduceat(doc[row], runs), np.diff(np.r_[runs, len(row)]))
-    hit = doc[row] > least
-    row, begin = row[hit], where[row[hit]] - offset[hit]
+    # From an anchor, windows reach so many bytes to its left and the rest to its right. Both sides are sorted once, with what
+    # neighbours share; for each number of bytes, that tells which sides are equal. (Where a text ends, bytes of another one
+    # follow here: they do not count, as windows that reach beyond the text are left out.)
+    after, after_shared = sort_suffixes(data, prefixes.of(data), prefixes, place, group, window)
+    mirrored = np.ascontiguousarray(data[::-1])
+    ahead, ahead_shared = sort_suffixes(mirrored, prefixes.of(mirrored), prefixes, len(data) - place, group, reach) if reach else (after, np.zeros(len(place), np.int64))
+    heads = np.r_[True, group[1:] != group[:-1]]
+    n = len(place)
+    right_class, left_class = np.empty(n, np.int64), np.empty(n, np.int64)
+    found_row, found_offset = [], []
+    for offset in range(wide):
+        right_class[after] = np.cumsum(heads | (after_shared < window - offset))
+        left_class[ahead] = np.cumsum(heads | (ahead_shared < offset))
+        rows = np.flatnonzero((offset <= left) & (window - offset <= right))
+        if not len(rows):
+            continue
+        key = right_class[rows] * (n + 1) + left_class[rows]
+        by = np.argsort(key, kind="stable")
+        rows, key = rows[by], key[by]
+        runs = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
+        least = np.repeat(np.minimum.reduceat(doc[rows], runs), np.diff(np.r_[runs, len(rows)]))
+        hit = rows[doc[rows] > least]
+        found_row.append(hit)
+        found_offset.append(np.full(len(hit), offset))
+    row = np.concatenate(found_row) if found_row else np.zeros(0, np.int64)
+    begin = where[row] - (np.concatenate(found_offset) if found_row else row)
     # The windows of an anchor overlap, so what they cover is one span.
     by = np.argsort(row, kind="stable")
     row, begin = row[by], begin[by]

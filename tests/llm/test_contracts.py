@@ -247,10 +247,11 @@ def test_suffix_sort_with_colliding_hashes():
     data = np.frombuffer(bytes(rng.choice(b"ab") for _ in range(600)), np.uint8)
     weak = Weak()
     start = np.arange(0, 500, 5)
-    order, same = repeats.sort_suffixes(data, weak.of(data), weak, start, np.zeros(len(start), np.int64), 8)
+    order, shared = repeats.sort_suffixes(data, weak.of(data), weak, start, np.zeros(len(start), np.int64), 8)
     texts = [data[start[i] : start[i] + 8].tobytes() for i in order]
+    assert texts == sorted(texts)
     for i in range(1, len(texts)):
-        assert not same[i] or texts[i] == texts[i - 1]
+        assert shared[i] == next((k for k in range(8) if texts[i][k] != texts[i - 1][k]), 8)
 
 
 def check_packing(rows, ids_of, capacity):
