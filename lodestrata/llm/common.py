@@ -44,6 +44,13 @@ def cut(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_texts(df: DataFrame, function, schema) -> DataFrame:
+    """df.mapInArrow(function, schema) in batches of a few megabytes: the texts of a batch are in memory several times, in the
+    JVM, as Arrow buffers and as Python strings. Lowers the session's limit of a batch, which changes no result."""
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
+    return df.mapInArrow(function, schema)
+
+
 def text_of(docs: DataFrame, name: str = "text") -> Column:
     """The text, null as empty."""
     return F.coalesce(docs[name], F.lit(""))

@@ -17,6 +17,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import map_texts
+
 #: Bounds of what is learned from. Nothing that is predicted is bounded.
 FIT_ROWS = 4_000
 FIT_CHARS = 2_000
@@ -206,7 +208,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
             langs, sure, rejected = predict(b.column(1).to_pylist(), model)
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(langs, pa.string()), pa.array(sure, pa.float64()), pa.array(rejected, pa.bool_())], names=["doc_id", "lang_pred", "score", "rejected"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
+    return map_texts(docs.select("doc_id", "text"), run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, lang_pred string, score double, rejected boolean")
 
 
 def languages(docs: DataFrame, rows: int = FIT_ROWS) -> DataFrame:

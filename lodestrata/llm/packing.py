@@ -18,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_texts
 
 CAPACITY = 2048
 GROUP_PIECES = 40_000
 END_ID = 0
-CACHED_WORDS = 400_000
+CACHED_WORDS = 300_000
 
 # In texts of these characters alone, splitting into the tokenizer's words needs no normalisation but lower case, and
 # the pattern of the tokenizer means the same in the re module. Other texts go through the tokenizer whole.
@@ -91,7 +91,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
+    rows = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
+    return map_texts(rows, encode, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 
 def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.ndarray, np.ndarray]:
