@@ -21,6 +21,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, StringType, StructType
 
+from .common import map_texts
+
 #: Bounds of what is learned from: labelled rows, and entries of the lexicon. Nothing that is scored is bounded.
 FIT_ROWS = 6_000
 LEXICON = 512
@@ -31,7 +33,7 @@ MIN_FOUND, MIN_SHARE, MIN_ODDS = 3, 0.01, 12.0
 #: Entries of at least so many letters and this weight match at one edit.
 FUZZY, FUZZY_WEIGHT = 5, 4.2
 WINDOW = 6
-CACHED_WORDS = 300_000
+CACHED_WORDS = 150_000
 FOLDS, HELD_OUT = 5, 0
 
 #: Words near which a term is reported rather than used.
@@ -288,7 +290,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
 
     rows = docs.select(docs["text"].alias("_text"), *[docs[c] for c in names if c not in ("score", "hits")])
     schema = rows.drop("_text").schema.add("score", "double").add("hits", _HITS)
-    return rows.mapInArrow(run, schema)
+    return map_texts(rows, run, schema)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
