@@ -22,6 +22,7 @@ TARGET_BYTES = 128 << 20
 FANOUT = 4
 MIN_RUNS = 4
 SMALLEST = 1 << 16
+CODEC = "zstd"
 
 
 class Conflict(RuntimeError):
@@ -98,7 +99,7 @@ class ShardTable:
         at = F.monotonically_increasing_id()  # the task in the upper bits, the row within it in the lower 33
         run = F.shiftright(at, 33) * (1 << 22) + F.floor(at.bitwiseAND((1 << 33) - 1) / arrival_rows)
         sized = rows.withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumn("shard", (run + first).cast("long"))
-        sized.write.partitionBy("shard").parquet(f"{self.root}/data/{generation}")
+        sized.write.partitionBy("shard").option("compression", CODEC).parquet(f"{self.root}/data/{generation}")
         return self.commit(live.unionByName(self._described(generation)) if not rows.isEmpty() else live, base)
 
     def compact(self, target: int = TARGET_BYTES, min_runs: int = MIN_RUNS) -> int:
@@ -112,10 +113,10 @@ class ShardTable:
             first = live.agg(F.max("shard")).first()[0] + 1
             generation = f"merge-{uuid.uuid4().hex}"
             plan = plan.withColumn("into", (F.col("merge") + first).cast("long"))
-            rows = self.rows(base).join(plan.select("shard", "into"), "shard")
+            rows = self.rows(base).join(plan.select("shard", "into", "merge"), "shard")
             files = plan.agg(F.max("merge")).first()[0] + 1
-            rows = rows.withColumn("shard", F.col("into")).drop("into").repartition(files, "shard").sortWithinPartitions("shard")
-            rows.write.partitionBy("shard").parquet(f"{self.root}/data/{generation}")
+            rows = rows.withColumn("shard", F.col("into")).drop("into").repartitionById(files, F.col("merge").cast("int")).drop("merge")
+            rows.write.partitionBy("shard").option("compression", CODEC).parquet(f"{self.root}/data/{generation}")
             self.commit(live.join(plan.select("shard"), "shard", "left_anti").select("shard", "generation", "tier", "n_rows", "n_bytes").unionByName(self._described(generation)), base)
 
     def vacuum(self) -> int:
