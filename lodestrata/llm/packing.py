@@ -23,7 +23,8 @@ from .common import cut, map_texts
 CAPACITY = 2048
 GROUP_PIECES = 40_000
 END_ID = 0
-CACHED_WORDS = 300_000
+#: Longer words go through the tokenizer itself, whose time does not grow with the square of a word.
+LONG_WORD = 1_000
 
 # In texts of these characters alone, splitting into the tokenizer's words needs no normalisation but lower case, and
 # the pattern of the tokenizer means the same in the re module. Other texts go through the tokenizer whole.
@@ -31,40 +32,50 @@ _OTHER = re.compile("[^\x20-\x7e\t\n\r\xc0-\xd6\xd8-\xf6\xf8-\xff]")
 _WORDS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\xdf-\xf6\xf8-\xff]+|[0-9]|[^\\sa-z0-9\xdf-\xf6\xf8-\xff]+")
 
 
+def _byte_of() -> dict[str, int]:
+    """Byte-level vocabularies write each byte as a printable character: printable bytes as themselves, others from 256 on."""
+    own = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    other = [b for b in range(256) if b not in own]
+    return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(other)}
+
+
 class Encoder:
-    """The ids of a text as bytes, little-endian unsigned 32-bit. Words are encoded once while they are in the cache."""
+    """The ids of a text as bytes, little-endian unsigned 32-bit.
+
+    Words are merged by a second encoder of the same vocabulary, without normalisation, patterns and offsets: it reads words
+    that a zero byte ends, and the tokens that end a word end with that byte."""
 
     def __init__(self, path: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        import tiktoken
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.cache: dict[str, bytes] = {}
-        vocabulary = self.tokenizer.get_vocab()
-        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)  # of ids that end a word
-        self.ends[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
+        vocabulary, byte_of, last = self.tokenizer.get_vocab(), _byte_of(), "</w>"
+        ranks = {bytes([b]): b for b in range(256)}
+        self.ids = np.zeros(256 + max(vocabulary.values()) + 1, "<u4")
+        for token, i in sorted(vocabulary.items(), key=lambda x: x[1]):
+            if not token.startswith("<|"):
+                data = bytes(byte_of[c] for c in token.removesuffix(last)) + b"\0" * token.endswith(last)
+                ranks.setdefault(data, 256 + i)
+                self.ids[ranks[data]] = i
+        self.merger = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
 
     def whole(self, text: str) -> bytes:
         ids = self.tokenizer.encode(text, add_special_tokens=False).ids
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def batch(self, texts: list[str]) -> Iterator[bytes]:
-        plain = [None if _OTHER.search(t) or "<|" in t else _WORDS.findall(t.lower()) for t in texts]
-        words = set().union(*(w for w in plain if w))
-        if len(self.cache) + len(words) > CACHED_WORDS:
-            self.cache.clear()
-        if new := list(words - self.cache.keys()):
-            ids = np.array(self.tokenizer.encode(" ".join(new), add_special_tokens=False).ids, "<u4")
-            after = 4 * (np.flatnonzero(self.ends[ids]) + 1)
-            flat, at = ids.tobytes(), 0
-            for w, to in zip(new, after.tolist(), strict=True):
-                self.cache[w] = flat[at:to]
-                at = to
-        get = self.cache.__getitem__
-        for text, words in zip(texts, plain, strict=True):
-            yield self.whole(text) if words is None else b"".join(map(get, words))
+    def __call__(self, text: str) -> bytes:
+        if _OTHER.search(text) or "<|" in text:
+            return self.whole(text)
+        words = _WORDS.findall(text.lower())
+        if not words:
+            return b""
+        if max(map(len, words)) > LONG_WORD:
+            return self.whole(text)
+        return self.ids[self.merger.encode_to_numpy("\0".join(words) + "\0", disallowed_special=())].tobytes()
 
 
 def cut_pieces(ids: bytes, capacity: int = CAPACITY) -> Iterator[tuple[int, int, int]]:
@@ -84,9 +95,8 @@ def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_i
             for at in range(0, b.num_rows, 256):
                 part = b.slice(at, 256)
                 doc, out = part.column(0).to_pylist(), []
-                texts = [t or "" for t in part.column(1).to_pylist()]
-                for i, ids in zip(doc, encoder.batch(texts), strict=True):
-                    out += [(i, k, *p) for k, p in enumerate(cut_pieces(ids + end, capacity))]
+                for i, text in zip(doc, part.column(1).to_pylist(), strict=True):
+                    out += [(i, k, *p) for k, p in enumerate(cut_pieces(encoder(text or "") + end, capacity))]
                 cols = list(zip(*out, strict=True))
                 kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64())
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["doc_id", "piece", "start", "length", "ids_crc32"])
