@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci
+from ..plans.shared import cut
 
 #: Names that suggest a critical path, and namespaces of test frameworks.
 CRITICAL = (
@@ -20,14 +21,12 @@ MAX_DEPTH = 10
 def reach(edges: DataFrame, start: DataFrame, depth: int) -> DataFrame:
     """node, depth: the nodes that edges(src, dst) lead to from start(node), each at its least depth.
 
-    A level joins the frontier with the edges and drops what is known. Levels are written where the session names a
-    checkpoint folder, so that the plan of a level does not hold all before it."""
-    durable = edges.sparkSession.sparkContext.getCheckpointDir() is not None
+    A level joins the frontier with the edges and drops what is known. Levels are written to the shared folder, so that the plan
+    of a level does not hold all before it and a lost executor costs no level."""
     found = frontier = start.select("node").distinct().withColumn("depth", F.lit(0))
     for d in range(1, min(depth, MAX_DEPTH) + 1):
         ahead = edges.join(frontier.select(F.col("node").alias("src")), "src").select(F.col("dst").alias("node")).distinct()
-        frontier = ahead.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(d))
-        frontier = frontier.checkpoint() if durable else frontier.persist()
+        frontier = cut(ahead.join(found.select("node"), "node", "left_anti").withColumn("depth", F.lit(d)), "level")
         if frontier.isEmpty():
             break
         found = found.unionByName(frontier)
@@ -60,7 +59,7 @@ def blast_radius(call_sites: DataFrame, members: DataFrame, files: DataFrame, sy
         )
         level = callers.unionByName(overrides).withColumn("key", F.lower("name")).join(visited, "key", "left_anti")
         level = level.withColumn("_k", F.row_number().over(W.partitionBy("key").orderBy("at", "late", "ord"))).filter("_k = 1").drop("_k")
-        level = level.withColumn("depth", F.lit(d)).persist()
+        level = cut(level.withColumn("depth", F.lit(d)), "level")
         if level.isEmpty():
             break
         out = level if out is None else out.unionByName(level)

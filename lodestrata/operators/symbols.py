@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.shared import cut
 from ..tables import Corpus
 
 
@@ -80,7 +81,7 @@ def implementations(types: DataFrame, name: str, include_abstract: bool = False,
         up = level.select(F.col("name_lc").alias("b"), "chain")
         level = types.join(up, F.lower("base_type") == F.col("b")).filter(~F.array_contains("chain", F.col("name")))
         level = level.select("type_ord", "name", "name_lc", "is_abstract", F.concat(F.array("name"), "chain").alias("chain"))
-        level = level.join(found.select("type_ord"), "type_ord", "left_anti")
+        level = cut(level.join(found.select("type_ord"), "type_ord", "left_anti"), "level")
         if level.isEmpty():
             break
         found = found.unionByName(level)
