@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_texts
 from .hashing import Prefixes, mix
 
 WINDOW, ANCHOR = 50, 20
@@ -300,7 +300,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                     w = w + np.array(high, np.int64)[d]
                     yield pa.RecordBatch.from_arrays([pa.array(x) for x in (a, c, doc[d], w)], names=["anchor", "around", "doc", "place"])
 
-    chosen = docs.select("doc", "part", "text").mapInArrow(choose, "anchor long, around long, doc long, place long")
+    chosen = map_texts(docs.select("doc", "part", "text"), choose, "anchor long, around long, doc long, place long")
     met = chosen.repartition("anchor").sortWithinPartitions("anchor", "around", "doc", "place")
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -330,7 +330,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
                 cols = [found.field("anchor"), pa.array([b.column(0)[i].as_py()] * len(at), pa.int64()), pa.array([b.column(1)[i].as_py()] * len(at), pa.int64()), pa.array(at), pa.array(at - low), pa.array(near, pa.binary())]
                 yield pa.RecordBatch.from_arrays(cols, names=names)
 
-    near = docs.join(per_doc, ["doc", "part"]).select("doc", "part", "text", "a").mapInArrow(fetch, "anchor long, doc long, part long, place long, before long, around binary")
+    near = map_texts(docs.join(per_doc, ["doc", "part"]).select("doc", "part", "text", "a"), fetch, "anchor long, doc long, part long, place long, before long, around binary")
     crowded = cut(opened.groupBy("anchor").count().filter(F.col("count") > hot).select("anchor"), "crowded")
     some = not crowded.isEmpty()
     if some:
@@ -402,5 +402,5 @@ def without_repeats(docs: DataFrame, window: int = WINDOW, anchor: int = ANCHOR,
             names = ["doc", "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept"]
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), kinds, strict=True)], names=names) if out else pa.RecordBatch.from_arrays([pa.array([], k) for k in kinds], names=names)
 
-    out = joined.mapInArrow(remove, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:bigint,end:bigint>>, kept binary")
+    out = map_texts(joined, remove, "doc long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, spans array<struct<begin:bigint,end:bigint>>, kept binary")
     return out.select(F.when(F.col("doc") != -(1 << 63), F.col("doc")).alias("doc_id"), "n_bytes", "n_removed", "n_spans", "kept_sha256", "spans", "kept")
