@@ -93,3 +93,51 @@ SELECT doc_id, min(doc_id) OVER (PARTITION BY t) AS keep_id, count(*) OVER (PART
        doc_id = min(doc_id) OVER (PARTITION BY t) AS kept, sha256(t) AS text_sha256
 FROM n""",
 }
+
+
+def _licenses_sql() -> str:
+    """The templates as rows, then lines and paragraphs, their bigrams, and the coefficient."""
+    quote = lambda x: "'" + x.replace("'", "''") + "'"
+    rows = [(name, k, gram) for name, bodies in sorted(licenses.TEMPLATES.items()) for k, body in enumerate(bodies) for gram in licenses.bigrams(body)]
+    values = ", ".join(f"({quote(n)}, {k}, {quote(g)})" for n, k, g in rows)
+    return rf"""
+WITH t(license, k, gram) AS (VALUES {values}), m AS (SELECT license, k, count(*) AS n FROM t GROUP BY 1, 2),
+u AS (SELECT DISTINCT doc_id, unit FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents
+  UNION ALL SELECT doc_id, unnest(string_split_regex(text, '
+[ 	
+]*
+')) FROM documents)),
+w AS (SELECT doc_id, unit, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS p FROM u),
+i AS (SELECT doc_id, unit, p, unnest(range(1, len(p))) AS j FROM w),
+g AS (SELECT DISTINCT doc_id, unit, p[j] || ' ' || p[j + 1] AS gram FROM i), s AS (SELECT doc_id, unit, count(*) AS n FROM g GROUP BY 1, 2),
+c AS (SELECT g.doc_id, g.unit, t.license, t.k, count(*) AS both FROM g JOIN t ON g.gram = t.gram GROUP BY 1, 2, 3, 4),
+d AS (SELECT c.doc_id, c.unit, c.license, 2.0::DOUBLE * c.both / (s.n + m.n) AS dice FROM c JOIN s ON c.doc_id = s.doc_id AND c.unit = s.unit JOIN m ON c.license = m.license AND c.k = m.k),
+h AS (SELECT doc_id, unit, license, dice FROM d WHERE dice >= 0.8),
+b AS (SELECT doc_id, license, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) AS r FROM h),
+n AS (SELECT doc_id, count(DISTINCT unit) AS n FROM h GROUP BY 1)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_notices, b.license, b.dice
+FROM documents LEFT JOIN n ON documents.doc_id = n.doc_id LEFT JOIN b ON documents.doc_id = b.doc_id AND b.r = 1"""
+
+
+ORACLE_SQL["op9_licenses"] = _licenses_sql()
+ORACLE_SQL["op1_ngram_jaccard"] = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS p FROM documents
+), i AS (SELECT doc_id, p, unnest(range(1, greatest(len(p) - 3, 1) + 1)) AS j FROM w WHERE len(p) > 0),
+s AS (SELECT DISTINCT doc_id, array_to_string(p[j:j + 3], ' ') AS g FROM i),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+x AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS both FROM s a JOIN s b ON a.g = b.g WHERE a.doc_id <> b.doc_id GROUP BY 1, 2),
+e AS (SELECT x.a, x.b FROM x JOIN n p ON x.a = p.doc_id JOIN n q ON x.b = q.doc_id WHERE 100 * x.both >= 85 * (p.n + q.n - x.both)),
+r AS (SELECT doc_id AS node, doc_id AS reach FROM documents UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach)
+SELECT r.node AS doc_id, coalesce(max(n.n), 0) AS n_shingles, min(r.reach) AS component_id FROM r LEFT JOIN n ON r.node = n.doc_id GROUP BY r.node"""
+
+ORACLE_SQL["op2_ego_join"] = """
+WITH RECURSIVE u AS (
+  SELECT vec_id, label, unnest(range(1, len(embedding) + 1)) AS i, unnest(embedding) AS x FROM embeddings WHERE label IS NOT NULL AND embedding IS NOT NULL
+), v AS (SELECT vec_id, label, i, CAST(x AS DOUBLE) AS x FROM u),
+q AS (SELECT vec_id, sqrt(sum(x * x)) AS norm FROM v GROUP BY vec_id),
+d AS (SELECT a.vec_id AS a, b.vec_id AS b, sum(a.x * b.x) AS dot FROM v a JOIN v b ON a.label = b.label AND a.i = b.i WHERE a.vec_id <> b.vec_id GROUP BY 1, 2),
+e AS (SELECT d.a, d.b FROM d JOIN q p ON d.a = p.vec_id JOIN q t ON d.b = t.vec_id WHERE p.norm > 0 AND t.norm > 0 AND d.dot / (p.norm * t.norm) >= 0.98),
+r AS (SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach),
+c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node), k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
+SELECT c.node AS vec_id, coalesce(k.n, 0) AS n_links, c.component_id, c.node = c.component_id AS kept FROM c LEFT JOIN k ON c.node = k.a"""
