@@ -189,7 +189,7 @@ def blast_radius_score(spark, d):
 
 @query()
 def blast_radius(spark, d):
-    files = A.read(spark, d, "orders").filter("o_orderkey % 10 <> 0").select(F.col("o_orderkey").cast("string").alias("file_path"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("relative_path"), (F.col("o_orderkey") % 7 == 0).alias("is_test"))
+    files = A.read(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("file_path"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("relative_path"), (F.col("o_orderpriority") == "1-URGENT").alias("is_test"))
     members = A.part_members(spark, d).withColumn("file_path", F.col("member_ord").cast("string"))
     return impact.blast_radius(A.part_call_sites(spark, d), members, files, "m1", 2)
 
