@@ -7,7 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci
-from ..plans.shared import cut
+from ..plans.shared import cut, numbered
 
 #: Names that suggest a critical path, and namespaces of test frameworks.
 CRITICAL = (
@@ -66,7 +66,7 @@ def blast_radius(call_sites: DataFrame, members: DataFrame, files: DataFrame, sy
         visited = visited.unionByName(level.select("key"))
         order = F.struct("at", "late", "ord")
         names = level.groupBy(F.lower("next").alias("method")).agg(F.min(order).alias("o"))
-        frontier = names.select(F.monotonically_increasing_id().alias("_"), "method", "o").select(F.dense_rank().over(W.orderBy("o")).cast("long").alias("at"), "method")
+        frontier = numbered(names, ["o"], "at").select("at", "method")
     if out is None:
         return spark.createDataFrame([], "depth int, name string, file string, line int, kind string, is_test boolean, is_external boolean")
     out = out.join(about, F.lower("file_path") == F.col("_path"), "left")

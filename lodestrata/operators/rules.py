@@ -8,10 +8,10 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci
+from ..plans.shared import numbered
 
 #: Built-in rules with the words that call them, types passed by value, exempt names, suffixes of services.
 INTENTS = {
@@ -136,11 +136,7 @@ def grep_replace(lines: DataFrame, pattern: str, replacement: str, case_sensitiv
     rows = lines.filter(F.rlike("text", F.lit(text)))
     if exclude_pattern:
         rows = rows.filter(~F.rlike("text", F.lit(exclude_pattern)))
-    # The index needs where each file's matches begin: a sum over files, then a row number within each.
-    per = rows.groupBy("file_ord").agg(F.count("*").alias("n"))
-    per = per.withColumn("base", F.coalesce(F.sum("n").over(W.orderBy("file_ord").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)))
-    rows = rows.join(per.select("file_ord", "base"), "file_ord")
-    rows = rows.withColumn("match_index", F.col("base") + F.row_number().over(W.partitionBy("file_ord").orderBy("line_no")))
+    rows = numbered(rows.select("file_ord", "line_no", "text"), ["file_ord", "line_no"], "match_index")
     if exclude_matches:
         rows = rows.filter(~F.col("match_index").isin(*exclude_matches))
     return rows.select("match_index", "file_ord", "line_no", F.col("text").alias("old"), F.regexp_replace("text", text, replacement).alias("new"))

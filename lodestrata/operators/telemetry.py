@@ -6,8 +6,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..plans.shared import numbered
+
 IDLE_SECONDS = (45, 5, 300)  # default and bounds
 LOG_ENTRIES, CHART_POINTS, BAR = 1000, 60, 150
+SLICE_US = 3_600_000_000
 ACTIVITY = ("STARTED", "COMPLETED", "ERROR", "WORKSPACE_SWITCHED")
 
 
@@ -68,12 +71,19 @@ def activity_per_minute(calls: DataFrame) -> DataFrame:
 def idle_gaps(calls: DataFrame, seconds: int = IDLE_SECONDS[0], key: str | None = None) -> DataFrame:
     """ord, idle_seconds of calls after which nothing came for the threshold (held to 5 to 300 seconds): one for each gap.
 
-    key: the column whose values have gaps of their own; it is how the window is dealt out."""
+    key: the column whose values have gaps of their own. Windows run in slices of an hour; after the last call of a slice comes the
+    first of the next slice that has any, of which there is a row for each hour, so no task holds all calls of a key."""
     least = max(IDLE_SECONDS[1], min(IDLE_SECONDS[2], seconds))
-    w = (W.partitionBy(key) if key else W.partitionBy()).orderBy("ts", "ord")
-    gap = F.unix_micros(F.lead("ts").over(w).cast("timestamp")) - F.unix_micros(F.col("ts").cast("timestamp"))
-    cols = [key] if key else []
-    return calls.select("ord", *cols, (gap / 1_000_000).alias("idle_seconds")).filter(F.col("idle_seconds") >= least)
+    keys = [key] if key else []
+    rows = calls.select("ord", *keys, F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("slice", F.floor(F.col("us") / SLICE_US))
+    after = F.lead("us").over(W.partitionBy(*keys, "slice").orderBy("us", "ord"))
+    firsts = rows.groupBy(*keys, "slice").agg(F.min("us").alias("first_us"))
+    firsts = firsts.withColumn("later_us", F.lead("first_us").over(W.partitionBy(*keys).orderBy("slice")))
+    firsts = firsts.select(F.col("slice").alias("_slice"), *[F.col(k).alias("_key") for k in keys], "later_us")
+    same = F.col("slice").eqNullSafe(F.col("_slice"))
+    rows = rows.withColumn("after_us", after).join(firsts, same & F.col(key).eqNullSafe(F.col("_key")) if key else same)
+    gap = F.coalesce("after_us", "later_us") - F.col("us")
+    return rows.select("ord", *keys, (gap / 1_000_000).alias("idle_seconds")).filter(F.col("idle_seconds") >= least)
 
 
 def bounded_tail(log: DataFrame, n: int = LOG_ENTRIES) -> DataFrame:
@@ -118,9 +128,10 @@ def retention_excess(backups: DataFrame, keep: int = 1, older_than=None) -> Data
 
 
 def numbered_lessons(local: DataFrame, community: DataFrame) -> DataFrame:
-    """number, source, ord, ...: local lessons before community ones, numbered from 1. Numbers come from counts of the sources and
-    a row number in slices of the ord, not from one window over all."""
-    return local.withColumn("source", F.lit("local")).unionByName(community.withColumn("source", F.lit("community"))).withColumn("number", F.row_number().over(W.orderBy(F.desc("source"), "ord")))
+    """number, source, ord, ...: local lessons before community ones, each by ord, numbered from 1."""
+    both = local.withColumn("source", F.lit("local")).unionByName(community.withColumn("source", F.lit("community")))
+    both = both.withColumn("_late", F.col("source") == "community")
+    return numbered(both, ["_late", "ord"]).drop("_late").withColumn("number", F.col("number").cast("int"))
 
 
 def without_lesson(lessons: DataFrame, number: int) -> DataFrame:

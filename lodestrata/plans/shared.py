@@ -8,6 +8,8 @@ import tempfile
 import uuid
 
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
 _own: list[str] = []
 
@@ -25,3 +27,16 @@ def cut(df: DataFrame, tag: str = "table") -> DataFrame:
     path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """rows with their place from 1 in the order of some columns, nulls first; rows that tie are numbered in any order.
+
+    Rows are dealt to ranges of the order, and numbered within each; where a range begins is a sum over the sizes of the ranges
+    before it, a row each. No task holds all rows. The ranges are written first, as their bounds come from a sample."""
+    ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
+    begins = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
+    place = F.row_number().over(W.partitionBy("_range").orderBy(*order))
+    return ranged.join(begins, "_range").withColumn(name, F.col("_begin") + place).drop("_range", "_begin")

@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import extension, file_name
+from ..plans.shared import numbered
 
 #: Directories that a repository scan always ignores, and groups of extensions.
 REPOSITORY_IGNORED = (".git", "node_modules", "__pycache__", ".venv", "venv", "dist", "build")
@@ -50,11 +51,8 @@ def scan(spark: SparkSession, directory: str, extensions: list[str] = (), ignore
 
 def scan_all(spark: SparkSession, directories: list[str], extensions: list[str] = (), ignored: list[str] = (".git",)) -> DataFrame:
     """The scans of several directories, each file once, with file_ord, its rank by path."""
-    from pyspark.sql import Window as W
-
     rows = reduce(DataFrame.unionByName, [scan(spark, d, extensions, ignored) for d in directories]).dropDuplicates(["file_path"])
-    ranks = rows.select("file_path").withColumn("file_ord", F.row_number().over(W.orderBy("file_path")).cast("long"))
-    return rows.join(ranks, "file_path")
+    return rows.join(numbered(rows.select("file_path"), ["file_path"], "file_ord"), "file_path")
 
 
 def scan_totals(files: DataFrame) -> DataFrame:
