@@ -14,7 +14,7 @@ from ..functions.text import escaped, namespace_of, stem
 
 def replace_once(files: DataFrame, old: str, new: str) -> DataFrame:
     """file_ord, n_found, status, new_text: replaced where old is found exactly once; line ends count as line feeds."""
-    text, old = F.replace("text", F.lit("\r\n"), F.lit("\n")), old.replace("\r\n", "\n")
+    text, old = F.replace(F.coalesce("text", F.lit("")), F.lit("\r\n"), F.lit("\n")), old.replace("\r\n", "\n")
     n = ((F.length(text) - F.length(F.replace(text, F.lit(old), F.lit("")))) / len(old)).cast("int")
     done = F.replace(text, F.lit(old), F.lit(new.replace("\r\n", "\n")))
     return files.select("file_ord", n.alias("n_found"), F.when(n == 1, "replaced").when(n == 0, "not found").otherwise("ambiguous").alias("status"), F.when(n == 1, done).alias("new_text"))
