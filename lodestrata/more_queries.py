@@ -167,8 +167,12 @@ def missing_interfaces(spark, d):
     return rules.missing_interfaces(types, members).select("type_ord", "name", "n_members")
 
 
+NL = "chr(10)"
+
+
 @query(
-    f"""SELECT {BRAND} AS type_ord, 'public interface I' || type_name || chr(10) || '{{' || chr(10) || string_agg(CASE kind WHEN 'Method' THEN '    ' || return_type || ' ' || name || '();' ELSE '    ' || return_type || ' ' || name || ' {{ get; set; }}' END, chr(10) ORDER BY member_ord) || chr(10) || '}}' AS code
+    f"""SELECT {BRAND} AS type_ord, '    /// <summary>' || {NL} || '    /// Interface for ' || type_name || {NL} || '    /// </summary>' || {NL} || '    public interface I' || type_name || {NL} || '    {{' || {NL}
+  || string_agg(CASE kind WHEN 'Method' THEN '        ' || return_type || ' ' || name || '();' ELSE '        ' || return_type || ' ' || name || ' {{ get; set; }}' END, {NL} ORDER BY member_ord) || {NL} || '    }}' AS code
 FROM {MEMBERS} WHERE access_modifier = 'public' AND kind IN ('Method', 'Property') GROUP BY 1, type_name"""
 )
 def generated_interfaces(spark, d):
@@ -177,13 +181,35 @@ def generated_interfaces(spark, d):
 
 
 @query(
-    f"""WITH f AS (SELECT {BRAND} AS type_ord, type_name, member_ord, return_type AS t, '_' || upper(name) AS n, lower(substr(name, 1, 1)) || upper(substr(name, 2)) AS a FROM {MEMBERS} WHERE kind = 'Field' AND access_modifier = 'private')
-SELECT type_ord, 'public ' || type_name || '(' || string_agg(t || ' ' || a, ', ' ORDER BY member_ord) || ')' || chr(10) || '{{' || chr(10) || string_agg('    ' || n || ' = ' || a || ';', chr(10) ORDER BY member_ord) || chr(10) || '}}' AS code FROM f GROUP BY type_ord, type_name"""
+    f"""WITH s AS (SELECT {BRAND} AS type_ord, type_name, string_agg(CASE kind WHEN 'Method' THEN '        public ' || return_type || ' ' || name || '()' || {NL} || '        {{' || {NL} || '            throw new NotImplementedException();' || {NL} || '        }}' || {NL}
+  WHEN 'Property' THEN '        public ' || return_type || ' ' || name || ' {{ get; set; }}' || {NL} END, {NL} ORDER BY member_ord) AS b FROM {MEMBERS} GROUP BY 1, 2)
+SELECT type_ord, '        #region ' || type_name || ' Implementation' || {NL} || {NL} || coalesce(b, '') || {NL} || '        #endregion' AS code FROM s"""
+)
+def generated_stubs(spark, d):
+    return edits.implementation_text(A.part_members(spark, d).withColumn("signature", F.lit(None).cast("string")))
+
+
+@query(
+    f"""WITH f AS (SELECT {BRAND} AS type_ord, type_name, member_ord, return_type AS t, '_' || upper(name) AS n, upper(name) AS a FROM {MEMBERS} WHERE kind IN ('Field', 'Property') AND NOT is_static)
+SELECT type_ord, '        public ' || type_name || '(' || {NL} || string_agg('            ' || t || ' ' || a, ',' || {NL} ORDER BY member_ord) || {NL} || '        )' || {NL} || '        {{' || {NL} || string_agg('            ' || n || ' = ' || a || ';', {NL} ORDER BY member_ord) || {NL} || '        }}' AS code
+FROM f GROUP BY type_ord, type_name"""
 )
 def generated_constructors(spark, d):
     return edits.constructor_text(A.part_members(spark, d).withColumn("name", F.concat(F.lit("_"), F.upper("name"))))
 
 
+@query(
+    f"""WITH l AS (SELECT line_no, text FROM {LINES} WHERE file_ord = 5), m AS (SELECT max(line_no) AS last FROM l), p AS (SELECT repeat(' ', length(regexp_extract(text, '^(\\s*)', 1))) AS pad FROM l WHERE line_no = 1),
+a AS (SELECT 1 AS spot, 0 AS sub, 0 AS own, pad || 'var r = Part(a, b);' AS text FROM p
+UNION ALL SELECT last, -6, 0, '' FROM m UNION ALL SELECT last, -5, 0, pad || 'private int Part(string a, long b)' FROM m, p UNION ALL SELECT last, -4, 0, pad || '{{' FROM m, p
+UNION ALL SELECT last, -4, line_no, text FROM l, m WHERE line_no <= 2 UNION ALL SELECT last, -3, 0, '' FROM m UNION ALL SELECT last, -2, 0, pad || '    return r;' FROM m, p UNION ALL SELECT last, -1, 0, pad || '}}' FROM m, p
+UNION ALL SELECT last, 0, 0, '' FROM m UNION ALL SELECT line_no, 1, 0, text FROM l WHERE line_no > 2)
+SELECT CAST(5 AS BIGINT) AS file_ord, CAST(row_number() OVER (ORDER BY spot, sub, own) AS INTEGER) AS line_no, text FROM a"""
+)
+def extract_method(spark, d):
+    return edits.extract_method(A.document_lines(spark, d), 5, 1, 2, "Part", [("string", "a"), ("long", "b")], ("int", "r"))
+
+
 @query(f"SELECT file_ord, n_found, CASE n_found WHEN 1 THEN 'replaced' WHEN 0 THEN 'not found' ELSE 'ambiguous' END AS status FROM (SELECT file_ord, CAST((length(t) - length(replace(t, 'icensed under', ''))) / 13 AS INTEGER) AS n_found FROM (SELECT file_ord, replace(text, chr(13) || chr(10), chr(10)) AS t FROM {FILES}))")
 def replace_once(spark, d):
     return edits.replace_once(A.document_files(spark, d), "icensed under", "ICENSED UNDER").select("file_ord", "n_found", "status")

@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import escaped, namespace_of, stem
+from ..plans.shared import numbered
 
 
 def replace_once(files: DataFrame, old: str, new: str) -> DataFrame:
@@ -52,22 +53,69 @@ def parameter_impact(call_sites: DataFrame, files: DataFrame, method: str) -> Da
     return sites.join(files.select("file_path", "text"), "file_path", "left").select("file_path", "n_sites", F.coalesce(F.regexp_count("text", F.lit(rf"\b{escaped(method)}\s*\(")), F.lit(0)).alias("n_text"))
 
 
-def interface_text(members: DataFrame, name: Column) -> DataFrame:
-    """type_ord, code of an interface with the public methods and properties of each type."""
-    shown = members.filter("access_modifier = 'public' and kind in ('Method', 'Property')")
-    line = F.when(F.col("kind") == "Method", F.format_string("    %s %s;", "return_type", "signature")).otherwise(F.format_string("    %s %s { get; set; }", "return_type", "name"))
-    body = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("member_ord", line.alias("l")))), lambda x: x["l"]), "\n")
-    return shown.groupBy("type_ord", name.alias("interface")).agg(body.alias("b")).select("type_ord", F.format_string("public interface %s\n{\n%s\n}", "interface", "b").alias("code"))
-
-
-def constructor_text(members: DataFrame) -> DataFrame:
-    """type_ord, code of a constructor that sets each private field: parameters have its name without underscore, first letter small."""
-    bare = F.regexp_replace("name", "^_+", "")
-    arg = F.concat(F.lower(F.substring(bare, 1, 1)), F.expr("substring(regexp_replace(name, '^_+', ''), 2)"))
-    item = F.struct("member_ord", F.format_string("%s %s", "return_type", arg).alias("p"), F.format_string("    %s = %s;", "name", arg).alias("s"))
-    rows = members.filter("kind = 'Field' and access_modifier = 'private'").groupBy("type_ord", "type_name").agg(F.sort_array(F.collect_list(item)).alias("f"))
-    join = lambda c, by: F.array_join(F.transform("f", lambda x: x[c]), by)
-    return rows.select("type_ord", F.format_string("public %s(%s)\n{\n%s\n}", "type_name", join("p", ", "), join("s", "\n")).alias("code"))
+def _listed(line: Column, by: str = "\n") -> Column:
+    """In an aggregate: the lines of a type's members in their order, those that are null left out."""
+    kept = F.sort_array(F.collect_list(F.when(line.isNotNull(), F.struct("member_ord", line.alias("l")))))
+    return F.array_join(F.transform(kept, lambda x: x["l"]), by)
+
+
+def interface_text(members: DataFrame, name: Column, namespace: Column | None = None) -> DataFrame:
+    """type_ord, code of an interface with the public methods (constructors aside) and properties of each type, in its namespace if one
+    is given. Types without a public member have none."""
+    shown = members.filter((F.col("access_modifier") == "public") & ((F.col("kind") == "Property") | ((F.col("kind") == "Method") & (F.col("name") != F.col("type_name")))))
+    line = F.when(F.col("kind") == "Method", F.format_string("        %s %s;", "return_type", "signature")).otherwise(F.format_string("        %s %s { get; set; }", "return_type", "name"))
+    space = F.lit(None).cast("string") if namespace is None else namespace
+    rows = shown.groupBy("type_ord", "type_name", name.alias("interface"), space.alias("space")).agg(_listed(line).alias("b"))
+    code = F.format_string("    /// <summary>\n    /// Interface for %s\n    /// </summary>\n    public interface %s\n    {\n%s\n    }", "type_name", "interface", "b")
+    wrapped = F.when(F.col("space").isNotNull(), F.format_string("namespace %s\n{\n%s\n}", "space", code)).otherwise(code)
+    return rows.select("type_ord", wrapped.alias("code"))
+
+
+def implementation_text(members: DataFrame) -> DataFrame:
+    """type_ord, code of stubs for each method and property of each interface: members(type_ord, type_name, ...) are those of interfaces."""
+    head = F.format_string("        public %s %s", F.coalesce("return_type", F.lit("void")), F.coalesce("signature", F.concat("name", F.lit("()"))))
+    method = F.concat(head, F.lit("\n        {\n            throw new NotImplementedException();\n        }\n"))
+    line = F.when(F.col("kind") == "Method", method).when(F.col("kind") == "Property", F.format_string("        public %s %s { get; set; }\n", "return_type", "name"))
+    rows = members.groupBy("type_ord", "type_name").agg(_listed(line).alias("b"))
+    return rows.select("type_ord", F.format_string("        #region %s Implementation\n\n%s\n        #endregion", "type_name", "b").alias("code"))
+
+
+def constructor_text(members: DataFrame, only: list[str] | None = None) -> DataFrame:
+    """type_ord, code of a constructor that sets each field and property that is not static, or those of only, in any case. Parameters
+    have its name with the first letter small, then without one leading underscore."""
+    kept = members.filter(F.col("kind").isin("Field", "Property") & ~F.coalesce("is_static", F.lit(False)))
+    kept = kept.filter(F.lower("name").isin(*[x.lower() for x in only])) if only else kept
+    arg = F.regexp_replace(F.concat(F.lower(F.substring("name", 1, 1)), F.expr("substring(name, 2)")), "^_", "")
+    rows = kept.groupBy("type_ord", "type_name").agg(_listed(F.format_string("            %s %s", "return_type", arg), ",\n").alias("p"), _listed(F.format_string("            %s = %s;", "name", arg)).alias("s"))
+    return rows.select("type_ord", F.format_string("        public %s(\n%s\n        )\n        {\n%s\n        }", "type_name", "p", "s").alias("code"))
+
+
+def extract_method(lines: DataFrame, file_ord: int, start: int, end: int, name: str, parameters: list[tuple[str, str]] = (), returned: tuple[str, str] | None = None) -> DataFrame:
+    """file_ord, line_no, text of the file with lines start to end as a method of their own, and a call in their place.
+
+    parameters and returned: (type, name), as data_flow and a caller's table of types give them. The method stands before the last line
+    that is a closing brace alone, or before the last line if there is none. Lines that are not there give the file as it is."""
+    rows = lines.filter(F.col("file_ord") == file_ord).select("file_ord", "line_no", "text")
+    inside = F.col("line_no").between(start, end)
+    facts = rows.agg(
+        F.max(F.when(~inside & (F.trim("text") == "}"), F.col("line_no"))).alias("brace"), F.max("line_no").alias("last"),
+        F.first(F.when(F.col("line_no") == start, F.regexp_extract("text", r"^(\s*)", 1)), True).alias("pad"), F.count_if(inside).alias("n"),
+    ).filter(F.col("n") == end - start + 1)
+    kind, back = returned or ("void", None)
+    call = (f"var {back} = " if back else "") + f"{name}({', '.join(x for _, x in parameters)});"
+    head = f"private {kind} {name}({', '.join(f'{t} {x}' for t, x in parameters)})"
+    place, pad = F.coalesce("brace", "last"), F.repeat(F.lit(" "), F.length("pad"))
+    piece = lambda at, sub, *text: F.struct(at.cast("long").alias("at"), F.lit(sub).cast("long").alias("sub"), F.concat(*text).alias("text"))
+    new = [piece(F.lit(start), 0, pad, F.lit(call)), piece(place, -6, F.lit("")), piece(place, -5, pad, F.lit(head)), piece(place, -4, pad, F.lit("{")), piece(place, -1, pad, F.lit("}")), piece(place, 0, F.lit(""))]
+    if back:
+        new += [piece(place, -3, F.lit("")), piece(place, -2, pad, F.lit(f"    return {back};"))]
+    # Where the moved lines go: between the opening brace and what follows it, by their own numbers.
+    made = facts.select(F.explode(F.array(*new)).alias("x")).select("x.at", "x.sub", F.lit(0).cast("long").alias("own"), "x.text")
+    moved = rows.filter(inside).crossJoin(facts).select(place.cast("long").alias("at"), F.lit(-4).cast("long").alias("sub"), F.col("line_no").cast("long").alias("own"), "text")
+    done = facts.select(F.lit(True).alias("done"))  # a row, or none
+    stay = rows.join(F.broadcast(done), how="left").filter(~inside | F.col("done").isNull()).select(F.col("line_no").cast("long").alias("at"), F.lit(1).cast("long").alias("sub"), F.lit(0).cast("long").alias("own"), "text")
+    out = numbered(made.unionByName(moved).unionByName(stay), ["at", "sub", "own"], "line_no")
+    return out.select(F.lit(file_ord).cast("long").alias("file_ord"), F.col("line_no").cast("int").alias("line_no"), "text")
 
 
 def data_flow(tokens: DataFrame, start: int, end: int) -> DataFrame:

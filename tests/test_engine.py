@@ -287,6 +287,15 @@ def test_edits(spark):
     assert [r.text for r in edits.replace_lines(lines, 1, 2, 3, ["n"]).orderBy("line_no").collect()] == ["l1", "n", "l4"]
     t = spark.createDataFrame([(1, "a", "declare"), (2, "b", "declare"), (3, "a", "use"), (3, "r", "declare"), (4, "r", "assign"), (5, "r", "use")], "line_no int, name string, role string")
     assert tuple(edits.data_flow(t, 3, 4).first()) == (["a"], "r")
+    code = spark.createDataFrame([(1, i, x) for i, x in enumerate(["class C", "{", "  void M()", "  {", "    x();", "    y();", "  }", "}"], 1)], "file_ord long, line_no int, text string")
+    got = [r.text for r in edits.extract_method(code, 1, 5, 6, "N", [("int", "a")], ("int", "r")).orderBy("line_no").collect()]
+    assert got == ["class C", "{", "  void M()", "  {", "    var r = N(a);", "  }", "", "    private int N(int a)", "    {", "    x();", "    y();", "", "        return r;", "    }", "", "}"]
+    assert [r.text for r in edits.extract_method(code, 1, 8, 9, "N").orderBy("line_no").collect()] == [r.text for r in code.collect()]
+    own = spark.createDataFrame([(1, "C", 1, "_name", "Field", "string", "private", False), (1, "C", 2, "Size", "Property", "int", "public", False), (1, "C", 3, "All", "Field", "int", "private", True)], "type_ord long, type_name string, member_ord long, name string, kind string, return_type string, access_modifier string, is_static boolean")
+    assert edits.constructor_text(own).first().code == "        public C(\n            string name,\n            int size\n        )\n        {\n            _name = name;\n            Size = size;\n        }"
+    assert "_name" not in edits.constructor_text(own, ["SIZE"]).first().code
+    whole = edits.interface_text(own.withColumn("signature", F.lit("")), F.lit("IC"), F.lit("A.B")).first().code
+    assert whole.startswith("namespace A.B\n{\n    /// <summary>") and "        int Size { get; set; }" in whole and whole.endswith("    }\n}")
     d = edits.diffs(spark.createDataFrame([(1, "a\nb", "a\nc")], "file_ord long, old string, new string")).first()
     assert "-b" in d.diff and "+c" in d.diff and not d.is_rewrite
     assert edits.notes_edit(["## S", "- a", "## T"], "b", "S") == ["## S", "- a", "- b", "## T"] and edits.notes_edit([], "x" * 30_000) is None
