@@ -282,10 +282,20 @@ def _names(spark, d):
     return A.part_members(spark, d).groupBy(F.col("name_lc").alias("body")).agg(F.min("member_ord").alias("ord")).withColumn("n_lines", F.length("body"))
 
 
+def _texts(spark, d):
+    """Every document as a block, with its normalised text."""
+    return duplicates.text_blocks(A.read(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text"))
+
+
+@query()
+def document_pairs(spark, d):
+    return duplicates.row_pairs(_texts(spark, d), 50)
+
+
 @query()
 def duplicate_clusters(spark, d):
-    rows = _names(spark, d)
-    return duplicates.cluster_report(duplicates.clusters(rows, duplicates.similar_pairs(rows, 50)), rows)
+    rows = _texts(spark, d)
+    return duplicates.cluster_report(duplicates.row_clusters(rows, 50), rows)
 
 
 RULES = {"license": "[Ll]icensed under|License", "email": EMAIL, "shout": "!!"}

@@ -112,6 +112,35 @@ def test_similar_pairs_against_all_pairs(spark):
     assert got == {tuple(r) for r in every.collect()} and got
 
 
+def test_duplicates_of_all_rows(spark, sf, monkeypatch):
+    monkeypatch.setattr(duplicates, "BLOCK_ROWS", 9)  # several blocks in a band
+    texts = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").filter("n_chars < 3000").limit(60).collect()]
+    copies = [t for _, t in texts if t and 300 < len(t) < 2_000][:3]
+    texts += [(10_000 + i, t) for i, t in enumerate(copies * 2)] + [(20_000 + i, "tiny text") for i in range(4)] + [(30_000, None), (30_001, " "), (30_002, copies[0] + " tail")]
+    rows = duplicates.text_blocks(spark.createDataFrame(texts, "ord long, text string")).cache()
+    a, b = rows.toDF("a", "x", "n"), rows.toDF("b", "y", "k")
+    # The definition, which compares every row with every row.
+    similar = F.when(F.col("x") == F.col("y"), 100).otherwise(T.similarity(F.col("x"), F.col("y")))
+    near = F.least(F.length("x"), F.length("y")) * 2 >= F.greatest(F.length("x"), F.length("y"))
+    want = {tuple(r) for r in a.join(b, F.col("a") < F.col("b")).filter(near).select("a", "b", similar.alias("s")).filter("s >= 50").collect()}
+    got = [tuple(r) for r in duplicates.row_pairs(rows, 50).collect()]
+    assert len(got) == len(set(got)) and set(got) == want and sum(s == 100 for *_, s in got) >= 15
+    taken, clusters, like = set(), {}, {(x, y): s for x, y, s in want}
+    for i in sorted(r.ord for r in rows.collect()):  # the loop of the reference
+        if i not in taken and (mine := [j for x, j, in like if x == i and j not in taken]):
+            clusters[i] = {i, *mine}
+            taken |= clusters[i]
+    found = {}
+    for r in duplicates.row_clusters(rows, 50).collect():
+        found.setdefault(r.seed, set()).add(r.ord)
+        assert r.similarity == like.get((r.seed, r.ord), 100)
+    assert found == clusters
+    lines = {r.ord: r.n_lines for r in rows.collect()}
+    report = duplicates.cluster_report(duplicates.row_clusters(rows, 50), rows).collect()
+    assert all(r.n_members == len(clusters[r.seed]) and r.total_lines == sum(lines[i] for i in clusters[r.seed]) and r.similarity == max(like[r.seed, i] for i in clusters[r.seed] - {r.seed}) for r in report)
+    assert report
+
+
 def test_telemetry(spark):
     lines = spark.createDataFrame([(i, v) for i, v in enumerate(["W|COMPLETED|grep|12ms", "W|INDEXED|5 files", "W|ERROR|grep|x|y", "nobar", "W|STARTED"])], "ord long, value string")
     got = telemetry.parse_activity(lines).collect()
