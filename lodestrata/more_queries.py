@@ -82,6 +82,12 @@ def merged_workspaces(spark, d):
     return index.merged_workspaces(rows.select(F.when(F.col("name") == "R", 0).otherwise(1).alias("ord"), "name", "directories"))
 
 
+@query("SELECT directory, string_agg(name, ', ' ORDER BY ord, name) AS tags FROM (SELECT DISTINCT l_suppkey AS directory, l_returnflag AS name, CASE l_returnflag WHEN 'R' THEN 0 ELSE 1 END AS ord FROM lineitem) GROUP BY directory")
+def all_merged_workspaces(spark, d):
+    rows = A.read(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("name")).agg(F.collect_set("l_suppkey").alias("directories"))
+    return index.merged_workspaces(rows.select(F.when(F.col("name") == "R", 0).otherwise(1).alias("ord"), "name", "directories"))
+
+
 @query("SELECT name, CASE WHEN base_type = '' THEN '' WHEN iface IS NULL THEN base_type ELSE base_type || ',' || iface END AS deps FROM " + TYPES)
 def dependency_map(spark, d):
     return index.dependency_map(A.chain_types(spark, d)).select("name", F.array_join("deps", ",").alias("deps"))
@@ -313,6 +319,13 @@ def numbered_notes(spark, d):
     return logs.notes(lines).select("line_no", "number")
 
 
+@query("SELECT conv_id * 1000 + turn AS line_no, CASE WHEN role = 'user' THEN row_number() OVER (PARTITION BY role ORDER BY conv_id * 1000 + turn) END AS number FROM conversations")
+def all_numbered_notes(spark, d):
+    text = F.when(F.col("role") == "user", "- [x] note").otherwise("## head")
+    lines = A.read(spark, d, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("line_no"), text.alias("text"))
+    return logs.notes(lines).select("line_no", "number")
+
+
 @query("""SELECT event_id AS ord, strftime(ts, '%Y-%m-%d %H:%M:%S') || ',' || upper(event_type) || ',t' || CAST(user_id AS VARCHAR) || ',' || CAST(CAST(floor(value) AS BIGINT) AS VARCHAR) || ',"' || replace(props, '"', '""') || '"' AS line FROM events""")
 def activity_csv(spark, d):
     log = A.read(spark, d, "events").select(F.col("event_id").alias("ord"), "ts", F.upper("event_type").alias("type"), F.concat(F.lit("t"), F.col("user_id").cast("string")).alias("tool_name"), F.floor("value").alias("duration_ms"), F.col("props").alias("message"))

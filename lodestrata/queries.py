@@ -329,6 +329,11 @@ def shared_dirs(spark, d):
     return index.shared_directories(rows)
 
 
+@query("SELECT CAST(l_suppkey AS VARCHAR) AS directory, count(DISTINCT l_returnflag) AS n_workspaces, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS workspaces FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
+def all_shared_dirs(spark, d):
+    return index.shared_directories(A.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("workspace"), F.col("l_suppkey").cast("string").alias("directory")))
+
+
 @query("SELECT DISTINCT string_split(p_brand, '#')[1] || string_split(p_brand, '#')[2] AS root FROM part")
 def root_distinct(spark, d):
     return index.root_namespaces(A.read(spark, d, "part").select(F.concat(F.regexp_replace("p_brand", "#", ""), F.lit("."), "p_type").alias("namespace")))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import file_name
+from ..plans.shared import numbered
 
 LESSONS = "number int, timestamp timestamp, type string, component string, observation string, proposal string, suggestedCode string, source string, contributedBy string"
 AT = r"^(.+?)\((\d+),(\d+)\):\s*(error|warning)\s+(\w+):\s*(.+)$"
@@ -67,9 +68,9 @@ def stale(fetched_at, hours: int = 24):
 
 def notes(lines: DataFrame) -> DataFrame:
     """line_no, text, number of lines(line_no, text): entries, which begin with a dash and a bracket, are numbered."""
-    entry = F.col("text").startswith("- [")
-    numbered = lines.filter(entry).withColumn("number", F.row_number().over(W.orderBy("line_no"))).select("line_no", "number")
-    return lines.join(numbered, "line_no", "left")
+    entry = F.coalesce(F.col("text").startswith("- ["), F.lit(False))
+    entries = numbered(lines.filter(entry), ["line_no"])
+    return entries.unionByName(lines.filter(~entry).withColumn("number", F.lit(None).cast("long")))
 
 
 def notes_size(lines: DataFrame, cap: int = 20_480) -> DataFrame:

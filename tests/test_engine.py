@@ -190,6 +190,23 @@ def test_logs(spark):
     assert logs.lessons(spark, "/nowhere/lessons.json").count() == 0
 
 
+def test_notes_and_workspaces_of_whole_tables(spark, sf):
+    from lodestrata import more_queries
+
+    turns = sorted((r.conv_id * 1000 + r.turn, r.role) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect())
+    got = more_queries.QUERIES["all_numbered_notes"](spark, sf).collect()
+    assert len(got) == len(turns)
+    users = [i for i, role in turns if role == "user"]
+    assert {r.line_no: r.number for r in got} == {i: users.index(i) + 1 if role == "user" else None for i, role in turns}
+    used = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_returnflag").collect():
+        used.setdefault(r.l_suppkey, set()).add(r.l_returnflag)
+    shared = {r.directory: r.workspaces for r in more_queries.QUERIES["all_shared_dirs"](spark, sf).collect()}
+    assert shared == {str(k): ", ".join(sorted(v)) for k, v in used.items() if len(v) > 1}
+    tags = {r.directory: r.tags for r in more_queries.QUERIES["all_merged_workspaces"](spark, sf).collect()}
+    assert tags == {k: ", ".join(sorted(v, key=lambda x: (x != "R", x))) for k, v in used.items()}
+
+
 def test_lookup(spark):
     f = spark.createDataFrame([(1, "src/A.cs", "A.cs", "/r/App"), (2, "lib/A.cs", "A.cs", "/r/App"), (3, "src/B.cs", "B.cs", "/r/App")], "file_ord long, relative_path string, file_name string, root_directory string")
     got = lambda p: {(r.file_ord, r.strategy, r.status) for r in lookup.find_file(f, p).collect()}
