@@ -195,9 +195,9 @@ def features(text: str | None, matcher: Matcher) -> list[float]:
 
 def learn_lexicon(texts: list[str | None], toxic: list[int]) -> dict[str, float]:
     """Entries and their weights, the logarithm of their odds: words, and stems marked by *, that at least MIN_FOUND toxic
-    documents hold, at odds of MIN_ODDS or more to documents that are not. Texts that begin alike count once. A stem
-    displaces longer entries it begins."""
-    first = {((text or "").lower()[:80], label): text for text, label in zip(texts, toxic, strict=True)}
+    documents hold, at odds of MIN_ODDS or more to documents that are not. Texts that are equal but for case count
+    once. A stem displaces longer entries it begins."""
+    first = {((text or "").lower(), label): text for text, label in zip(texts, toxic, strict=True)}
     texts, toxic = list(first.values()), [label for _, label in first]
     counts = (Counter(), Counter())
     for text, label in zip(texts, toxic, strict=True):

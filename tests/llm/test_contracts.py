@@ -164,6 +164,15 @@ def test_toxicity_misspelled_and_quoted(spark):
     assert [s[-1] for s in toxicity.spans('they said "imbecile" . a b c d e f g h imbecile', matcher)] == [True, False]
 
 
+def test_lexicon_of_texts_with_a_common_header():
+    header = "This message was posted to the public forum and archived by the moderators. " * 2
+    clean = [header + f"filler{i} and more" for i in range(40)]
+    toxic = [header + f"filler{i} imbecile" for i in range(10)]
+    assert "imbecile" in toxicity.learn_lexicon(clean + toxic, [0] * 40 + [1] * 10)
+    # Copies of one text are still one.
+    assert not toxicity.learn_lexicon(clean + toxic[:1] * 10, [0] * 40 + [1] * 10)
+
+
 def test_automaton_is_levenshtein():
     def distance(a, b):
         row = list(range(len(b) + 1))
