@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci
+from ..plans.shared import cut
 
 #: Words of a task that say nothing about files.
 STOP_WORDS = frozenset(
@@ -68,7 +69,7 @@ def task_bonus(task: str, path: Column, classification: Column) -> Column:
 def select_within(ranked: DataFrame, max_files: int, budget: int, first_always: bool = True) -> DataFrame:
     """Of ranked(file_ord, score, tokens), in order of score, files that still fit the budget; those that do not are skipped.
 
-    The first is taken whatever its size. Ranked rows are few: the caller limits them before the fold."""
+    The first is taken whatever its size. Ranked rows are few: the caller limits them before the fold. first_pass goes through all rows."""
     item = F.struct((-F.col("score")).alias("s"), "file_ord", F.col("tokens").cast("long").alias("tokens"))
     start = F.struct(F.lit(0).alias("n"), F.lit(0).cast("long").alias("held"), F.array().cast("array<boolean>").alias("out"))
 
@@ -81,10 +82,23 @@ def select_within(ranked: DataFrame, max_files: int, budget: int, first_always:
     return rows.select(F.col("z.f.file_ord").alias("file_ord"), (-F.col("z.f.s")).alias("score"), F.col("z.f.tokens").alias("tokens"))
 
 
-def first_pass(scored: DataFrame, files: DataFrame, max_files: int = MAX_FILES, max_tokens: int = MAX_TOKENS, considered: int = 1000) -> DataFrame:
-    """The first files under 70 % of the budget, from the best that score at all."""
-    best = scored.filter("score > 0").join(files.select("file_ord", F.col("estimated_tokens").alias("tokens")), "file_ord").orderBy(F.desc("score"), "file_ord").limit(considered)
-    return select_within(best, max(3, max_files // 2), int(max_tokens * FIRST_PASS))
+def first_pass(scored: DataFrame, files: DataFrame, max_files: int = MAX_FILES, max_tokens: int = MAX_TOKENS) -> DataFrame:
+    """The first files under 70 % of the budget, from all that score at all: in each round, of the files ranked after the last
+    pick, the best that fits what is left. The first is taken whatever its size."""
+    ranked = scored.filter("score > 0").join(files.select("file_ord", F.col("estimated_tokens").cast("long").alias("tokens")), "file_ord").select("file_ord", "score", "tokens")
+    ranked, left = cut(ranked, "ranked"), int(max_tokens * FIRST_PASS)
+    picked: list = []
+    while len(picked) < max(3, max_files // 2):
+        rest = ranked
+        if picked:
+            last = picked[-1]
+            rest = ranked.filter((F.col("score") < last["score"]) | ((F.col("score") == last["score"]) & (F.col("file_ord") > last["file_ord"]))).filter(F.col("tokens") <= left)
+        found = rest.orderBy(F.desc("score"), "file_ord").limit(1).collect()
+        if not found:
+            break
+        picked += found
+        left -= found[0]["tokens"]
+    return scored.sparkSession.createDataFrame(picked, ranked.schema)
 
 
 def expansion(selected: DataFrame, members: DataFrame, types: DataFrame, files: DataFrame, graph: DataFrame, slots: int, tokens: int) -> DataFrame:

@@ -93,6 +93,17 @@ def test_context_fold(spark):
     assert context.keywords("Fix the \"big list\" in MyParser for Parser", types_of(spark, [("XmlParser", "", [], False)])) == ["XmlParser", "fix", "big", "list", "myparser", "parser", "Fix", "MyParser", "Parser", "big list"]
 
 
+def test_first_pass_looks_past_many_large_files(spark):
+    files = spark.range(1500).select(F.col("id").alias("file_ord"), F.when(F.col("id") == 0, 30_000).when(F.col("id") < 1400, 6_000).otherwise(1_000 + F.col("id").cast("int")).alias("estimated_tokens"))
+    scored = files.select("file_ord", F.when(F.col("file_ord") == 1499, 0.0).otherwise(2000.0 - F.floor(F.col("file_ord") / 2)).alias("score"))
+    assert [tuple(r) for r in context.first_pass(scored, files).collect()] == [(0, 2000.0, 30_000), (1400, 1300.0, 2_400), (1401, 1300.0, 2_401)]
+    some = [(i, float(i * 7 % 5), i * 13 % 11 * 1000) for i in range(40)]
+    f, s = spark.createDataFrame([(i, t) for i, _, t in some], "file_ord long, estimated_tokens int"), spark.createDataFrame([(i, x) for i, x, _ in some], "file_ord long, score double")
+    ranked = s.filter("score > 0").join(f.withColumnRenamed("estimated_tokens", "tokens"), "file_ord")
+    assert [tuple(r) for r in context.first_pass(s, f).collect()] == [tuple(r) for r in context.select_within(ranked, 5, 35_000).collect()]
+    assert context.first_pass(s.filter("false"), f).count() == 0
+
+
 @pytest.mark.parametrize("order, pairs, want", [((1, 2, 3), [(1, 2), (2, 3)], {(1, 1), (1, 2)}), ((1, 2, 3), [(1, 2), (1, 3)], {(1, 1), (1, 2), (1, 3)})])
 def test_clusters(spark, order, pairs, want):
     rows = spark.createDataFrame([(i,) for i in order], "ord long")
