@@ -99,11 +99,12 @@ def time_of(share: Column, rank: Column, schedules=SCHEDULES) -> Column:
 
 
 def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats: int = MAX_REPEATS, schedules=SCHEDULES, rows_per_slot: int = ROWS_PER_SLOT) -> DataFrame:
-    """doc_id, source, size, source_size, target, taken, repeats, position, sorted by position: a row per row of docs(doc_id, text, source, ...).
+    """doc_id, source, size, source_size, target, taken, repeats, position, positions, sorted by position: a row per row of docs(doc_id, text, source, ...).
 
     taken: words of the document that the mix takes, all passes together; the pass that reaches the target ends there,
     so a source's taken words sum to its target, rounded. repeats: passes of which at least half of the words are taken.
-    position: the training time of its first word; null where none is taken. Null and empty texts have size 0 and take
+    position: the training time of its first word; null where none is taken. positions: of each pass, the training time of its
+    first word; null where the pass takes none. Null and empty texts have size 0 and take
     nothing; null is a source of its own, the last; rows with the same doc_id are rows of their own. Without any word
     all targets are 0; an empty table gives no rows. Other columns are ignored."""
     rows = docs.select("doc_id", "source", n_words(docs["text"]).alias("size"), order_key(docs["doc_id"]).alias("okey"))
@@ -117,15 +118,17 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats: int
     passes = [F.greatest(F.lit(0).cast("long"), F.least("size", goal - F.col("source_size") * p - F.col("start"))) for p in range(math.ceil(max_repeats))]
     half = [F.when((x > 0) & (x * 2 >= F.col("size")), 1).otherwise(0) for x in passes]
     rows = rows.withColumn("taken", sum(passes[1:], passes[0])).withColumn("repeats", sum(half[1:], half[0]))
-    position = time_of(F.col("start") / F.col("target"), F.col("source_rank"), schedules)
-    rows = rows.withColumn("position", F.when(F.col("taken") > 0, position))
-    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "repeats", "position").orderBy("position", "doc_id")
+    at = lambda p: time_of((F.col("start") + F.col("source_size") * p) / F.col("target"), F.col("source_rank"), schedules)
+    rows = rows.withColumn("positions", F.array(*[F.when(x > 0, at(p)) for p, x in enumerate(passes)])).withColumn("position", F.col("positions")[0])
+    return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "repeats", "position", "positions").orderBy("position", "doc_id")
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """docs as the mix takes them: documents with repeats 0 go, others are there that many times, whole."""
-    times = mix(docs, **how).filter("repeats > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.col("repeats").alias("_repeats"))
-    times = times.groupBy("_id", "_source", "_size").agg(F.max("_repeats").alias("_repeats"))
+    """docs as the mix takes them, in the order of training: documents with repeats 0 go, others are there that many times, whole,
+    each pass at its own position."""
+    times = mix(docs, **how).filter("repeats > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.struct("repeats", "positions").alias("_plan"))
+    times = times.groupBy("_id", "_source", "_size").agg(F.max("_plan").alias("_plan"))
     same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
     rows = docs.withColumn("_n", n_words(docs["text"])).join(times, same)
-    return rows.withColumn("_pass", F.explode(F.sequence(F.lit(1), F.col("_repeats")))).select(docs.columns)
+    rows = rows.withColumn("_at", F.explode(F.slice("_plan.positions", F.lit(1), F.col("_plan.repeats"))))
+    return rows.orderBy("_at", "doc_id").select(docs.columns)

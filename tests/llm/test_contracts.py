@@ -424,6 +424,17 @@ def test_mixed_documents(spark):
     assert dict(counts) == {i: n for i, n in plan.items() if n}
 
 
+def test_each_pass_has_its_position(spark):
+    rows = [(i, "w " * (1 + i % 9), "small" if i % 10 == 0 else "large") for i in range(300)]
+    df = table(spark, rows)
+    plan = mixing.mix(df, weights=(1.0, 5.0)).collect()
+    small = [r for r in plan if r.source == "small" and r.repeats == 2]
+    assert small and all(r.positions[0] == r.position < r.positions[1] <= 1 for r in small)
+    assert max(r.positions[1] for r in small) > 0.9 and max(r.position for r in small) < 0.8
+    out = [r.doc_id for r in mixing.mixed_documents(df, weights=(1.0, 5.0)).collect()]
+    assert out == [i for _, i in sorted((p, r.doc_id) for r in plan for p in r.positions[: r.repeats])]
+
+
 def dice_brute(text, dice):
     best = {}
     units = {*(text or "").split("\n"), *re.split(r"\n[\x20\t\r]*\n", text or "")}
