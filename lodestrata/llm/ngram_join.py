@@ -110,7 +110,8 @@ _SET = "doc_id long, n_shingles long, h1 long, h2 long, p0 long, p1 long, p2 lon
 
 
 def signed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of each row: its set's size, 128-bit hash and parity, and its signatures; equal sets of one batch sign once."""
+    """Of each row: its set's size, 128-bit hash and parity, and its signatures; equal sets of one batch sign once.
+    Rows with a null doc_id, which are linked with nothing, do not sign."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hasher, signer = WordHasher(), Signer(percent)
@@ -118,12 +119,14 @@ def signed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
                 rows, signatures, done = [], [], set()
-                for u in shingle_sets(part.column(1).to_pylist(), size, hasher):
+                named = part.column(0).is_valid().to_pylist()
+                for has_id, u in zip(named, shingle_sets(part.column(1).to_pylist(), size, hasher), strict=True):
                     h1 = int(mix(u).sum(dtype=np.uint64).astype(np.int64)) if len(u) else 0
                     h2 = int(mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(u) else 0
                     rows.append((len(u), h1, h2, *parity(u).tolist()))
-                    signatures.append(signer.sign(u).view(np.int64) if len(u) and (h1, h2) not in done else np.zeros(0, np.int64))
-                    done.add((h1, h2))
+                    signatures.append(signer.sign(u).view(np.int64) if has_id and len(u) and (h1, h2) not in done else np.zeros(0, np.int64))
+                    if has_id:
+                        done.add((h1, h2))
                 ends = np.r_[0, np.cumsum([len(s) for s in signatures])].astype(np.int32)
                 cols = [part.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))]
                 cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signatures))))

@@ -80,6 +80,13 @@ def test_jaccard_hard_rows(spark):
     assert ngram_join.jaccard_groups(table(spark, HARD).filter("false")).count() == 0
 
 
+def test_jaccard_null_id_before_equal_text(spark):
+    text = [f"w{i}" for i in range(60)]
+    rows = [(None, " ".join(text)), (1, " ".join(text)), (2, " ".join([*text, "tail"])), (None, " ".join(text)), (3, " ".join(text))]
+    got = {(r.doc_id, r.component_id) for r in ngram_join.jaccard_groups(table(spark, rows).coalesce(1), 4, 85).collect()}
+    assert got >= {(1, 1), (2, 1), (3, 1)}
+
+
 def test_signatures_are_complete():
     rng = np.random.default_rng(3)
     for percent in (80, 85):
