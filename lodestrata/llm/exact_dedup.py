@@ -112,12 +112,17 @@ def exact_duplicates(docs: DataFrame, key: Column | None = None, capacity: int =
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
-    """docs without the rows that repeat a kept text; of rows that repeat the kept doc_id too, one stays."""
-    kept = exact_duplicates(docs).filter("kept").select("doc_id").distinct()
-    same = F.struct(*[F.col(c) for c in docs.columns if c != "doc_id"])
-    out = docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept"))).drop("_kept")
-    repeated = out.groupBy("doc_id").count().filter("count > 1").select("doc_id")
+    """docs with one row of each group of equal texts: of the smallest doc_id, null only where there is no other; of rows that
+    share it, that of the smallest other columns. A repeated or null doc_id neither loses a text nor keeps a copy."""
+    # The index grouped by the bytes of the texts; key and digest then name a group.
+    groups = build_index(docs).keys.select(F.col("key").alias("_k"), F.col("text_sha256").alias("_s"), F.col("keep_id").alias("_kept"))
+    norm = normalised(text_of(docs))
+    rows = docs.withColumns({"_key": F.xxhash64(norm), "_digest": F.sha2(norm, 256)})
+    of_group = (F.col("_key") == F.col("_k")) & (F.col("_digest") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_kept"))
+    out = rows.join(groups, of_group).drop("_k", "_s", "_kept")
+    repeated = out.groupBy("_key", "_digest").count().filter("count > 1").select("_key", "_digest")
     if repeated.isEmpty():
-        return out
-    again = out.join(repeated, "doc_id", "left_semi").groupBy("doc_id").agg(F.min(same).alias("r")).select("doc_id", "r.*").select(docs.columns)
-    return out.join(repeated, "doc_id", "left_anti").unionByName(again)
+        return out.select(docs.columns)
+    same = F.struct(*[F.col(c) for c in docs.columns])
+    again = out.join(repeated, ["_key", "_digest"], "left_semi").groupBy("_key", "_digest").agg(F.min(same).alias("r")).select("r.*")
+    return out.join(repeated, ["_key", "_digest"], "left_anti").select(docs.columns).unionByName(again)

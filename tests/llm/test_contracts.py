@@ -360,6 +360,12 @@ def test_drop_duplicates_hard_rows(spark):
     assert exact_dedup.exact_duplicates(df.filter("false")).count() == 0
 
 
+def test_drop_duplicates_of_repeated_and_null_ids(spark):
+    rows = [(7, "A"), (7, "B"), (8, "C c"), (8, "C  c"), (9, "C c"), (None, "N"), (None, "N"), (None, "A"), (None, "M"), (10, "M"), (11, None), (None, "")]
+    got = [(r.doc_id, re.sub(" +", " ", r.text or "")) for r in exact_dedup.drop_duplicates(table(spark, rows)).collect()]
+    assert sorted(got, key=str) == sorted([(7, "A"), (7, "B"), (8, "C c"), (None, "N"), (10, "M"), (11, "")], key=str)
+
+
 def test_mixing(spark, sf, docs):
     got = queries.op5_curriculum_mix(spark, sf).toPandas().set_index("doc_id")
     size = docs.set_index("doc_id").text.map(lambda t: len(brute.WORD.findall(t or "")))
