@@ -3,11 +3,15 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
+import weakref
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 #: White space as the operators' contracts define it.
@@ -15,12 +19,16 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 _own: dict[str, str] = {}
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that the cluster names in spark.checkpoint.dir; where it is unset (tests), a folder of our own."""
+    """The folder that the cluster names in spark.checkpoint.dir. Where it is unset, a folder of our own if all tasks run on this
+    machine (tests); on a cluster, executors would each write to their own disk, so there it is an error."""
     if named := spark.conf.get("spark.checkpoint.dir", None):
         return named.rstrip("/")
+    if not re.match(r"local(\[|$)", spark.sparkContext.master):
+        raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
     if "root" not in _own:
         _own["root"] = tempfile.mkdtemp(prefix="lodestrata-")
         atexit.register(shutil.rmtree, _own["root"], ignore_errors=True)
@@ -37,18 +45,43 @@ def few(df: DataFrame, rows: int) -> DataFrame:
     return df.coalesce(n)
 
 
-def cut(df: DataFrame, tag: str) -> DataFrame:
-    """df, written to the shared folder and read again: later steps neither recompute it nor depend on a live executor."""
+def cut(df: DataFrame, tag: str, seen: Observation | None = None, **metrics: Column) -> DataFrame:
+    """df, written to the shared folder and read again: later steps neither recompute it nor depend on a live executor.
+    seen: gets the metrics, aggregates over df, from the same job."""
     path = fresh_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    (df.observe(seen, *[c.alias(k) for k, c in metrics.items()]) if seen else df).write.parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what cut() has written for tables that no later step reads."""
+    for t in tables:
+        if path := _paths.pop(t, None):
+            sc = t.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
+
+
+#: Bytes of Arrow data that a function over texts gets at a time.
+SLICE = 4 << 20
+
+
+def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """batch in runs of rows of about SLICE bytes; a longer row is a run of its own."""
+    if batch.nbytes <= SLICE or batch.num_rows < 2:
+        yield batch
+        return
+    half = batch.num_rows // 2
+    for part in (batch.slice(0, half), batch.slice(half)):
+        yield from _slices(part)
 
 
 def map_texts(df: DataFrame, function, schema) -> DataFrame:
-    """df.mapInArrow(function, schema) in batches of a few megabytes: the texts of a batch are in memory several times, in the
-    JVM, as Arrow buffers and as Python strings. Lowers the session's limit of a batch, which changes no result."""
-    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", "4m")
-    return df.mapInArrow(function, schema)
+    """df.mapInArrow(function, schema) in slices of a few megabytes: of a slice, function holds Python strings and more besides
+    the Arrow buffers. The session's own limit bounds the batches themselves."""
+    return df.mapInArrow(lambda batches: function(part for b in batches for part in _slices(b)), schema)
 
 
 def text_of(docs: DataFrame, name: str = "text") -> Column:

@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, release
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -25,14 +25,17 @@ def components(edges: DataFrame) -> DataFrame:
     """node, component: the smallest node that edges(u, v) lead to, for each node that is not that smallest itself.
 
     Each step keeps what is connected and brings nodes nearer to their smallest; it ends when nothing changes, after a
-    number of steps that grows with the logarithm of the size. Edges are written to the shared folder after each step;
-    only counts and sums reach the driver. Minima are taken before the shuffle, so a node with very many edges is no
-    hot key there; the join with them is one that Spark can split."""
+    number of steps that grows with the logarithm of the size. Edges are written to the shared folder after each step, and those
+    of the step before are deleted; only counts and sums reach the driver. Minima are taken before the shuffle, so a node with very
+    many edges is no hot key there; the join with them is one that Spark can split."""
     edges = cut(edges.filter("u is not null and v is not null and u <> v").select("u", "v").distinct(), "edges")
-    seen = None
+    last = None
     while True:
-        edges = cut(_small_star(_large_star(edges)), "edges")
-        now = edges.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")).alias("s")).first()
-        if tuple(now) == seen:
+        seen = Observation()
+        total = F.coalesce(F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")), F.lit(0).cast("decimal(30,0)"))
+        new = cut(_small_star(_large_star(edges)), "edges", seen, n=F.count(F.lit(1)), s=total)
+        release(edges)
+        edges, now = new, seen.get
+        if now == last or not now["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
-        seen = tuple(now)
+        last = now

@@ -1,16 +1,24 @@
 """N-gram Jaccard join by PartEnum signatures.
 
 Documents are sets of word n-grams, held as 64-bit hashes. Two sets whose Jaccard similarity reaches the threshold
-differ in a number of elements that their sizes bound. Sizes are cut into bands, and each band parts the domain of
-elements into more parts than that number plus a slack: sets that are similar enough agree in at least slack + 1 parts,
-so they share a signature, the hash of the elements in one part. A set signs for its own band and for the bands above
-that hold sets it can be similar to. Parts without elements are signed only by sets with more than slack such parts;
-others share a signature of a part with elements. As sets of smaller size differ by less, they sign fewer parts.
-
-Sets that are equal are one class, found by grouping. Classes that share a signature are compared with the smallest of
-them first; what that links is one component. Only classes that still share a signature across components are then
-compared pair by pair, after a bound from 256 parity bits, so that a large group of near copies costs one comparison
-for each of its members and no link between different texts is lost.
+differ in a number of elements that their sizes bound. Sizes are cut into bands; each band parts the domain of elements into
+so many first-level parts that sets that are similar enough differ by at most one element in slack + 1 of them, and each
+of those into three second-level parts. A signature is the hash of the elements in two of the three: one element that
+differs leaves two of them equal, so sets that are similar enough share slack + 1 signatures. A set signs for its own band
+and for the bands above that hold sets it can be similar to; as sets of smaller size differ by less, they sign fewer parts.
+A signature of one frequent element would say little, so a set does not sign the subsets with the fewest elements, as far as
+these are in no more than slack of its parts: of slack + 1 parts that agree, one is left, and as subsets that agree are of one size,
+the set that asks for more elements decides for both.
+
+Sets that are equal are one class, found by grouping. Of classes that share a signature:
+
+1. each is compared with the smallest; what that links is one component, so a large group of near copies costs one
+   comparison for each of its members;
+2. those that still share a signature across components are compared with one that a hash chooses for each signature;
+3. those outside the most frequent component of a signature are compared with all of other components in it.
+
+Each time, a bound from sizes and 512 parity bits goes before the comparison of the sets, and no link between different
+texts is lost.
 """
 
 from __future__ import annotations
@@ -19,21 +27,28 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, map_texts, release
 from .graph import components
 from .hashing import WordHasher, mix, shingle_hashes
 
 SHINGLE, PERCENT = 5, 80
 CHUNK = 1 << 20
+#: 64-bit words of parity bits.
+PARITY = 8
+#: First-level parts beyond those that links need, as a share of the elements that may differ.
+SLACK = 0.08
+#: The pairs of second-level parts of a first-level part.
+_PAIRS = ((0, 1), (0, 2), (1, 2))
 
 
 class Signer:
     """Signatures of a set for a threshold of percent / 100."""
 
-    def __init__(self, percent: int):
+    def __init__(self, percent: int, slack: float = SLACK):
+        self.slack = slack
         self.p, self.q = 100 - percent, 100 + percent
         self.percent = percent
         self.least = [1, 2]  # the smallest size of each band
@@ -44,7 +59,7 @@ class Signer:
             self.least.append(int(low * (1.3 if low < 100 else 1.6)) + 1)
 
     def instances(self, n: int) -> Iterator[tuple[int, int, int, int]]:
-        """band, its number of parts, the number of parts that a set of n elements signs, slack."""
+        """band, its number of first-level parts, the number of them that a set of n elements signs, slack."""
         most = n * 100 // self.percent  # the largest size that is similar enough
         self._bands(2 * most + 2)
         i = int(np.searchsorted(self.least, n, "right")) - 1
@@ -53,8 +68,9 @@ class Signer:
             differ = (n + min(most, top)) * self.p // self.q
             if differ:  # else only equal sets are similar enough, and they are one class
                 bound = 2 * top * self.p // self.q
-                slack = 3 + bound // 8
-                yield i, bound + 1 + slack, differ + 1 + slack, slack
+                slack = int(bound * self.slack)
+                # At most differ // 2 of the parts signed hold two elements or more that differ.
+                yield i, bound // 2 + 1 + slack, differ // 2 + 1 + slack, slack
             i += 1
 
     def sign(self, u: np.ndarray) -> np.ndarray:
@@ -64,13 +80,17 @@ class Signer:
         high = u >> np.uint64(32)
         out = []
         for band, parts, signed, slack in self.instances(len(u)):
-            # Part j holds the hashes whose upper half is in the j-th of equal ranges: a stretch of the sorted array.
-            edges = (np.arange(signed + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(parts)
+            # Second-level part j holds the hashes whose upper half is in the j-th of equal ranges: a stretch of the sorted array.
+            edges = (np.arange(3 * signed + 1, dtype=np.uint64) << np.uint64(32)) // np.uint64(3 * parts)
             at = np.searchsorted(high, edges)
-            held = np.diff(at)
-            s = sums[at[1:]] - sums[at[:-1]] + held.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019)
-            s = mix(s + mix(np.arange(signed, dtype=np.uint64) + np.uint64(band << 32)))
-            out.append(s if (held == 0).sum() > slack else s[held > 0])
+            held = np.diff(at).reshape(signed, 3)
+            cells = mix((sums[at[1:]] - sums[at[:-1]]).reshape(signed, 3) + held.astype(np.uint64) * np.uint64(0x632BE59BD9B4E019))
+            part = np.arange(signed, dtype=np.uint64) * np.uint64(4) + np.uint64(band << 32)
+            elements = np.stack([held[:, a] + held[:, b] for a, b in _PAIRS], 1)
+            signatures = np.stack([mix(mix(cells[:, a] + mix(part + np.uint64(k))) + cells[:, b]) for k, (a, b) in enumerate(_PAIRS)], 1)
+            # No more than slack parts have a subset of fewer elements than this.
+            least = np.partition(elements.min(1), slack)[slack]
+            out.append(signatures[elements >= least])
         return np.concatenate(out) if out else np.zeros(0, np.uint64)
 
 
@@ -101,20 +121,21 @@ def shingle_sets(texts: list[str | None], size: int, hasher: WordHasher) -> Iter
 
 
 def parity(u: np.ndarray) -> np.ndarray:
-    """256 bits: for each value of the lowest byte, whether an odd number of elements has it. Two sets differ in at least as
-    many elements as their parities differ in bits."""
-    return np.packbits(np.bincount((u & np.uint64(255)).astype(np.int64), minlength=256).astype(np.uint8) & 1).view(np.int64)
+    """For each value of the lowest bits, whether an odd number of elements has it. Two sets differ in at least as many elements
+    as their parities differ in bits."""
+    size = 64 * PARITY
+    return np.packbits(np.bincount((u & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).view(np.int64)
 
 
-_SET = "doc_id long, n_shingles long, h1 long, h2 long, p0 long, p1 long, p2 long, p3 long, signatures array<long>"
+_P = [f"p{i}" for i in range(PARITY)]
+_SET = f"doc_id long, n_shingles long, h1 long, h2 long, {', '.join(f'{p} long' for p in _P)}, signatures array<long>"
 
 
-def signed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Of each row: its set's size, 128-bit hash and parity, and its signatures; equal sets of one batch sign once.
-    Rows with a null doc_id, which are linked with nothing, do not sign."""
+def signed_sets(docs: DataFrame, size: int, percent: int, slack: float = SLACK) -> DataFrame:
+    """Of each row: its set's size, 128-bit hash and parity, and its signatures; equal sets of one batch sign once. Rows with a null doc_id, which are linked with nothing, do not sign."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, signer = WordHasher(), Signer(percent)
+        hasher, signer = WordHasher(), Signer(percent, slack)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
@@ -123,77 +144,104 @@ def signed_sets(docs: DataFrame, size: int, percent: int) -> DataFrame:
                 for has_id, u in zip(named, shingle_sets(part.column(1).to_pylist(), size, hasher), strict=True):
                     h1 = int(mix(u).sum(dtype=np.uint64).astype(np.int64)) if len(u) else 0
                     h2 = int(mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(u) else 0
+                    signs = has_id and len(u) and (h1, h2) not in done
                     rows.append((len(u), h1, h2, *parity(u).tolist()))
-                    signatures.append(signer.sign(u).view(np.int64) if has_id and len(u) and (h1, h2) not in done else np.zeros(0, np.int64))
+                    signatures.append(signer.sign(u).view(np.int64) if signs else np.zeros(0, np.int64))
                     if has_id:
                         done.add((h1, h2))
                 ends = np.r_[0, np.cumsum([len(s) for s in signatures])].astype(np.int32)
                 cols = [part.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))]
                 cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signatures))))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "h1", "h2", "p0", "p1", "p2", "p3", "signatures"])
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "h1", "h2", *_P, "signatures"])
 
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]).mapInArrow(run, _SET)
+    return map_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), run, _SET)
 
 
 def _similar_enough(percent: int) -> str:
     """Of a row with sizes a_n, b_n and parities: whether the bounds allow the pair."""
-    differ = " + ".join(f"bit_count(a_p{i} ^ b_p{i})" for i in range(4))
+    differ = " + ".join(f"bit_count(a_{p} ^ b_{p})" for p in _P)
     return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and ({differ}) * {100 + percent} <= (a_n + b_n) * {100 - percent}"
 
 
+def _hashes(docs: DataFrame, size: int) -> DataFrame:
+    """doc_id, elements: the sorted shingle hashes of each row of docs(doc_id, text)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        hasher = WordHasher()
+        for b in batches:
+            for at in range(0, b.num_rows, 128):
+                part = b.slice(at, 128)
+                sets = list(shingle_sets(part.column(1).to_pylist(), size, hasher))
+                ends = pa.array(np.r_[0, np.cumsum([len(u) for u in sets])].astype(np.int32))
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(np.concatenate(sets).view(np.int64)))], names=["doc_id", "elements"])
+
+    return map_texts(docs, run, "doc_id long, elements array<long>")
+
+
 def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> DataFrame:
-    """Those of pairs(a, b) of doc_ids whose texts' sets reach the threshold, from the whole texts."""
+    """u, v: those of pairs(a, b) of doc_ids whose texts' sets reach the threshold. The sets of documents in a pair, and no others,
+    are computed again from their whole texts, once."""
+    pairs = cut(pairs, "pairs")
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
-    rows = pairs.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("b_text")), "b")
-    rows = rows.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("a_text")), "a")
-    rows = rows.select("a", "b", "a_text", "b_text").sortWithinPartitions("a")
+    sets = cut(_hashes(texts.join(ids, "doc_id", "left_semi"), size).filter("size(elements) > 0"), "elements")
+    rows = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").withColumn("both", F.size(F.array_intersect("x", "y")))
+    links = cut(rows.filter(f"100 * both >= {percent} * (size(x) + size(y) - both)").select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    release(pairs, ids, sets)
+    return links
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hasher, last, u = WordHasher(), None, None
-        for batch in batches:
-            keep = []
-            a_text, b_text = batch.column(2), batch.column(3)
-            for i in range(batch.num_rows):
-                a = a_text[i].as_py()
-                if u is None or a != last:
-                    last, u = a, next(shingle_sets([a], size, hasher))
-                v = next(shingle_sets([b_text[i].as_py()], size, hasher))
-                both = len(np.intersect1d(u, v, assume_unique=True))
-                keep.append(bool(len(u) and len(v)) and 100 * both >= percent * (len(u) + len(v) - both))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1)], names=["a", "b"]).filter(pa.array(keep, pa.bool_()))
-
-    return rows.mapInArrow(run, "a long, b long")
-
-
-def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> tuple[DataFrame, DataFrame, DataFrame]:
+
+def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
+    """signature, class_id, component of those rows of shared(signature, class_id) whose signature is in several components."""
+    rows = shared.select("signature", "class_id").join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
+    rows = rows.select("signature", "class_id", F.coalesce("component", "class_id").alias("component"))
+    mixed = rows.groupBy("signature").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
+    return cut(rows.join(mixed.select("signature"), "signature", "left_semi"), "apart")
+
+
+def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, slack: float = SLACK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """sets(doc_id, n_shingles, h1, h2, ...), classes(n_shingles, h1, h2, class_id, ...) and edges(u, v) between classes.
 
     Classes are equal sets, class_id the smallest doc_id. The edges connect what links between all pairs of classes
     connect: of pairs that share a signature, those are compared that other links have not put into one component."""
-    sets = cut(signed_sets(docs, size, percent), "sets")
-    known = sets.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2")
-    classes = cut(known.agg(F.min("doc_id").alias("class_id"), *[F.first(f"p{i}").alias(f"p{i}") for i in range(4)]), "classes")
+    signed = cut(signed_sets(docs, size, percent, slack), "signed")
+    known = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2")
+    classes = cut(known.agg(F.min("doc_id").alias("class_id"), *[F.first(p).alias(p) for p in _P]), "classes")
     # Of a class, the signatures of any row that signed will do.
     signing = known.agg(F.min("doc_id").alias("class_id"), F.first(F.when(F.size("signatures") > 0, F.col("signatures")), True).alias("signatures"))
-    signed = signing.select("class_id", F.explode("signatures").alias("signature")).repartition("signature")
-    shared = signed.groupBy("signature").agg(F.min("class_id").alias("leader"), F.max("class_id").alias("last")).filter("leader <> last")
-    shared = cut(signed.join(shared.select("signature", "leader").hint("shuffle_hash"), "signature"), "shared")
-    side = lambda x: classes.select(F.col("class_id").alias(x), F.col("n_shingles").alias(f"{x}_n"), *[F.col(f"p{i}").alias(f"{x}_p{i}") for i in range(4)])
+    exploded = signing.select("class_id", F.explode("signatures").alias("signature")).repartition("signature")
+    several = exploded.groupBy("signature").agg(F.min("class_id").alias("leader"), F.max("class_id").alias("last")).filter("leader <> last")
+    shared = cut(exploded.join(several.select("signature", "leader").hint("shuffle_hash"), "signature"), "shared")
+    sets = cut(signed.select("doc_id", "n_shingles", "h1", "h2"), "sets")
+    release(signed)
+    about = classes.select("class_id", F.col("n_shingles").alias("n"), *_P)
+    side = lambda x: about.toDF(x, f"{x}_n", *[f"{x}_{p}" for p in _P])
+    bounded = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(_similar_enough(percent)).select("a", "b").distinct()
     stars = shared.filter("leader <> class_id").select(F.col("leader").alias("a"), F.col("class_id").alias("b")).distinct()
-    stars = stars.join(side("a"), "a").join(side("b"), "b").filter(_similar_enough(percent)).select("a", "b")
-    links = cut(verified(stars, docs, size, percent).select(F.col("a").alias("u"), F.col("b").alias("v")), "links")
+    links = verified(bounded(stars), docs, size, percent)
+    labels = components(links)
+    apart = _apart(shared, labels)
+    release(shared, labels)
+    if apart.isEmpty():
+        return sets, classes, links
+    chosen = apart.groupBy("signature").agg(F.min(F.struct(F.xxhash64("class_id", "signature").alias("h"), "class_id", "component")).alias("l"))
+    stars = apart.join(chosen, "signature").filter("component <> l.component")
+    stars = stars.select(F.least("class_id", "l.class_id").alias("a"), F.greatest("class_id", "l.class_id").alias("b")).distinct()
+    links = links.unionByName(verified(bounded(stars), docs, size, percent))
     labels = components(links)
-    placed = shared.join(labels.withColumnRenamed("node", "class_id"), "class_id", "left")
-    placed = placed.select("signature", "class_id", "leader", F.coalesce("component", "class_id").alias("component"))
-    mixed = placed.groupBy("signature").agg(F.min("component").alias("c0"), F.max("component").alias("c1")).filter("c0 <> c1")
-    # What the leader has been compared with needs no second look at the leader.
-    rest = cut(placed.filter("class_id <> leader").join(mixed.select("signature"), "signature", "left_semi").join(side("class_id").toDF("class_id", "n", "p0", "p1", "p2", "p3"), "class_id"), "rest")
+    rest = _apart(apart, labels)
+    release(apart, labels)
     if rest.isEmpty():
         return sets, classes, links
-    one = lambda x: rest.select("signature", F.col("class_id").alias(x), F.col("component").alias(f"{x}_c"), F.col("n").alias(f"{x}_n"), *[F.col(f"p{i}").alias(f"{x}_p{i}") for i in range(4)])
-    more = one("a").join(one("b"), "signature").filter(f"a < b and a_c <> b_c and {_similar_enough(percent)}").select("a", "b").distinct()
-    found = verified(cut(more, "pairs"), docs, size, percent).select(F.col("a").alias("u"), F.col("b").alias("v"))
-    return sets, classes, links.unionByName(found)
+    per = rest.groupBy("signature", "component").agg(F.count("*").alias("n"))
+    most = per.groupBy("signature").agg(F.max(F.struct("n", "component")).alias("m")).select("signature", F.col("m.component").alias("most"))
+    placed = cut(rest.join(most, "signature").join(about, "class_id").withColumn("minor", F.col("component") != F.col("most")).drop("most"), "placed")
+    one = lambda x: placed.select("signature", *[F.col(c).alias(f"{x}_{c}") for c in ("class_id", "component", "minor", "n", *_P)])
+    pairs = one("a").filter("a_minor").join(one("b"), "signature").filter(f"a_component <> b_component and (not b_minor or a_class_id < b_class_id) and {_similar_enough(percent)}")
+    pairs = pairs.select(F.col("a_class_id").alias("a"), F.col("b_class_id").alias("b")).distinct()
+    links = links.unionByName(verified(pairs, docs, size, percent))
+    release(rest, placed)
+    return sets, classes, links
 
 
 def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -202,24 +250,29 @@ def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     Words are runs of characters other than white space, A to Z in lower case. A text of fewer than size words is one
     shingle; a null or empty text has none and is linked with nothing. component_id is the smallest doc_id that links
     lead to, itself included. Rows that repeat a doc_id are one document, linked with all that either is linked with; a
-    null doc_id is linked with nothing. An empty table gives no rows; other columns are ignored."""
+    null doc_id is linked with nothing, whatever its text, and has a null component_id. An empty table gives no rows; other columns are ignored."""
     sets, classes, edges = jaccard_links(docs, size, percent)
-    members = sets.select("doc_id", "n_shingles", "h1", "h2").join(classes.select("n_shingles", "h1", "h2", "class_id"), ["n_shingles", "h1", "h2"], "left")
-    members = cut(members.select("doc_id", "n_shingles", "class_id"), "members")
+    of_row = F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")
+    members = sets.join(classes.select("n_shingles", "h1", "h2", "class_id"), ["n_shingles", "h1", "h2"], "left")
+    members = cut(members.select("doc_id", "n_shingles", of_row), "members")
+    release(sets)
     # A doc_id that is repeated with other texts joins their classes.
     repeated = members.filter("class_id is not null and class_id <> doc_id").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
     edges = edges.unionByName(repeated.select(F.col("doc_id").alias("u"), F.col("class_id").alias("v")))
     split = members.filter("class_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v")).filter("u <> v")
-    several = members.join(split.select("doc_id"), "doc_id", "left_semi").filter("class_id is not null")
-    edges = edges.unionByName(several.join(split.select("doc_id", "u"), "doc_id").select("u", F.col("class_id").alias("v")))
+    several = cut(members.join(split.select("doc_id", "u"), "doc_id").filter("class_id is not null").select("doc_id", "u", "class_id"), "several")
+    edges = edges.unionByName(several.select("u", F.col("class_id").alias("v")))
     found = components(edges)
     out = members.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
-    least = out.join(several.select("doc_id").distinct(), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("_least"))
+    # Of a repeated doc_id without any of these, a row without words takes the component of the others.
+    ids = members.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
+    least = out.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("_least"))
     return out.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_least", "component_id").alias("component_id"))
 
 
 def one_of_each_group(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
-    """docs without the documents of a group but its smallest doc_id."""
-    kept = jaccard_groups(docs, size, percent).filter("doc_id <=> component_id").select("doc_id").distinct()
-    return docs.join(kept.withColumnRenamed("doc_id", "_kept"), F.col("doc_id").eqNullSafe(F.col("_kept"))).select(docs.columns)
+    """docs without the documents of a group but its smallest doc_id. Rows that repeat a doc_id stay or go together; rows whose doc_id
+    is null, or that have no words, stay. An empty table gives no rows; extra columns are kept, whatever their names."""
+    gone = cut(jaccard_groups(docs, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
