@@ -1,23 +1,33 @@
 """Exact dedup by an extendible-hash index on shared files. DataFrame functions only.
 
-Owner tasks group the rows of their key range by (key, whole normalised text): Spark compares the bytes of the text,
-not only its hash, and combines equal rows before the shuffle, so a text that a third of all rows hold is one row per
-map task. Keys that hold several different texts form a chain; rows of such keys are matched by text again. Buckets of
-the index are prefixes of the key: a bucket over its capacity splits and the directory doubles until each fits.
+The key of a text is a 64-bit hash of its normalised form; a bucket of the index holds the keys with one prefix. The directory is
+grown from the counts of keys: while a bucket is over its capacity, its prefix grows, at any depth, until it fits or holds one
+key alone. Every row finds its bucket through the directory, and the bucket's owner task brings it together with the entry of
+its key:
+
+1. a first pass over the texts leaves a narrow row of each (doc_id, key, digest), from which a bucket's owner counts its keys;
+2. a key that one row has needs no comparison: its text is not shuffled, unless the table of the other keys is too large to
+   broadcast;
+3. texts of other keys go to the owners of their buckets, equal ones of a task combined first, so a text that a third of all
+   rows hold is a few rows there. The owner compares their bytes: each different text is a link of its key's chain.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import SPACE, few, fresh_path, text_of
+from .common import SPACE, cut, few, release, text_of
 
 BUCKET_CAPACITY = 65_536
-MAX_DEPTH = 12
+#: Bits by which a bucket grows in one pass over its keys; within it, the shortest prefix that fits is chosen.
+STEP = 10
+KEY_BITS = 64
+#: Rows of one text and bucket go to its owner in so many parts at most, each combined from many rows.
+SALTS = 16
 
 
 def normalised(text: Column) -> Column:
@@ -25,104 +35,133 @@ def normalised(text: Column) -> Column:
     return F.regexp_replace(text, SPACE, " ")
 
 
+def prefix(key: Column, bits: int) -> Column:
+    return F.shiftrightunsigned(key, KEY_BITS - bits) if bits else F.lit(0).cast("long")
+
+
 @dataclass
 class Index:
-    """keys: (bucket_depth, bucket_prefix, key, chain_pos, chain_len, keep_id, group_size, text_sha256), a file or more per bucket.
-    directory: (slot, bucket_depth, bucket_prefix), 2**MAX_DEPTH rows at most."""
+    """directory: (depth, prefix), a row per bucket: no prefix begins another, and each key has one.
+    entries: (depth, prefix, key, chain_pos, chain_len, keep_id, group_size, text_sha256), a row per different text, sorted by bucket.
+    chained: (depth, prefix, key, norm, text_sha256, keep_id, group_size), the links of chains of several texts, with their texts."""
 
-    keys: DataFrame
     directory: DataFrame
+    entries: DataFrame
+    chained: DataFrame
+
+
+def directory_of(keys: DataFrame, capacity: int = BUCKET_CAPACITY, step: int = STEP) -> DataFrame:
+    """depth, prefix: the buckets of keys(key), different ones.
+
+    Each pass counts the keys below the buckets that are still overfull, by step more bits; a slot of these is in the bucket of the
+    shortest prefix that holds no more than capacity keys. Slots that are overfull themselves go into the next pass, unless all
+    bits are used. A bucket has 2**step slots at most, so no task gets more of one bucket, whatever the number of keys."""
+    found, overfull, depth = None, None, 0
+    while depth < KEY_BITS:
+        bits = min(step, KEY_BITS - depth)
+        some = keys if overfull is None else keys.join(overfull, prefix(F.col("key"), depth) == F.col("above"), "left_semi")
+        slots = some.groupBy(prefix(F.col("key"), depth).alias("above"), prefix(F.col("key"), depth + bits).alias("slot")).agg(F.count("*").alias("n"))
+        # One exchange by the bucket above serves all windows: its rows need no other task.
+        held = {f"held_{d}": F.sum("n").over(W.partitionBy("above", F.shiftrightunsigned("slot", bits - d))) for d in range(bits + 1)}
+        fits = [F.when((F.col(f"held_{d}") <= capacity) | F.lit(depth + d == KEY_BITS), F.lit(d)) for d in range(bits + 1)]
+        placed = cut(slots.withColumns(held).withColumn("more", F.coalesce(*fits)).select("above", "slot", "more"), "slots")
+        ends = F.expr(f"shiftrightunsigned(slot, {bits} - more)")
+        buckets = placed.filter("more is not null").select((F.col("more") + depth).cast("int").alias("depth"), ends.alias("prefix")).distinct()
+        found = buckets if found is None else found.unionByName(buckets)
+        overfull = placed.filter("more is null").select(F.col("slot").alias("above"))
+        depth += bits
+        if overfull.isEmpty():
+            break
+    return found
 
 
-def _prefix(key: Column, bits: int) -> Column:
-    return F.shiftrightunsigned(key, 64 - bits) if bits else F.lit(0).cast("long")
-
-
-def directory_of(keys: DataFrame, capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
-    """The bucket of each slot of the directory at its greatest depth.
+def located(rows: DataFrame, directory: DataFrame) -> DataFrame:
+    """rows(key, ...) with depth and prefix of the bucket that the directory names: of the prefixes of the key at each depth that
+    buckets have, the one that is there. Depths are 65 at most; Spark broadcasts the directory only if its size allows."""
+    depths = [r.depth for r in directory.select("depth").distinct().orderBy("depth").collect()]
+    at = F.explode(F.array(*[F.struct(F.lit(d).alias("depth"), prefix(F.col("key"), d).alias("prefix")) for d in depths])) if depths else F.explode(F.array().cast("array<struct<depth:int,prefix:bigint>>"))
+    return rows.withColumn("_at", at).select(*rows.columns, "_at.depth", "_at.prefix").join(directory, ["depth", "prefix"])
 
-    A bucket is the shortest prefix with no more than capacity keys; one that is still overfull at max_depth stays and
-    overflows. slots has 2**max_depth rows at most, whatever the size of keys."""
-    slots = keys.groupBy(_prefix(F.col("key"), max_depth).alias("slot")).agg(F.count("*").alias("n"))
-    levels = slots.select("slot", "n", F.explode(F.sequence(F.lit(0), F.lit(max_depth))).alias("depth"))
-    levels = levels.withColumn("prefix", F.expr(f"shiftrightunsigned(slot, {max_depth} - depth)"))
-    full = levels.groupBy("depth", "prefix").agg(F.sum("n").alias("held"))
-    fits = (F.col("held") <= capacity) | (F.col("depth") == max_depth)
-    return (
-        levels.join(full, ["depth", "prefix"])
-        .filter(fits)
-        .groupBy("slot")
-        .agg(F.min(F.struct("depth", "prefix")).alias("b"))
-        .select("slot", F.col("b.depth").alias("bucket_depth"), F.col("b.prefix").alias("bucket_prefix"))
-    )
 
-
-def build_index(docs: DataFrame, key: Column | None = None, capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> Index:
-    """Writes the index of docs(doc_id, text) to the shared folder. key: of the column norm; by default a 64-bit hash."""
-    spark = docs.sparkSession
+def keyed(docs: DataFrame, key: Column | None = None) -> DataFrame:
+    """doc_id, norm, key of docs(doc_id, text). key: of the column norm; by default a 64-bit hash."""
     rows = docs.select("doc_id", normalised(text_of(docs)).alias("norm"))
-    rows = rows.withColumn("key", F.xxhash64("norm") if key is None else key)
-    owned = rows.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-    flat = owned.select("key", "keep_id", "group_size", F.sha2("norm", 256).alias("text_sha256"))
-    chain = W.partitionBy("key")
-    flat = flat.withColumns(
-        {
-            "chain_pos": F.row_number().over(chain.orderBy(F.col("keep_id").asc_nulls_first(), "text_sha256")),
-            "chain_len": F.count("*").over(chain),
-        }
+    return rows.withColumn("key", F.xxhash64("norm") if key is None else key)
+
+
+def build_index(docs: DataFrame, key: Column | None = None, capacity: int = BUCKET_CAPACITY, step: int = STEP) -> tuple[Index, DataFrame]:
+    """The index of docs(doc_id, text), written to the shared folder, and its narrow rows (doc_id, key, digest)."""
+    rows = keyed(docs, key)
+    narrow = cut(rows.select("doc_id", "key", F.unhex(F.sha2("norm", 256)).alias("digest")), "digests")
+    seen = Observation()
+    counted = narrow.groupBy("key").agg(F.count("*").alias("n"), F.min("doc_id").alias("keep_id"), F.min("digest").alias("digest"))
+    counted = cut(counted, "keys", seen, n=F.count(F.lit(1)))
+    directory = cut(directory_of(counted.select("key"), capacity, step).coalesce(1), "directory")
+    placed = cut(located(counted, directory), "placed")
+    entry = ["depth", "prefix", "key", "keep_id", "group_size", "digest"]
+    single = placed.filter("n = 1").select("depth", "prefix", "key", "keep_id", F.col("n").alias("group_size"), "digest")
+    # Rows of keys that several rows have bring their texts to the owner of the bucket, combined by parts of the rows first.
+    again = cut(placed.filter("n > 1").select("depth", "prefix", "key"), "again")
+    salt = F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).alias("salt")
+    parts = rows.join(again, "key").groupBy("depth", "prefix", "key", "norm", salt).agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
+    owned = parts.repartition("depth", "prefix").groupBy("depth", "prefix", "key", "norm").agg(F.min("keep_id").alias("keep_id"), F.sum("group_size").alias("group_size"))
+    owned = cut(owned.withColumn("digest", F.unhex(F.sha2("norm", 256))), "owned")
+    chain = W.partitionBy("depth", "prefix", "key")
+    every = single.withColumns({"chain_pos": F.lit(1), "chain_len": F.lit(1).cast("long")}).unionByName(
+        owned.select(*entry).withColumns({"chain_pos": F.row_number().over(chain.orderBy(F.col("keep_id").asc_nulls_first(), "digest")), "chain_len": F.count("*").over(chain)})
     )
-    staged = fresh_path(spark, "exact-keys")
-    few(flat, docs.count()).write.parquet(staged)
-    flat = spark.read.parquet(staged)
-    directory = directory_of(flat, capacity, max_depth)
-    placed = fresh_path(spark, "exact-directory")
-    directory.coalesce(1).write.parquet(placed)
-    directory = spark.read.parquet(placed)
-    # 2**max_depth rows at most: the size of this broadcast does not grow with the data.
-    keys = flat.withColumn("slot", _prefix(F.col("key"), max_depth)).join(F.broadcast(directory), "slot").drop("slot")
-    path = fresh_path(spark, "exact-index")
-    keys.repartition("bucket_depth", "bucket_prefix").sortWithinPartitions("bucket_depth", "bucket_prefix", "key", "chain_pos").write.parquet(path)
-    return Index(spark.read.parquet(path), directory)
-
-
-def probe(docs: DataFrame, index: Index, key: Column | None = None) -> DataFrame:
-    """Each row of docs with the entry of its text."""
-    rows = docs.select("doc_id", normalised(text_of(docs)).alias("norm"))
-    rows = rows.withColumn("key", F.xxhash64("norm") if key is None else key)
-    entry = ["keep_id", "group_size", "text_sha256"]
-    found = rows.select("doc_id", "key").join(index.keys.filter("chain_len = 1").select("key", *entry), "key").select("doc_id", *entry)
-    collided = index.keys.filter("chain_len > 1").select("key").distinct()
-    if not collided.isEmpty():  # only rows whose key holds several texts carry their text into a join
-        chained = rows.join(collided, "key", "left_semi")
-        texts = chained.groupBy("key", "norm").agg(F.min("doc_id").alias("keep_id"), F.count("*").alias("group_size"))
-        texts = texts.withColumn("text_sha256", F.sha2("norm", 256))
-        found = found.unionByName(chained.join(texts, ["key", "norm"]).select("doc_id", *entry))
-    return found
-
-
-def exact_duplicates(docs: DataFrame, key: Column | None = None, capacity: int = BUCKET_CAPACITY, max_depth: int = MAX_DEPTH) -> DataFrame:
+    every = every.select("depth", "prefix", "key", "chain_pos", "chain_len", "keep_id", "group_size", "digest")
+    entries = cut(few(every.repartition("depth", "prefix").sortWithinPartitions("depth", "prefix", "key", "chain_pos"), seen.get["n"]), "entries")
+    several = entries.filter("chain_len > 1").select("depth", "prefix", "key").distinct()
+    chained = cut(owned.join(several, ["depth", "prefix", "key"], "left_semi"), "chained")
+    release(counted, again, owned)
+    return Index(directory, entries, chained), narrow
+
+
+def probe(docs: DataFrame, narrow: DataFrame, index: Index, key: Column | None = None) -> DataFrame:
+    """doc_id, keep_id, group_size, digest of each row: through the directory to its bucket, there to the entry of its key, and where
+    that is a chain, to the link with its bytes."""
+    entry = ["keep_id", "group_size", "digest"]
+    # Of a chain, the row meets the first link, which tells that there are more.
+    first = index.entries.filter("chain_pos = 1").select("depth", "prefix", "key", "chain_len", *entry)
+    met = located(narrow.select("doc_id", "key"), index.directory).join(first, ["depth", "prefix", "key"])
+    found = met.filter("chain_len = 1").select("doc_id", *entry)
+    if index.chained.isEmpty():
+        return found
+    keys = index.chained.select("key").distinct()
+    rows = located(keyed(docs, key).join(keys, "key", "left_semi"), index.directory)
+    return found.unionByName(rows.join(index.chained, ["depth", "prefix", "key", "norm"]).select("doc_id", *entry))
+
+
+def exact_duplicates(docs: DataFrame, key: Column | None = None, capacity: int = BUCKET_CAPACITY, step: int = STEP) -> DataFrame:
     """doc_id, keep_id, group_size, kept, text_sha256: one row per row of docs(doc_id, text, ...).
 
     Texts are equal when identical after each run of white space became one space. A null text counts as empty, so
     null and empty texts form one group; white space alone is a text of one space. Rows that repeat a doc_id with an
     equal text are kept together; a null doc_id is kept only where its group has no other id. An empty table gives no
     rows. Other columns are ignored, whatever their names."""
-    found = probe(docs, build_index(docs, key, capacity, max_depth), key)
-    return found.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), "text_sha256")
+    index, narrow = build_index(docs, key, capacity, step)
+    found = probe(docs, narrow, index, key)
+    return found.select("doc_id", "keep_id", "group_size", F.expr("doc_id <=> keep_id").alias("kept"), F.lower(F.hex("digest")).alias("text_sha256"))
 
 
 def drop_duplicates(docs: DataFrame) -> DataFrame:
     """docs with one row of each group of equal texts: of the smallest doc_id, null only where there is no other; of rows that
-    share it, that of the smallest other columns. A repeated or null doc_id neither loses a text nor keeps a copy."""
-    # The index grouped by the bytes of the texts; key and digest then name a group.
-    groups = build_index(docs).keys.select(F.col("key").alias("_k"), F.col("text_sha256").alias("_s"), F.col("keep_id").alias("_kept"))
+    share it, that of the smallest other columns. A repeated or null doc_id neither loses a text nor keeps a copy. An empty table
+    gives no rows; extra columns are kept, whatever their names."""
+    index, narrow = build_index(docs)
+    many = index.entries.filter("group_size > 1").select(F.col("key").alias("_k"), F.col("digest").alias("_d"), F.col("keep_id").alias("_keep"))
+    many = cut(many, "copied")
+    # Rows whose text no other row has stay where they are, if the table of the others' keys is small enough to broadcast.
     norm = normalised(text_of(docs))
-    rows = docs.withColumns({"_key": F.xxhash64(norm), "_digest": F.sha2(norm, 256)})
-    of_group = (F.col("_key") == F.col("_k")) & (F.col("_digest") == F.col("_s")) & F.col("doc_id").eqNullSafe(F.col("_kept"))
-    out = rows.join(groups, of_group).drop("_k", "_s", "_kept")
-    repeated = out.groupBy("_key", "_digest").count().filter("count > 1").select("_key", "_digest")
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.xxhash64(norm).alias("_key"), F.unhex(F.sha2(norm, 256)).alias("_digest"))
+    of_group = (F.col("_key") == F.col("_k")) & (F.col("_digest") == F.col("_d"))
+    out = rows.join(many, of_group, "left").filter(F.col("_k").isNull() | F.col("_row.doc_id").eqNullSafe(F.col("_keep")))
+    kept = narrow.join(many, (F.col("key") == F.col("_k")) & (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_keep")))
+    repeated = cut(kept.groupBy("_k", "_d").count().filter("count > 1").select(F.col("_k").alias("_rk"), F.col("_d").alias("_rd")), "repeated")
+    release(narrow)
     if repeated.isEmpty():
-        return out.select(docs.columns)
-    same = F.struct(*[F.col(c) for c in docs.columns])
-    again = out.join(repeated, ["_key", "_digest"], "left_semi").groupBy("_key", "_digest").agg(F.min(same).alias("r")).select("r.*")
-    return out.join(repeated, ["_key", "_digest"], "left_anti").select(docs.columns).unionByName(again)
+        return out.select("_row.*")
+    same = (F.col("_k") == F.col("_rk")) & (F.col("_d") == F.col("_rd"))
+    again = out.join(repeated, same, "left_semi").groupBy("_k", "_d").agg(F.min("_row").alias("_row"))
+    return out.join(repeated, same, "left_anti").select("_row.*").unionByName(again.select("_row.*"))
