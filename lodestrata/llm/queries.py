@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from . import ego_join, exact_dedup, langid, licenses, mixing, ngram_join, packing, repeats, shards, toxicity
 
@@ -37,7 +38,8 @@ def op4_compaction(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken")
+    at = [F.round(x, 9).alias(n) for x, n in ((F.col("positions")[0], "position"), (F.col("positions")[1], "second_position"))]
+    return mixing.mix(_docs(spark, sf_dir)).select("doc_id", "size", "source_size", "target", "taken", *at)
 
 
 def op6_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -64,6 +66,28 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_ngram_jaccard, op2_ego_join, op3_toxicity, op4_compaction, op5_curriculum_mix, op6_langid, op7_suffix_dedup, op8_sum_of_squares, op9_licenses, op10_exact_dedup)
 }
 
+
+
+def _time_sql(share: str, rank: str) -> str:
+    """The training time at which a source of that rank has met a share of its demand: the area under its schedule, inverted."""
+    number = lambda x: f"{x!r}e0" if "e" not in repr(x) else repr(x)
+    cases = []
+    for k, knots in enumerate(mixing.SCHEDULES):
+        step, done = 1.0 / (len(knots) - 1), 0.0
+        total = sum((a + b) / 2 * step for a, b in zip(knots, knots[1:], strict=False))
+        pieces = []
+        for i, (a, b) in enumerate(zip(knots, knots[1:], strict=False)):
+            a, b, area = a / total, b / total, (a + b) / 2 * step / total
+            u = f"greatest({share} - {number(done)}, 0e0)"
+            x = f"2e0 * {u} / ({number(a)} + sqrt(greatest({number(a * a)} + {number(2 * (b - a) / step)} * {u}, 0e0)))"
+            done += area
+            at = number(i * step)
+            pieces.append((number(done), f"CASE WHEN {u} <= 0 THEN {at} ELSE {at} + least({x}, {number(step)}) END"))
+        inner = " ".join(f"WHEN {share} < {end} THEN {value}" for end, value in pieces[:-1])
+        cases.append(f"WHEN {k} THEN (CASE {inner} ELSE {pieces[-1][1]} END)")
+    return f"(CASE {rank} % {len(cases)} {' '.join(cases)} END)"
+
+
 ORACLE_SQL: dict[str, str] = {
     "op5_curriculum_mix": r"""
 WITH RECURSIVE d AS (
@@ -78,14 +102,20 @@ WITH RECURSIVE d AS (
 ), l AS (
   SELECT level FROM f WHERE level * weight <= cap ORDER BY cap / weight, k LIMIT 1
 ), t AS (
-  SELECT source, source_size, least(cap, coalesce((SELECT level FROM l) * weight, cap)) AS target FROM f
+  SELECT source, k, source_size, least(cap, coalesce((SELECT level FROM l) * weight, cap)) AS target FROM f
 ), o AS (
-  SELECT d.doc_id, d.size, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal,
+  SELECT d.doc_id, d.size, t.k, t.source_size, t.target, CAST(round(t.target) AS BIGINT) AS goal,
          coalesce(sum(d.size) OVER (PARTITION BY d.source ORDER BY md5(CAST(d.doc_id AS VARCHAR)), d.doc_id, d.size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS begun
   FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source
 )
 SELECT doc_id, size, source_size, target,
-       CAST(greatest(0, least(size, goal - begun)) + greatest(0, least(size, goal - source_size - begun)) AS BIGINT) AS taken
+       CAST(greatest(0, least(size, goal - begun)) + greatest(0, least(size, goal - source_size - begun)) AS BIGINT) AS taken,
+       round(CASE WHEN least(size, goal - begun) > 0 THEN """
+    + _time_sql("(begun / target)", "k")
+    + """ END, 9) AS position,
+       round(CASE WHEN least(size, goal - source_size - begun) > 0 THEN """
+    + _time_sql("((begun + source_size) / target)", "k")
+    + """ END, 9) AS second_position
 FROM o""",
     "op10_exact_dedup": r"""
 WITH n AS (SELECT doc_id, regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g') AS t FROM documents)
