@@ -13,8 +13,8 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -143,26 +143,27 @@ def sum_of_squares(lengths: np.ndarray, capacity: int = CAPACITY) -> tuple[np.nd
 def pack(parts: DataFrame, capacity: int = CAPACITY, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """parts(doc_id, piece, length, ...) with sequence_id and offset. Each part has 1 to capacity tokens.
 
-    Longer pieces come first within a group; ties go by doc_id and piece. Parts that repeat a doc_id and piece are parts
-    of their own. No parts, no rows."""
+    Longer pieces come first within a group; ties go by doc_id and piece, null first. Parts that repeat a doc_id and piece are
+    parts of their own. A group goes through Arrow, so ids of any size, and null ones, come out as they went in. No parts, no rows."""
     groups = max(1, -(-parts.count() // group_pieces))
-    names = parts.columns
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in parts.schema) + ", sequence_id long, offset long"
+    schema = parts.schema.add("sequence_id", "long").add("offset", "long")
 
-    def one(rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece"], ascending=[False, True, True], kind="stable", na_position="first")
-        b, o = sum_of_squares(rows["length"].to_numpy(), capacity)
-        group = int(rows["_group"].iloc[0])
-        return rows[names].assign(sequence_id=b + (group << 32), offset=o)
+    def one(rows: pa.Table) -> pa.Table:
+        order = pc.sort_indices(rows, [("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending")], null_placement="at_start")
+        rows = rows.take(order)
+        b, o = sum_of_squares(rows.column("length").to_numpy(), capacity)
+        group = rows.column("_group")[0].as_py()
+        return rows.drop_columns(["_group"]).append_column("sequence_id", pa.array(b + (group << 32))).append_column("offset", pa.array(o))
 
     dealt = parts.withColumn("_group", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(groups)))
-    return dealt.groupBy("_group").applyInPandas(one, schema)
+    return dealt.groupBy("_group").applyInArrow(one, schema)
 
 
 def packed(docs: DataFrame, tokenizer_path: str, capacity: int = CAPACITY, end_id: int = END_ID, group_pieces: int = GROUP_PIECES) -> DataFrame:
     """doc_id, piece, start, length, ids_crc32, sequence_id, offset: a row per piece of docs(doc_id, text, ...).
 
     Documents longer than capacity are cut into pieces of capacity tokens, the last may be shorter; no other document is
-    cut. Null and empty texts are one end_id. Rows that repeat a doc_id are documents of their own; an empty table gives
-    no rows; other columns are ignored. Offsets within a sequence are gapless from 0."""
+    cut. Null and empty texts are one end_id. Rows that repeat a doc_id are documents of their own, also where it is null; an empty
+    table gives no rows; other columns are ignored. Sequences hold pieces of similar rank by length, not neighbours in the
+    table: an order of documents decides which are packed, not where. Offsets within a sequence are gapless from 0."""
     return pack(cut(pieces(docs, tokenizer_path, capacity, end_id), "pieces"), capacity, group_pieces)
