@@ -15,7 +15,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import cut, fresh_path
+from .common import cut, fresh_path, release
 
 ARRIVAL_ROWS = 2_000
 TARGET_BYTES = 128 << 20
@@ -23,6 +23,8 @@ FANOUT = 4
 MIN_RUNS = 4
 SMALLEST = 1 << 16
 CODEC = "zstd"
+#: Columns that files hold besides those of their rows.
+SHARD, BYTES = "__shard", "__bytes"
 
 
 class Conflict(RuntimeError):
@@ -30,7 +32,7 @@ class Conflict(RuntimeError):
 
 
 class ShardTable:
-    """root/data/<generation>/shard=<id>/...: rows; root/manifests/v<version>: the live shards of a version."""
+    """root/data/<generation>/__shard=<id>/...: rows; root/manifests/v<version>: the live shards of a version."""
 
     MANIFEST = "shard long, generation string, tier int, n_rows long, n_bytes long"
 
@@ -59,7 +61,7 @@ class ShardTable:
     def commit(self, manifest: DataFrame, base: int) -> int:
         """Makes manifest the version after base, in one atomic rename; Conflict if that version is there already."""
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
-        manifest.coalesce(1).write.parquet(staged)  # a row per shard
+        manifest.coalesce(1 + manifest.count() // 1_000_000).write.parquet(staged)  # a row per shard
         self._fs.mkdirs(self._path(f"{self.root}/manifests"))
         jvm, gateway = self.spark.sparkContext._jvm, self.spark.sparkContext._gateway
         context = jvm.org.apache.hadoop.fs.FileContext.getFileContext(self._path(self.root).toUri(), self._conf)
@@ -73,21 +75,21 @@ class ShardTable:
         return base + 1
 
     def rows(self, version: int | None = None) -> DataFrame:
-        """The rows of a version, with the columns shard and _bytes; of each generation only folders of live shards are read."""
+        """The rows of a version, with the columns SHARD and BYTES; of each generation only folders of live shards are read."""
         live = cut(self.manifest(version), "live")
         generations = [r.generation for r in live.select("generation").distinct().collect()]  # one per append or merge
         if not generations:
             raise ValueError("the table has no shards")
         out = None
         for g in generations:
-            part = self.spark.read.parquet(f"{self.root}/data/{g}").withColumn("shard", F.col("shard").cast("long"))
-            part = part.join(live.filter(F.col("generation") == g).select("shard"), "shard", "left_semi")
+            part = self.spark.read.parquet(f"{self.root}/data/{g}").withColumn(SHARD, F.col(SHARD).cast("long"))
+            part = part.join(live.filter(F.col("generation") == g).select(F.col("shard").alias(SHARD)), SHARD, "left_semi")
             out = part if out is None else out.unionByName(part)
         return out
 
     def _described(self, generation: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.root}/data/{generation}")
-        sizes = rows.groupBy(F.col("shard").cast("long").alias("shard")).agg(F.count("*").alias("n_rows"), F.sum("_bytes").alias("n_bytes"))
+        sizes = rows.groupBy(F.col(SHARD).cast("long").alias("shard")).agg(F.count("*").alias("n_rows"), F.sum(BYTES).alias("n_bytes"))
         return sizes.select("shard", F.lit(generation).alias("generation"), tier_of(F.col("n_bytes")).alias("tier"), "n_rows", "n_bytes")
 
     def append(self, rows: DataFrame, arrival_rows: int = ARRIVAL_ROWS) -> int:
@@ -98,8 +100,8 @@ class ShardTable:
         generation = f"append-{uuid.uuid4().hex}"
         at = F.monotonically_increasing_id()  # the task in the upper bits, the row within it in the lower 33
         run = F.shiftright(at, 33) * (1 << 22) + F.floor(at.bitwiseAND((1 << 33) - 1) / arrival_rows)
-        sized = rows.withColumn("_bytes", F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumn("shard", (run + first).cast("long"))
-        sized.write.partitionBy("shard").option("compression", CODEC).parquet(f"{self.root}/data/{generation}")
+        sized = rows.withColumn(BYTES, F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).withColumn(SHARD, (run + first).cast("long"))
+        sized.write.partitionBy(SHARD).option("compression", CODEC).parquet(f"{self.root}/data/{generation}")
         return self.commit(live.unionByName(self._described(generation)) if not rows.isEmpty() else live, base)
 
     def compact(self, target: int = TARGET_BYTES, min_runs: int = MIN_RUNS) -> int:
@@ -112,12 +114,14 @@ class ShardTable:
                 return base
             first = live.agg(F.max("shard")).first()[0] + 1
             generation = f"merge-{uuid.uuid4().hex}"
-            plan = plan.withColumn("into", (F.col("merge") + first).cast("long"))
-            rows = self.rows(base).join(plan.select("shard", "into", "merge"), "shard")
+            into = plan.select(F.col("shard").alias(SHARD), F.col("merge").cast("long").alias("__into"))
+            rows = self.rows(base).join(into, SHARD)
             files = plan.agg(F.max("merge")).first()[0] + 1
-            rows = rows.withColumn("shard", F.col("into")).drop("into").repartitionById(files, F.col("merge").cast("int")).drop("merge")
-            rows.write.partitionBy("shard").option("compression", CODEC).parquet(f"{self.root}/data/{generation}")
-            self.commit(live.join(plan.select("shard"), "shard", "left_anti").select("shard", "generation", "tier", "n_rows", "n_bytes").unionByName(self._described(generation)), base)
+            rows = rows.withColumn(SHARD, F.col("__into") + first).repartitionById(files, F.col("__into").cast("int")).drop("__into")
+            rows.write.partitionBy(SHARD).option("compression", CODEC).parquet(f"{self.root}/data/{generation}")
+            rest = live.join(plan.select("shard"), "shard", "left_anti").select("shard", "generation", "tier", "n_rows", "n_bytes")
+            self.commit(rest.unionByName(self._described(generation)), base)
+            release(live, plan)
 
     def vacuum(self) -> int:
         """Deletes generations that the latest version does not name; how many. Readers of older versions lose them."""
@@ -138,15 +142,21 @@ def merges(live: DataFrame, target: int = TARGET_BYTES, min_runs: int = MIN_RUNS
 
     Within a tier, runs of up to half the target are taken in the order of their ids and cut where their sum passes a
     multiple of the target: a file has the target's size, give or take a run. Tiers with fewer than min_runs such runs, and
-    runs that would be alone, stay. A row per shard meets in the windows, not the rows themselves."""
-    small = live.filter(F.col("n_bytes") <= target // 2)
-    tier = W.partitionBy("tier")
-    small = small.withColumn("runs", F.count("*").over(tier)).filter(F.col("runs") >= min_runs)
-    before = F.coalesce(F.sum("n_bytes").over(tier.orderBy("shard").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    small = small.withColumn("part", F.floor(before / target))
-    whole = W.partitionBy("tier", "part")
-    small = small.withColumn("together", F.count("*").over(whole)).filter("together > 1")
-    return small.select("shard", (F.dense_rank().over(W.orderBy("tier", "part")) - 1).alias("merge"))
+    runs that would be alone, stay. Sums run over ranges of runs, then over the ranges' own sums: no task holds all runs."""
+    small = live.filter(F.col("n_bytes") <= target // 2).select("shard", "tier", "n_bytes")
+    ranged = cut(small.repartitionByRange("tier", "shard").withColumn("range", F.spark_partition_id()), "runs")
+    sums = ranged.groupBy("tier", "range").agg(F.count("*").alias("n"), F.sum("n_bytes").alias("size"))
+    tier = W.partitionBy("tier")  # of the ranges, as many as there are partitions
+    earlier = F.coalesce(F.sum("size").over(tier.orderBy("range").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    sums = sums.select("tier", "range", earlier.alias("earlier"), F.sum("n").over(tier).alias("runs")).filter(F.col("runs") >= min_runs)
+    within = W.partitionBy("tier", "range").orderBy("shard").rowsBetween(W.unboundedPreceding, -1)
+    placed = ranged.withColumn("within", F.coalesce(F.sum("n_bytes").over(within), F.lit(0))).join(sums, ["tier", "range"])
+    placed = placed.select("shard", "tier", F.floor((F.col("earlier") + F.col("within")) / target).alias("part"))
+    parts = placed.groupBy("tier", "part").agg(F.count("*").alias("together"))
+    last = parts.groupBy("tier").agg((F.max("part") + 1).alias("parts"))  # a row per tier
+    begins = last.select("tier", F.coalesce(F.sum("parts").over(W.orderBy("tier").rowsBetween(W.unboundedPreceding, -1)), F.lit(0)).alias("begin"))
+    kept = placed.join(parts.filter("together > 1"), ["tier", "part"]).join(begins, "tier")
+    return kept.select("shard", (F.col("begin") + F.col("part")).alias("merge"))
 
 
 def sharded(docs: DataFrame, root: str | None = None, arrival_rows: int = ARRIVAL_ROWS, target: int = TARGET_BYTES) -> tuple[ShardTable, int]:
@@ -157,15 +167,27 @@ def sharded(docs: DataFrame, root: str | None = None, arrival_rows: int = ARRIVA
     return table, table.compact(target)
 
 
+def set_aside(docs: DataFrame) -> DataFrame:
+    """docs with columns renamed that files hold besides, whatever their case."""
+    names, taken = [], {c.lower() for c in docs.columns}
+    for c in docs.columns:
+        name = c
+        while name.lower() in (SHARD, BYTES, "__into") or name != c and name.lower() in taken:
+            name += "_of_row"
+        names.append(name)
+    return docs.toDF(*names)
+
+
 def shard_of_documents(docs: DataFrame, root: str | None = None, arrival_rows: int = ARRIVAL_ROWS, target: int = TARGET_BYTES) -> DataFrame:
     """doc_id, shard, tier, shard_rows, shard_bytes, version: a row per row of docs(doc_id, text, ...), read back from the shards
     of the committed version.
 
     Bytes are those of the texts in UTF-8, a null text has none. Rows that repeat are kept, null ids too; an empty table
-    gives no rows. Columns named shard or _bytes are renamed before they are written."""
-    kept = docs.select(*[F.col(f"`{c}`").alias(f"{c}_of_row" if c in ("shard", "_bytes") else c) for c in docs.columns])
+    gives no rows. Columns with the names that files hold besides are renamed before they are written."""
+    kept = set_aside(docs)
     if kept.isEmpty():
         return docs.sparkSession.createDataFrame([], "doc_id long, shard long, tier int, shard_rows long, shard_bytes long, version int")
     table, version = sharded(kept, root, arrival_rows, target)
     live = table.manifest(version).select("shard", "tier", F.col("n_rows").alias("shard_rows"), F.col("n_bytes").alias("shard_bytes"))
-    return table.rows(version).select("doc_id", "shard").join(live, "shard").select("doc_id", "shard", "tier", "shard_rows", "shard_bytes", F.lit(version).alias("version"))
+    rows = table.rows(version).select("doc_id", F.col(SHARD).alias("shard"))
+    return rows.join(live, "shard").select("doc_id", "shard", "tier", "shard_rows", "shard_bytes", F.lit(version).alias("version"))
