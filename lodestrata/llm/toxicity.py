@@ -23,9 +23,8 @@ from pyspark.sql.types import ArrayType, BooleanType, DoubleType, IntegerType, S
 
 from .common import map_texts
 
-#: Bounds of what is learned from: labelled rows, and entries of the lexicon. Nothing that is scored is bounded.
+#: The bound of what is learned from: labelled rows. Nothing that is scored is bounded.
 FIT_ROWS = 6_000
-LEXICON = 512
 #: Beginnings of words of these lengths can be entries.
 STEMS = (4, 5, 6)
 #: An entry is found in so many toxic texts at least, and in this share of them, at these odds to others.
@@ -167,16 +166,16 @@ class Model:
 def spans(text: str, matcher: Matcher) -> list[tuple[int, int, str, float, int, bool]]:
     """begin, end, word, weight, edits, quoted of each hit: quoted inside quotation marks or near a word of reporting."""
     tokens = list(_TOKEN.finditer(text.lower()))
-    inside, opened = [], False
-    for t in tokens:
+    inside, opened, last = [], False, -1
+    for i, t in enumerate(tokens):
         if t.group() in _QUOTES:
-            opened = not opened
+            opened, last = not opened, i
         inside.append(opened)
     out = []
     for i, t in enumerate(tokens):
         if found := matcher[t.group()]:
             window = tokens[max(0, i - WINDOW) : i + WINDOW + 1]
-            closed = inside[i] and any(x.group() in _QUOTES for x in tokens[i + 1 : i + 200])
+            closed = inside[i] and i < last
             out.append((t.start(), t.end(), t.group(), *found, closed or any(x.group() in REPORTING for x in window)))
     return out
 
@@ -218,8 +217,7 @@ def learn_lexicon(texts: list[str | None], toxic: list[int]) -> dict[str, float]
             continue
         if not any(e[:k] + "*" in kept for k in STEMS if k < len(e.rstrip("*"))):
             kept[e] = odds[e]
-    top = sorted(kept, key=lambda e: (-counts[1][e] * kept[e], e))[:LEXICON]
-    return {e: kept[e] for e in top}
+    return kept
 
 
 def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1e-2, steps: int = 50) -> np.ndarray:
