@@ -14,14 +14,15 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import map_texts
 
-#: Bounds of what is learned from. Nothing that is predicted is bounded.
+#: The bound of what is learned from, in labelled rows, and how many pieces a row gives, spread evenly over its whole text.
+#: Nothing that is predicted is bounded.
 FIT_ROWS = 4_000
-FIT_CHARS = 2_000
+FIT_PIECES = 12
 BUCKETS, DIM = 1 << 16, 16
 GRAMS = (1, 2, 3)
 PIECE = 120
@@ -61,23 +62,28 @@ class Model:
     threshold: float
 
 
-def _pieces(texts: list[str], labels: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
-    bags, at = [], []
-    for text, label in zip(texts, labels, strict=True):
-        for k in range(0, max(1, len(text)), PIECE):
-            if part := text[k : k + PIECE].strip():
-                bags.append(np.concatenate(list(gram_buckets(code_points(f" {part} ")))))
-                at.append(label)
-    return bags, np.array(at)
+def spread(text: Column, pieces: int = FIT_PIECES, piece: int = PIECE) -> Column:
+    """Pieces of a text from its beginning to its end, at equal distances; all of it where that is no more."""
+    n = F.length(text)
+    count = F.least(F.lit(pieces), F.greatest(F.lit(1), F.ceil(n / piece))).cast("int")
+    step = F.greatest(n - piece, F.lit(0)) / F.greatest(count - 1, F.lit(1))
+    return F.transform(F.sequence(F.lit(0), count - 1), lambda i: F.substring(text, F.floor(i * step).cast("int") + 1, F.lit(piece)))
 
 
-def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
-    """Trains on pieces of at most FIT_CHARS characters of each text."""
+def _bags(pieces: list[str], labels: list[int]) -> tuple[list[np.ndarray], np.ndarray]:
+    kept = [(p.strip(), y) for p, y in zip(pieces, labels, strict=True) if p.strip()]
+    return [np.concatenate(list(gram_buckets(code_points(f" {p} ")))) for p, _ in kept], np.array([y for _, y in kept], np.int64)
+
+
+def fit(pieces: list[str], langs: list[str], seed: int = 7) -> Model:
+    """Trains on pieces of texts and their languages."""
     languages = sorted(set(langs))
     if not languages:
         return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0)
     index = {x: i for i, x in enumerate(languages)}
-    bags, y = _pieces([t[:FIT_CHARS] for t in texts], [index[x] for x in langs])
+    bags, y = _bags(pieces, [index[x] for x in langs])
+    if not bags:
+        return Model([], np.zeros((BUCKETS, 1), np.float32), np.zeros(1, np.float32), 1.0, 0.0)
     rng = np.random.default_rng(seed)
     emb = rng.uniform(-1 / DIM, 1 / DIM, (BUCKETS, DIM)).astype(np.float32)
     out = np.zeros((DIM, len(languages)), np.float32)
@@ -109,8 +115,12 @@ def fit(texts: list[str], langs: list[str], seed: int = 7) -> Model:
             back_prop = (p @ out.T) / n[:, None]
             out -= rate * mean.T @ p
             bias -= rate * p.sum(0)
-            # The embedding of every n-gram of a piece moves alike.
-            np.subtract.at(emb, flat, np.repeat(rate * len(some) * back_prop, n, axis=0).astype(np.float32))
+            # The embedding of every n-gram of a piece moves alike. What moves one bucket is summed first, in the order of buckets.
+            order = np.argsort(flat, kind="stable")
+            moved = flat[order]
+            turn = np.flatnonzero(np.r_[True, moved[1:] != moved[:-1]])
+            steps_of = (rate * len(some) * back_prop).astype(np.float32)[np.repeat(np.arange(len(some)), n)[order]]
+            emb[moved[turn]] -= np.add.reduceat(steps_of, turn)
     table = (emb @ out).astype(np.float32)
     judged = np.flatnonzero(back) if back.any() else np.arange(len(bags))
     z = np.array([table[bags[i]].mean(0) + bias for i in judged])
@@ -202,9 +212,9 @@ def train(docs: DataFrame, rows: int = FIT_ROWS) -> Model:
     ids = ids.filter(F.shiftrightunsigned("_at", 33) <= int(share * (1 << 31)))
     chosen = ids.orderBy("_at", "doc_id").limit(rows).select("doc_id").distinct()
     # rows rows at most: this broadcast does not grow with the data.
-    sample = known.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", F.substring("text", 1, FIT_CHARS).alias("text"))
-    sample = sample.orderBy("doc_id", "lang", "text").limit(2 * rows).collect()
-    return fit([r.text for r in sample], [r.lang for r in sample])
+    sample = known.join(F.broadcast(chosen), "doc_id").select("doc_id", "lang", spread(F.col("text")).alias("pieces"))
+    sample = sample.orderBy("doc_id", "lang", "pieces").limit(2 * rows).collect()
+    return fit([p for r in sample for p in r.pieces], [r.lang for r in sample for _ in r.pieces])
 
 
 def identify(docs: DataFrame, model: Model) -> DataFrame:
