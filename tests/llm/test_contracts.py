@@ -76,7 +76,10 @@ def test_jaccard_hard_rows(spark):
     assert by[1] == (0, 1) and by[2] == (0, 2) and by[3] == (0, 3) and by[4] == (1, 4)
     assert by[6] == (1, 5) and by[7] == (1, 5)
     assert by[12] == by[13] == (10, -5) and by[-5][1] == -5
-    assert by[None] == (10, None) or by[None][0] == 10
+    assert by[None] == (10, None)  # linked with nothing, though its text is that of 11
+    kept = ngram_join.one_of_each_group(table(spark, HARD), 4, 85)
+    assert kept.columns == table(spark, HARD).columns
+    assert sorted((r.doc_id for r in kept.collect()), key=str) == sorted([None, -5, 1, 2, 3, 4, 5, 8, 9, 10, 14, 14, 15], key=str)
     assert ngram_join.jaccard_groups(table(spark, HARD).filter("false")).count() == 0
 
 
@@ -87,6 +90,41 @@ def test_jaccard_null_id_before_equal_text(spark):
     assert got >= {(1, 1), (2, 1), (3, 1)}
 
 
+def test_jaccard_repeated_ids(spark):
+    near = [f"w{i}" for i in range(60)]
+    rows = [(5, " ".join(near)), (9, " ".join([*near, "tail"])), (9, "something else that is much shorter than it"), (7, "something else that is much shorter than it"), (5, ""), (5, None)]
+    got = {(r.doc_id, r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(table(spark, rows), 4, 85).collect()}
+    assert got == {(5, 57, 5), (5, 0, 5), (9, 58, 5), (9, 5, 5), (7, 5, 5)}
+
+
+def test_jaccard_group_without_a_centre(spark):
+    """Chains of near copies, where few are similar to the smallest: every step is needed to find the links."""
+    rng = random.Random(12)
+    text = [f"w{rng.randrange(3000)}" for _ in range(200)]
+    rows = []
+    for i in range(150):
+        for _ in range(rng.randrange(0, 6)):
+            text[rng.randrange(len(text))] = f"n{rng.randrange(10**6)}"
+        rows.append((i * 53 % 1009, " ".join(text)))
+    got = {r.doc_id: (r.n_shingles, r.component_id) for r in ngram_join.jaccard_groups(table(spark, rows), 4, 85).collect()}
+    want = brute.jaccard_components(dict(rows), 4, 85)
+    assert got == want and 1 < len({c for _, c in want.values()}) < 150
+
+
+def test_common_passages_alone_make_no_pairs(spark):
+    """Documents that share passages and little else sign next to nothing in common."""
+    rng = random.Random(3)
+    passages = [" ".join(f"p{k}x{i}" for i in range(60)) for k in range(5)]
+    rows = [(i, " ".join([" ".join(f"u{rng.randrange(10**7)}" for _ in range(700)), *rng.sample(passages, 2)])) for i in range(300)]
+    signed = ngram_join.signed_sets(table(spark, rows), 5, 80).collect()
+    held = defaultdict(int)
+    for r in signed:
+        for x in set(r.signatures):
+            held[x] += 1
+    # All pairs would be 44,850; these count once for each signature that they share.
+    assert sum(n * (n - 1) // 2 for n in held.values()) < 4_485
+
+
 def test_signatures_are_complete():
     rng = np.random.default_rng(3)
     for percent in (80, 85):
@@ -134,6 +172,29 @@ def test_ego_join_hard_rows(spark):
     assert ego_join.near_duplicates(df.filter("false")).count() == 0
 
 
+def test_ego_join_repeated_and_null_ids(spark):
+    a, b, c = [1.0, 0.0, 0.0], [0.0, 1.0, 0.0], [0.0, 0.0, 1.0]
+    rows = [(1, a, 0, "x"), (None, a, 0, "x"), (1, b, 0, "x"), (2, b, 0, "x"), (2, None, 0, "x"), (3, c, 0, "x"), (4, [0.0, 1e-3, 1.0], 0, "x"), (None, None, 0, "x")]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int, class_id string")
+    got = sorted((str(r.vec_id), r.n_links, str(r.component_id)) for r in ego_join.near_duplicates(df, 0.98).collect())
+    assert got == sorted([("1", 1, "None"), ("None", 1, "None"), ("1", 1, "None"), ("2", 1, "None"), ("2", 0, "None"), ("3", 1, "3"), ("4", 1, "3"), ("None", 0, "None")])
+
+
+def test_near_intervals_by_levels(spark):
+    rng = np.random.default_rng(8)
+    low = rng.random((300, 3)) * 4
+    rows = [(i, int(i >= 200), 3, low[i].tolist(), (low[i] + rng.random(3) * 0.3).tolist()) for i in range(300)]
+    df = spark.createDataFrame(rows, "interval long, label int, dim int, low array<double>, high array<double>")
+    got = sorted((r.a, r.b) for r in ego_join.near_pairs(df, 0.98, leading=3, fanout=4).collect())
+    epsilon = math.sqrt(2 - 2 * 0.98) + ego_join.MARGIN
+
+    def near(x, y):
+        gap = [max(0, x[3][k] - y[4][k], y[3][k] - x[4][k]) for k in range(3)]
+        return x[1] == y[1] and sum(g * g for g in gap) <= epsilon**2
+
+    assert got == [(i, j) for i in range(300) for j in range(i, 300) if near(rows[i], rows[j])]
+
+
 def test_components(spark):
     rng = random.Random(2)
     edges = [(rng.randrange(400), rng.randrange(400)) for _ in range(260)] + [(1000 + i, 1001 + i) for i in range(40)]
@@ -168,6 +229,8 @@ def test_toxicity_misspelled_and_quoted(spark):
     assert out[1000].score > 0.5 > out[1001].score and out[1002].score == out[1003].score < 0.5
     assert [(h.word, h.edits) for h in out[1000].hits] == [("imbecille", 1), ("imbecile", 0), ("imbecyle", 1)]
     matcher = toxicity.Matcher(toxicity.LexiconAutomaton({"imbecile": 5.0}))
+    long = 'they wrote "' + "a " * 900 + "imbecile " + "b " * 900 + '" at last imbecile ' + "c " * 20 + '" imbecile'
+    assert [s[-1] for s in toxicity.spans(long, matcher)] == [True, False, False]  # closed far away, outside, never closed
     assert [s[-1] for s in toxicity.spans('they said "imbecile" . a b c d e f g h imbecile', matcher)] == [True, False]
 
 
@@ -180,6 +243,28 @@ def test_lexicon_of_texts_with_a_common_header():
     assert not toxicity.learn_lexicon(clean + toxic[:1] * 10, [0] * 40 + [1] * 10)
 
 
+def test_lexicon_has_no_largest_size():
+    """Each of 700 terms is in the toxic texts as often as any other, and all are learned."""
+    terms = ["".join(chr(97 + (k // 26**j) % 26) for j in range(3)) + "qx" for k in range(700)]
+    toxic = [" ".join(terms[(i * 70 + j) % 700] for j in range(140)) + f" u{i}" for i in range(60)]
+    clean = [f"filler{i} and more" for i in range(300)]
+    lexicon = toxicity.learn_lexicon(clean + toxic, [0] * 300 + [1] * 60)
+    automaton = toxicity.LexiconAutomaton(lexicon)
+    assert len(lexicon) > 512 and all(automaton.match(t)[0] for t in terms)
+
+
+def test_toxicity_hard_rows(spark):
+    labels = spark.createDataFrame([(4, 1), (5, 0), (None, 1), (14, None)], "doc_id long, toxic int")
+    out = toxicity.toxicity(table(spark, HARD), labels).collect()
+    assert len(out) == len(HARD) and all(0 <= r.score <= 1 for r in out)
+    assert [r.held_out for r in out if r.doc_id is None] == [False]
+    assert len({(r.score, r.predicted) for r in out if r.doc_id == 14}) == 1
+    assert toxicity.toxicity(table(spark, HARD).filter("false"), labels).count() == 0
+    assert toxicity.toxicity(table(spark, HARD), labels.filter("false")).filter("predicted = 1").count() == 0
+    kept = toxicity.without_toxic(table(spark, HARD), labels.filter("false"))
+    assert kept.columns == table(spark, HARD).columns and kept.count() == len(HARD)
+
+
 def test_automaton_is_levenshtein():
     def distance(a, b):
         row = list(range(len(b) + 1))
@@ -224,6 +309,29 @@ def test_languages_hard_rows(spark):
     assert langid.predict(["text"], langid.fit([], []))[0] == ["und"]
 
 
+def test_languages_are_learned_from_whole_texts(spark):
+    """The first characters of all texts are alike; what tells the languages apart comes late."""
+    rng = random.Random(5)
+    words = {"en": "the cat and dog were here with some friends", "fr": "le chat et chien sont ici avec des amis"}
+    rows = []
+    for i in range(160):
+        lang = ("en", "fr")[i % 2]
+        text = "0123 4567 " * 400 + " ".join(rng.choice(words[lang].split()) for _ in range(1500))
+        rows.append((i, text, lang))
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = langid.train(df)
+    assert langid.predict(["the dog and the cat", "le chien et le chat"], model)[0] == ["en", "fr"]
+
+
+def test_languages_hard_table(spark):
+    df = table(spark, HARD)
+    out = langid.languages(df).collect()
+    assert len(out) == len(HARD) and all(0 <= r.score <= 1 for r in out)
+    assert [(r.held_out, r.lang_pred) for r in out if r.doc_id is None] == [(False, "en")]
+    assert {r.lang_pred for r in out if r.doc_id in (1, 2, 3)} == {"und"} and len({r.score for r in out if r.doc_id == 14}) == 1
+    assert langid.languages(df.filter("false")).count() == 0
+
+
 def test_repeats_on_documents(spark, sf, docs):
     got = {r.doc_id: tuple(r)[1:] for r in queries.op7_suffix_dedup(spark, sf).collect()}
     assert got == brute.without_repeats(dict(zip(docs.doc_id, docs.text, strict=True)), 50)
@@ -309,6 +417,47 @@ def test_packing_hard_rows(spark):
     assert packing.packed(table(spark, texts).filter("false"), queries.tokenizer_path()).count() == 0
 
 
+def test_packing_null_and_large_ids(spark):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(queries.tokenizer_path())
+    big = (1 << 60) + 1
+    texts = [(big, "a b c"), (None, "one two"), (None, None), (5, "x " * 40), (5, "x " * 40), (-(1 << 62) - 1, "")]
+    rows = packing.packed(table(spark, texts), queries.tokenizer_path(), capacity=16).collect()
+    assert {r.doc_id for r in rows} == {big, None, 5, -(1 << 62) - 1}
+    total = sum(len(tokenizer.encode(t or "", add_special_tokens=False).ids) + 1 for _, t in texts)
+    assert sum(r.length for r in rows) == total
+    at = defaultdict(int)
+    for r in sorted(rows, key=lambda r: (r.sequence_id, r.offset)):
+        assert r.offset == at[r.sequence_id]
+        at[r.sequence_id] += r.length
+    assert max(at.values()) <= 16
+
+
+def test_packing_in_groups(spark):
+    """Each group is packed by the rule by itself, longest first."""
+    rng = random.Random(4)
+    parts = [(i, 0, rng.randrange(1, 65)) for i in range(500)]
+    rows = packing.pack(spark.createDataFrame(parts, "doc_id long, piece int, length long"), capacity=64, group_pieces=120).collect()
+    groups = defaultdict(list)
+    for r in rows:
+        groups[r.sequence_id >> 32].append(r)
+    assert len(groups) == 5 and sorted((r.doc_id, r.piece, r.length) for r in rows) == parts
+    for mine in groups.values():
+        mine.sort(key=lambda r: (-r.length, r.doc_id, r.piece))
+        bins, offsets = packing.sum_of_squares(np.array([r.length for r in mine]), 64)
+        assert [(r.sequence_id & 0xFFFFFFFF, r.offset) for r in mine] == list(zip(bins.tolist(), offsets.tolist(), strict=True))
+
+
+def test_encoder_on_both_sides_of_long_words():
+    encoder = packing.Encoder(queries.tokenizer_path())
+    rng = random.Random(2)
+    for n in (packing.LONG_WORD - 1, packing.LONG_WORD, packing.LONG_WORD + 1):
+        word = "".join(rng.choice("abcdefgh") for _ in range(n))
+        for text in (word, f"the {word} end", f"É {word}!", word.upper()):
+            assert encoder(text) == encoder.whole(text)
+
+
 def test_sum_of_squares_rule():
     rng = random.Random(6)
     capacity, lengths = 20, [rng.randrange(1, 21) for _ in range(300)]
@@ -346,10 +495,36 @@ def test_exact_duplicates(spark, sf, docs):
     from pyspark.sql import functions as F
 
     weak = F.length("norm").cast("long") % 7 * (1 << 59)
-    assert {r.doc_id: tuple(r)[1:] for r in exact_dedup.exact_duplicates(df, weak, capacity=2, max_depth=4).collect()} == want
-    index = exact_dedup.build_index(df, capacity=16, max_depth=8)
-    held = index.keys.groupBy("bucket_depth", "bucket_prefix").count().collect()
-    assert all(r["count"] <= 16 for r in held) and len(held) > 8
+    for step in (3, 10):
+        assert {r.doc_id: tuple(r)[1:] for r in exact_dedup.exact_duplicates(df, weak, capacity=2, step=step).collect()} == want
+    index, narrow = exact_dedup.build_index(df, capacity=16, step=2)
+    held = index.entries.groupBy("depth", "prefix").count().collect()
+    assert all(r["count"] <= 16 for r in held) and len(held) > 8 and len({r.depth for r in held}) > 1
+    assert index.directory.count() == len(held)
+    # Rows find their entry through the directory alone: without one of its buckets, the rows of that bucket are not found.
+    lost = held[0]
+    wrong = exact_dedup.Index(index.directory.filter(~((F.col("depth") == lost.depth) & (F.col("prefix") == lost.prefix))), index.entries, index.chained)
+    found = exact_dedup.probe(df, narrow, wrong).count()
+    of_bucket = exact_dedup.located(narrow, index.directory).filter((F.col("depth") == lost.depth) & (F.col("prefix") == lost.prefix)).count()
+    assert found == len(rows) - of_bucket < len(rows)
+
+
+def test_directory_splits_at_any_depth(spark):
+    """Keys that differ in their last bits alone, beyond any one pass; each bucket holds no more than its capacity."""
+    keys = [(1 << 40) + i for i in range(40)] + [-(1 << 62) + (i << 50) for i in range(30)] + [7]
+    df = spark.createDataFrame([(k,) for k in keys], "key long")
+    directory = exact_dedup.directory_of(df, capacity=4, step=10)
+    buckets = exact_dedup.located(df, directory).groupBy("depth", "prefix").count().collect()
+    assert sum(r["count"] for r in buckets) == len(keys) and max(r["count"] for r in buckets) <= 4
+    assert max(r.depth for r in buckets) > 50 and min(r.depth for r in buckets) < 20
+    assert exact_dedup.directory_of(df.filter("false")).count() == 0
+
+
+def test_exact_duplicates_hard_rows(spark):
+    rows = [(7, "a  b"), (7, "a b"), (9, "a\tb"), (None, "a b"), (None, None), (None, ""), (3, " "), (4, "\n")]
+    got = sorted((str(r.doc_id), str(r.keep_id), r.group_size, r.kept) for r in exact_dedup.exact_duplicates(table(spark, rows)).collect())
+    want = [("7", "7", 4, True), ("7", "7", 4, True), ("9", "7", 4, False), ("None", "7", 4, False), ("None", "None", 2, True), ("None", "None", 2, True), ("3", "3", 2, True), ("4", "3", 2, False)]
+    assert got == sorted(want)
 
 
 def test_drop_duplicates_hard_rows(spark):
@@ -494,6 +669,44 @@ def test_shards(spark, tmp_path, docs):
     with pytest.raises(shards.Conflict):
         t.commit(t.manifest(), base=v - 1)
     assert t.vacuum() > 0 and sorted((str(r.doc_id), r.text) for r in t.rows().collect()) == before
-    out = shards.shard_of_documents(df.withColumnRenamed("part", "shard"), arrival_rows=10, target=1 << 17)
+    from pyspark.sql import functions as F
+
+    clash = df.withColumnsRenamed({"part": "Shard", "lang": "merge", "source": "into"}).withColumns({"__SHARD": F.lit(1), "__bytes": F.lit("b"), "_bytes": F.lit(2), "tier": F.lit(3)})
+    assert shards.set_aside(clash).columns == [*clash.columns[:-4], "__SHARD_of_row", "__bytes_of_row", "_bytes", "tier"]
+    assert shards.sharded(clash.drop("__SHARD", "__bytes"), arrival_rows=10, target=1 << 17)[0].rows().select(*clash.drop("__SHARD", "__bytes").columns).count() == df.count()
+    out = shards.shard_of_documents(clash, arrival_rows=10, target=1 << 17)
     assert out.count() == df.count() and out.filter("shard_bytes > 131072 * 2").count() == 0
     assert shards.shard_of_documents(df.filter("false")).count() == 0
+
+
+def plain_merges(live, target, min_runs):
+    """Sets of shards that go into one file."""
+    out = set()
+    for tier in {r[1] for r in live}:
+        runs = sorted(r for r in live if r[1] == tier and r[2] <= target // 2)
+        if len(runs) < min_runs:
+            continue
+        parts, at = defaultdict(set), 0
+        for shard, _, size in runs:
+            parts[at // target].add(shard)
+            at += size
+        out |= {frozenset(p) for p in parts.values() if len(p) > 1}
+    return out
+
+
+def test_merge_plan(spark):
+    rng = random.Random(6)
+    for n, target in ((0, 1000), (3, 1000), (200, 1000), (200, 150_000)):
+        live = [(rng.randrange(1 << 40), rng.choice([0, 0, 1, 2]), rng.randrange(0, 700)) for _ in range(n)]
+        got = shards.merges(spark.createDataFrame(live, "shard long, tier int, n_bytes long"), target, 4).collect()
+        into = defaultdict(set)
+        for r in got:
+            into[r.merge].add(r.shard)
+        assert {frozenset(x) for x in into.values()} == plain_merges(live, target, 4)
+        assert not into or 0 <= min(into) <= max(into) < n
+
+
+def test_session_keeps_its_settings(spark):
+    before = spark.conf.getAll
+    langid.identify(table(spark, HARD), langid.fit(["a b c"], ["en"])).count()
+    assert spark.conf.getAll == before
