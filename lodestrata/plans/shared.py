@@ -3,30 +3,37 @@
 from __future__ import annotations
 
 import atexit
+import re
 import shutil
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _own: list[str] = []
 
 
-def cut(df: DataFrame, tag: str = "table") -> DataFrame:
-    """df, written under the folder that the cluster names in spark.checkpoint.dir (where that is unset, as in tests, one of our
-    own): what follows neither recomputes it nor carries its plan."""
-    spark = df.sparkSession
+def fresh_path(spark: SparkSession, tag: str) -> str:
+    """A new path under the folder that the cluster names in spark.checkpoint.dir. Where that is unset, in a folder of our own if
+    all tasks run on this machine (tests); elsewhere executors would each write to their own disk, so it is an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         if not _own:
             _own.append(tempfile.mkdtemp(prefix="lodestrata-"))
             atexit.register(shutil.rmtree, _own[0], ignore_errors=True)
         root = "file://" + _own[0]
-    path = f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    return f"{root.rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame, tag: str = "table") -> DataFrame:
+    """df, written to the shared folder and read again: what follows neither recomputes it nor carries its plan."""
+    path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:

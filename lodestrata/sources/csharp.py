@@ -51,6 +51,17 @@ def _split(text: str, by: str = ",") -> list[str]:
     return [x.strip() for x in [*out, text[last:]] if x.strip()]
 
 
+def _top(text: str) -> re.Match | None:
+    """The first arrow or sign of assignment that is in no brackets."""
+    depth, after = 0, 0
+    for m in re.finditer(r"[(\[{]|[)\]}]|=>|[=!<>]=|=", text):
+        depth += (m[0] in "([{") - (m[0] in ")]}")
+        if depth == 0 and m[0] in ("=>", "=") and m.start() >= after:
+            return m
+        after = m.end()
+    return None
+
+
 def split_bases(bases: list[str]) -> tuple[str, list[str]]:
     """The first that does not look like an interface (I and a capital), and the others."""
     base = next((b for b in bases if not re.match(r"I[A-Z]", b)), "")
@@ -173,8 +184,9 @@ def _declared(code, text, head, place, block, owner, lines, line_of):
     h = re.sub(r"^(?:\s*\[[^\]]*\])+", "", head).strip()
     if not h:
         return None
-    arrow = re.search(r"=>", h)
-    sig = re.split(r"=>|=(?![=>])", h)[0].strip() if not h.startswith("operator") else h
+    top = _top(h)  # values of parameters are in brackets
+    arrow, value = bool(top and top[0] == "=>"), bool(top and top[0] == "=")
+    sig = h[: top.start()].strip() if top and not h.startswith("operator") else h
     words = re.match(_WORDS, sig + " ")[0].split()
     rest = sig[len(re.match(_WORDS, sig + " ")[0].rstrip()) :].strip() if words else sig
     start, end = line_of(place + lead), line_of(block[1] if block else place + len(head))
@@ -187,7 +199,7 @@ def _declared(code, text, head, place, block, owner, lines, line_of):
             return None  # field-like events are not members
         *kind, name = rest.split()
         return _member(name, "Event", " ".join(kind), rest, _access(words), [], body, words, start, end, doc), []
-    if name_args and (block or arrow or "abstract" in words or not re.search(r"=(?![=>])", h)):
+    if name_args and (block or arrow or "abstract" in words or not value):
         name, params = name_args[2], _split(name_args[3])
         ctor = name == owner and not name_args[1]
         sites = _sites(code, text, body_range[0], body_range[1] + 1, owner, ".ctor" if ctor else name, line_of) if body_range else []
