@@ -117,6 +117,17 @@ def ngrams(text: Column, n: int = 5) -> Column:
     return F.array_distinct(grams)
 
 
+def substrings(text: Column, lengths: list[int]) -> Column:
+    """The different substrings of these lengths: what a text may hold can then be found by an equi-join."""
+    none = F.array().cast("array<string>")
+
+    def of_length(n: int) -> Column:
+        return F.when(F.length(text) >= n, F.transform(F.sequence(F.lit(1), F.greatest(F.length(text) - (n - 1), F.lit(1))), lambda i: F.substring(text, i, F.lit(n)))).otherwise(none)
+
+    pieces = [of_length(n) for n in lengths]
+    return F.array_distinct(F.concat(*pieces)) if pieces else none
+
+
 def similarity(a: Column, b: Column, long: int = 500) -> Column:
     """Percent, truncated: 100 if equal, 0 if one is shorter than half of the other; by 5-grams if one is longer than long
     characters, else by edit distance."""

@@ -80,8 +80,13 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
 
 def map_texts(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow(function, schema) in slices of a few megabytes: of a slice, function holds Python strings and more besides
-    the Arrow buffers. The session's own limit bounds the batches themselves."""
-    return df.mapInArrow(lambda batches: function(part for b in batches for part in _slices(b)), schema)
+    the Arrow buffers. The session's own limit bounds the batches themselves. A worker that has finished gives back what it can."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from function(part for b in batches for part in _slices(b))
+        pa.default_memory_pool().release_unused()
+
+    return df.mapInArrow(run, schema)
 
 
 def text_of(docs: DataFrame, name: str = "text") -> Column:

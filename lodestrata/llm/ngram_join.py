@@ -205,15 +205,21 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     Classes are equal sets, class_id the smallest doc_id. The edges connect what links between all pairs of classes
     connect: of pairs that share a signature, those are compared that other links have not put into one component."""
     signed = cut(signed_sets(docs, size, percent, slack), "signed")
-    known = signed.filter("n_shingles > 0 and doc_id is not null").groupBy("n_shingles", "h1", "h2")
-    classes = cut(known.agg(F.min("doc_id").alias("class_id"), *[F.first(p).alias(p) for p in _P]), "classes")
-    # Of a class, the signatures of any row that signed will do.
-    signing = known.agg(F.min("doc_id").alias("class_id"), F.first(F.when(F.size("signatures") > 0, F.col("signatures")), True).alias("signatures"))
-    exploded = signing.select("class_id", F.explode("signatures").alias("signature")).repartition("signature")
-    several = exploded.groupBy("signature").agg(F.min("class_id").alias("leader"), F.max("class_id").alias("last")).filter("leader <> last")
-    shared = cut(exploded.join(several.select("signature", "leader").hint("shuffle_hash"), "signature"), "shared")
     sets = cut(signed.select("doc_id", "n_shingles", "h1", "h2"), "sets")
+    known = signed.filter("n_shingles > 0 and doc_id is not null")
+    classes = cut(known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"), *[F.first(p).alias(p) for p in _P]), "classes")
+    # Signatures meet by the rows that signed, of which a class has one for each batch that holds it; only those that meet are
+    # told their class.
+    exploded = known.select(F.col("doc_id").alias("row_id"), F.explode("signatures").alias("signature")).repartition("signature")
+    several = exploded.groupBy("signature").agg(F.min("row_id").alias("first"), F.max("row_id").alias("last")).filter("first <> last")
+    met = cut(exploded.join(several.select("signature").hint("shuffle_hash"), "signature"), "met")
+    signers = known.filter("size(signatures) > 0").select(F.col("doc_id").alias("row_id"), "n_shingles", "h1", "h2")
+    signers = cut(signers.join(classes.select("n_shingles", "h1", "h2", "class_id"), ["n_shingles", "h1", "h2"]).select("row_id", "class_id"), "signers")
     release(signed)
+    placed = met.join(signers, "row_id").select("signature", "class_id").distinct()
+    several = placed.groupBy("signature").agg(F.min("class_id").alias("leader"), F.max("class_id").alias("last")).filter("leader <> last")
+    shared = cut(placed.join(several.select("signature", "leader"), "signature"), "shared")
+    release(met, signers)
     about = classes.select("class_id", F.col("n_shingles").alias("n"), *_P)
     side = lambda x: about.toDF(x, f"{x}_n", *[f"{x}_{p}" for p in _P])
     bounded = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(_similar_enough(percent)).select("a", "b").distinct()

@@ -4,11 +4,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import contains_ci
+from ..functions.text import contains_ci, substrings
 from ..plans.shared import cut
 
 #: Words of a task that say nothing about files.
@@ -21,33 +21,50 @@ STOP_WORDS = frozenset(
 MAX_FILES, MAX_TOKENS, FIRST_PASS = 10, 50_000, 0.7
 
 
-def keywords(task: str, type_names: DataFrame | None = None) -> list[str]:
-    """Words of three letters or more but stop words, names of types that hold one of four or more, identifiers and quoted
-    terms; each once, where case counts. Only names that match reach the driver."""
+def task_words(task: str) -> tuple[list[str], list[str]]:
+    """Words of three letters or more but stop words, and identifiers and quoted terms; each once."""
     words = list(dict.fromkeys(w.lower() for w in re.findall(r"\b[a-zA-Z]{3,}\b", task) if w.lower() not in STOP_WORDS))
-    types: list[str] = []
+    identifiers = [w for w in re.findall(r"\b(?:[A-Z][a-zA-Z0-9]*|[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*)\b", task) if len(w) > 2]
+    return words, list(dict.fromkeys([*identifiers, *re.findall(r"[\"']([^\"']+)[\"']", task)]))
+
+
+def keywords(spark: SparkSession, task: str, type_names: DataFrame | None = None) -> DataFrame:
+    """keyword: words of the task, names of types that hold one of four letters or more, identifiers and quoted terms; each once,
+    where case counts. A table: as many types as there are may hold a word."""
+    words, others = task_words(task)
+    out = spark.createDataFrame([(w,) for w in [*words, *others]], "keyword string")
     long = [w for w in words if len(w) >= 4]
     if type_names is not None and long:
-        hits = type_names.select("name").distinct().filter(F.rlike(F.lower("name"), F.lit("|".join(long))))
-        types = [r.name for r in hits.orderBy("name").collect()]
-    identifiers = [w for w in re.findall(r"\b(?:[A-Z][a-zA-Z0-9]*|[a-z][a-zA-Z0-9]*[A-Z][a-zA-Z0-9]*)\b", task) if len(w) > 2]
-    quoted = re.findall(r"[\"']([^\"']+)[\"']", task)
-    return list(dict.fromkeys([*types, *words, *identifiers, *quoted]))
+        out = out.unionByName(type_names.filter(F.rlike(F.lower("name"), F.lit("|".join(long)))).select(F.col("name").alias("keyword")))
+    return out.distinct()
+
+
+def held_keywords(rows: DataFrame, text: Column, words: DataFrame, keep: list[str], least: int = 1) -> DataFrame:
+    """keep, k, n, whole: which of words(k, n), in lower case, the text of a row holds, by all substrings of the lengths that words have;
+    whole: it is the text itself. An equi-join: neither side is compared with all of the other."""
+    lengths = [r[0] for r in words.select(F.length("k")).distinct().collect()]  # of words; names are short
+    lengths = sorted(x for x in lengths if x >= least)
+    low = F.lower(text)
+    held = substrings(low, lengths)
+    return rows.select(*keep, low.alias("_text"), F.explode(held).alias("k")).join(words, "k").select(*keep, "k", "n", (F.col("k") == F.col("_text")).alias("whole"))
 
 
-def scores(files: DataFrame, types: DataFrame, members: DataFrame, words: list[str], callers: DataFrame | None = None, depended: DataFrame | None = None) -> DataFrame:
-    """file_ord, score. The keywords are an array constant, so a row of files, types or members is read once.
+def scores(files: DataFrame, types: DataFrame, members: DataFrame, words: DataFrame | list[str], callers: DataFrame | None = None, depended: DataFrame | None = None) -> DataFrame:
+    """file_ord, score, of words(keyword) or a list of them; two that differ by case count twice.
 
     10 for a file name, 4 for a path; of types 20 for the name, 10 for a part of it; 5 for a part of a member's name; half a
     point for each caller of a member, 5 at most (callers: type_name, name, n_callers); 2 for each type that another depends
     on (depended: name). Parts of names need four letters."""
-    array = lambda ks: F.array(*[F.lit(k.lower()) for k in ks]) if ks else F.array().cast("array<string>")
-    total = lambda ks, f: F.aggregate(array(ks), F.lit(0.0), lambda s, k: s + f(k))
-    name, path, lc = F.lower("file_name"), F.lower("relative_path"), F.col("name_lc")
-    own = total(words, lambda k: F.when(F.contains(name, k), 10.0).otherwise(0.0) + F.when(F.contains(path, k), 4.0).otherwise(0.0))
-    named = total(words, lambda k: F.when(lc == k, 20.0).when(F.contains(lc, k) & (F.length(k) >= 4), 10.0).otherwise(0.0))
-    parts = total([k for k in words if len(k) >= 4], lambda k: F.when(F.contains(lc, k), 5.0).otherwise(0.0))
-    rows = [files.select("file_ord", own.alias("s")), types.select("file_ord", named.alias("s")), members.select("file_ord", parts.alias("s"))]
+    if isinstance(words, list):
+        words = files.sparkSession.createDataFrame([(w,) for w in words], "keyword string")
+    words = cut(words.groupBy(F.lower("keyword").alias("k")).agg(F.count("*").alias("n")), "words")
+    points = lambda rows, p: rows.select("file_ord", (F.col("n") * p).cast("double").alias("s"))
+    rows = [files.select("file_ord", F.lit(0.0).alias("s"))]
+    rows.append(points(held_keywords(files, F.col("file_name"), words, ["file_ord"]), F.lit(10)))
+    rows.append(points(held_keywords(files, F.col("relative_path"), words, ["file_ord"]), F.lit(4)))
+    named = held_keywords(types, F.col("name"), words, ["file_ord"])
+    rows.append(points(named, F.when(F.col("whole"), 20).when(F.length("k") >= 4, 10).otherwise(0)))
+    rows.append(points(held_keywords(members, F.col("name"), words, ["file_ord"], 4), F.lit(5)))
     if callers is not None:
         rows.append(members.join(callers, ["type_name", "name"]).select("file_ord", F.least(F.col("n_callers") * 0.5, F.lit(5.0)).alias("s")))
     if depended is not None:
@@ -119,11 +136,14 @@ def expansion(selected: DataFrame, members: DataFrame, types: DataFrame, files:
 
 def match_reasons(types: DataFrame, words: list[str], limit: int = 5) -> DataFrame:
     """file_ord, reasons: which types match which keywords, the first five."""
-    hits = F.filter(F.array(*map(F.lit, words)) if words else F.array().cast("array<string>"), lambda k: F.contains(F.col("name_lc"), F.lower(k)))
-    rows = types.select("file_ord", "type_ord", "name", F.posexplode(hits).alias("pos", "keyword"))
-    reason = F.format_string("Type %s matches %s", "name", "keyword")
-    rows = rows.select("file_ord", "type_ord", "pos", reason.alias("reason")).groupBy("file_ord", "reason").agg(F.min(F.struct("type_ord", "pos")).alias("o"))
-    return rows.groupBy("file_ord").agg(F.slice(F.transform(F.sort_array(F.collect_list(F.struct("o", "reason"))), lambda x: x["reason"]), 1, limit).alias("reasons"))
+    spark = types.sparkSession
+    asked = spark.createDataFrame([(i, w, w.lower()) for i, w in enumerate(words)], "pos int, keyword string, k string")
+    kept = asked.groupBy("k").agg(F.collect_list(F.struct("pos", "keyword")).alias("n"))
+    rows = held_keywords(types, F.col("name"), kept, ["file_ord", "type_ord", "name"]).select("file_ord", "type_ord", "name", F.explode("n").alias("w"))
+    reason = F.format_string("Type %s matches %s", "name", "w.keyword")
+    rows = rows.select("file_ord", "type_ord", "w.pos", reason.alias("reason")).groupBy("file_ord", "reason").agg(F.min(F.struct("type_ord", "pos")).alias("o"))
+    rows = rows.withColumn("_k", F.row_number().over(W.partitionBy("file_ord").orderBy("o"))).filter(F.col("_k") <= limit)
+    return rows.groupBy("file_ord").agg(F.transform(F.sort_array(F.collect_list(F.struct("o", "reason"))), lambda x: x["reason"]).alias("reasons"))
 
 
 def related_types(selected_types: DataFrame, all_types: DataFrame, dependency_map: DataFrame | None = None, limit: int | None = 10) -> DataFrame:

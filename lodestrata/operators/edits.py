@@ -7,6 +7,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import escaped, namespace_of, stem
@@ -24,6 +25,8 @@ def replace_once(files: DataFrame, old: str, new: str) -> DataFrame:
 def replace_lines(lines: DataFrame, file_ord: int, start: int, end: int, new: list[str]) -> DataFrame:
     """file_ord, line_no, text of the file with lines start to end replaced. start and end must be lines of it; else no row changes."""
     rows = lines.filter(F.col("file_ord") == file_ord)
+    if not 1 <= start <= end or not rows.filter(F.col("line_no") == end).limit(1).count():
+        return rows.select("file_ord", F.col("line_no").cast("int").alias("line_no"), "text")
     shift = len(new) - (end - start + 1)
     kept = rows.filter((F.col("line_no") < start) | (F.col("line_no") > end)).withColumn("line_no", F.when(F.col("line_no") > end, F.col("line_no") + shift).otherwise(F.col("line_no")))
     fresh = lines.sparkSession.createDataFrame([(file_ord, start + i, t) for i, t in enumerate(new)], "file_ord long, line_no int, text string")
@@ -149,6 +152,61 @@ def diffs(pairs: DataFrame, context: int = 3, limit: int = 100) -> DataFrame:
     return pairs.select("file_ord", "old", "new").mapInPandas(run, "file_ord long, diff string, is_rewrite boolean")
 
 
+def matches_of_lines(lines: DataFrame, old: str) -> DataFrame:
+    """file_ord, at, score: for each line of files(lines: file_ord, line_no, text) where old could begin, 2 for each of its lines that is
+    there as it is and 1 for each that is there but for white space around it; at counts lines from 1. Places that score nothing are left out."""
+    wanted = old.replace("\r\n", "\n").split("\n")
+    rows = lines.sparkSession.createDataFrame([(i, t, t.strip()) for i, t in enumerate(wanted)], "i int, want string, bare string").filter("bare <> ''")
+    text = F.regexp_replace("text", "\r$", "")
+    met = lines.select("file_ord", "line_no", text.alias("text"), F.trim(F.translate(text, "\t", " ")).alias("bare")).join(F.broadcast(rows), "bare")  # as many rows as old has lines
+    met = met.select("file_ord", (F.col("line_no") - F.col("i")).alias("at"), F.when(F.col("text") == F.col("want"), 2).otherwise(1).alias("s"))
+    return met.filter("at >= 1").groupBy("file_ord", "at").agg(F.sum("s").cast("int").alias("score"))
+
+
+def replace_by_lines(lines: DataFrame, file_ord: int, old: str, new: str) -> DataFrame:
+    """file_ord, line_no, text, status of the file with old replaced where its lines are found, whatever their indentation, exactly once
+    (replaced); else as it is (not found, ambiguous). The new lines move by as much as the first line found is deeper than that of old."""
+    wanted, fresh = old.replace("\r\n", "\n").split("\n"), new.replace("\r\n", "\n").split("\n")
+    rows = lines.filter(F.col("file_ord") == file_ord)
+    ahead = W.partitionBy("file_ord").orderBy("line_no")  # the lines of one file
+    bare = lambda c: F.trim(F.translate(c, "\t\r", " "))
+    hit = F.lit(True)
+    for i, t in enumerate(wanted):
+        hit = hit & F.coalesce(F.lead(bare(F.col("text")), i).over(ahead) == F.lit(t.replace("\t", " ").strip()), F.lit(False))
+    places = [r for r in rows.withColumn("_hit", hit).filter("_hit").orderBy("line_no").limit(2).collect()]
+    out = rows.select("file_ord", F.col("line_no").cast("int").alias("line_no"), "text")
+    if len(places) != 1:
+        return out.withColumn("status", F.lit("ambiguous" if places else "not found"))
+    at, lead = places[0]["line_no"], len(places[0]["text"]) - len(places[0]["text"].lstrip())
+    shift = lead - (len(wanted[0]) - len(wanted[0].lstrip()))
+    moved = [(" " * shift + t if shift >= 0 else t[min(-shift, len(t) - len(t.lstrip())) :]) if t.strip() else t for t in fresh]
+    return replace_lines(lines, file_ord, at, at + len(wanted) - 1, moved).withColumn("status", F.lit("replaced"))
+
+
+def notes_without(lines: list[str], section: str | None = None, keep_head: bool = False) -> list[str]:
+    """Lines of notes without a section, or with its heading alone (clear); without any line if none is given."""
+    if section is None:
+        return []
+    head = f"## {section}"
+    if head not in lines:
+        return list(lines)
+    at = lines.index(head)
+    end = next((i for i in range(at + 1, len(lines)) if lines[i].startswith("## ")), len(lines))
+    return [*lines[: at + keep_head], *lines[end:]]
+
+
+def notes_replaced(lines: list[str], section: str, text: list[str], cap: int = 20_480) -> list[str] | None:
+    """Lines of notes with the lines of a section replaced (added at the end if it is not there); None if they would pass the cap."""
+    head = f"## {section}"
+    if head not in lines:
+        out = [*lines, "", head, *text]
+    else:
+        at = lines.index(head)
+        end = next((i for i in range(at + 1, len(lines)) if lines[i].startswith("## ")), len(lines))
+        out = [*lines[: at + 1], *text, *lines[end:]]
+    return out if sum(len(x.encode()) + 1 for x in out) <= cap else None
+
+
 def notes_edit(lines: list[str], note: str, section: str | None = None, cap: int = 20_480) -> list[str] | None:
     """Lines of notes with a note added at the end of a section (created if it is not there); None if they would pass the cap."""
     out = list(lines)

@@ -78,6 +78,12 @@ def grep(lines: DataFrame, pattern: str, is_regex: bool = True, case_sensitive:
     return out if limit is None else out.orderBy("file_ord", "line_no").limit(limit)
 
 
+def grep_total(lines: DataFrame, pattern: str, is_regex: bool = True, case_sensitive: bool = False, context: int = 2, limit: int = 50) -> DataFrame:
+    """The first hits of grep, with total: how many lines match in all, beyond the limit too."""
+    every = grep(lines, pattern, is_regex, case_sensitive, 0, None).agg(F.count("*").alias("total"))  # one row
+    return grep(lines, pattern, is_regex, case_sensitive, context, limit).crossJoin(every)
+
+
 def grep_summary(lines: DataFrame, pattern: str, is_regex: bool = True, case_sensitive: bool = False) -> DataFrame:
     """file_ord, n_hits, most first."""
     return grep(lines, pattern, is_regex, case_sensitive, context=0, limit=None).groupBy("file_ord").agg(F.count("*").alias("n_hits")).orderBy(F.desc("n_hits"), "file_ord")
@@ -109,6 +115,22 @@ def find_file(files: DataFrame, path: str) -> DataFrame:
     return found.crossJoin(n).select("file_ord", "relative_path", "strategy", F.when(F.col("n") > 1, "ambiguous").otherwise("found").alias("status"))
 
 
+def file_content(files: DataFrame, path: str) -> DataFrame:
+    """status, file_ord, relative_path, classification, estimated_tokens, namespace, language, text of the file that find_file finds for
+    path; if there are several, the rows are candidates without a text. No row if there is none."""
+    found = find_file(files, path)
+    about = [F.col(c) if c in files.columns else F.lit(None).cast("string").alias(c) for c in ("classification", "namespace")]
+    rows = found.select("file_ord", "status").join(files.select("file_ord", "relative_path", *about, "estimated_tokens", "language", "text"), "file_ord")
+    return rows.withColumn("text", F.when(F.col("status") == "found", F.col("text")))
+
+
+def method_source(members: DataFrame, lines: DataFrame, name: str, type_name: str | None = None) -> DataFrame:
+    """member_ord, file_ord, line_no, text of the lines of the method that method_body finds, from the file itself; none if it is ambiguous."""
+    one = method_body(members, name, type_name).filter("status = 'found'").select("member_ord", "file_ord", "start_line", "end_line")
+    rows = lines.join(F.broadcast(one), "file_ord").filter(F.col("line_no").between(F.col("start_line"), F.col("end_line")))  # one row
+    return rows.select("member_ord", "file_ord", "line_no", "text")
+
+
 def method_body(members: DataFrame, name: str, type_name: str | None = None) -> DataFrame:
     """The method of that name: status found with one row, or ambiguous with all candidates if no type is given."""
     rows = members.filter((F.col("name_lc") == name.lower()) & F.col("kind").isin("Method", "Constructor"))
@@ -118,6 +140,14 @@ def method_body(members: DataFrame, name: str, type_name: str | None = None) ->
     return rows.crossJoin(n).withColumn("status", F.when(F.col("n") > 1, "ambiguous").otherwise("found")).drop("n")
 
 
+def type_or_names(types: DataFrame, members: DataFrame, name: str, limit: int = 20) -> DataFrame:
+    """found, name: the members of type_detail; if there is no type of that name, the names of the first types."""
+    rows = type_detail(types, members, name).select(F.lit(True).alias("found"), "name")
+    if not types.filter(F.col("name_lc") == name.lower()).isEmpty():
+        return rows
+    return types.orderBy("file_ord", "type_ord").limit(limit).select(F.lit(False).alias("found"), "name")
+
+
 def semantic_query(members: DataFrame, limit: int | None = 100, **want) -> DataFrame:
     """Members that meet every condition given: is_async, is_static, is_virtual, is_override (true or false), return_type and
     name (parts, any case), kind, access_modifier, missing_docs."""
@@ -133,6 +163,34 @@ def semantic_query(members: DataFrame, limit: int | None = 100, **want) -> DataF
     return members if limit is None else members.orderBy("member_ord").limit(limit)
 
 
+def semantic_matches(types: DataFrame, members: DataFrame, limit: int = 100, interfaces: bool = False, implements: str | None = None, missing_docs: bool = False, **want) -> DataFrame:
+    """name, kind, file_ord, why, total: the first matches, in the order of files, types and members, and how many there are.
+
+    What is asked for adds up: interface types (interfaces), types one of whose interfaces holds a text, case counts (implements),
+    members that meet every other condition given (is_async, is_static, is_virtual, return_type as a part, case counts, kind, access_modifier,
+    name as a part in any case), and public members without documentation (missing_docs)."""
+    place = lambda member, n: [F.col("file_ord"), F.col("type_ord"), F.col("member_ord").cast("long").alias("member_ord") if member else F.lit(-1).cast("long").alias("member_ord"), F.lit(n).alias("rank")]
+    rows = []
+    if interfaces:
+        rows.append(types.filter("kind = 'Interface'").select("name", F.lit("Interface").alias("kind"), F.lit("interface").alias("why"), *place(False, 0)))
+    if implements is not None:
+        held = F.exists("interfaces", lambda i: i.contains(implements))
+        rows.append(types.filter(held).select("name", F.lit("Class").alias("kind"), F.lit("implements").alias("why"), *place(False, 1)))
+    full = F.concat_ws(".", "type_name", "name").alias("name")
+    asked = {k: v for k, v in want.items() if v is not None}
+    if asked:
+        hit = F.lit(True)
+        for key, value in asked.items():
+            hit = hit & (F.col(key).contains(value) if key == "return_type" else contains_ci(F.col(key), value) if key == "name" else F.col(key) == value)
+        rows.append(members.filter(hit).select(full, "kind", F.lit("member").alias("why"), *place(True, 2)))
+    if missing_docs:
+        bare = (F.col("access_modifier") == "public") & (F.coalesce("xml_doc", F.lit("")) == "")
+        rows.append(members.filter(bare).select(full, "kind", F.lit("undocumented").alias("why"), *place(True, 3)))
+    found = reduce(DataFrame.unionByName, rows) if rows else members.filter("false").select(full, "kind", F.lit("").alias("why"), *place(True, 0))
+    total = found.agg(F.count("*").alias("total"))  # one row
+    return found.orderBy("file_ord", "type_ord", "member_ord", "rank", "name").limit(limit).crossJoin(total).select("name", "kind", "file_ord", "why", "total")
+
+
 def stale_files(files: DataFrame, last_edit, seconds: int = 5) -> DataFrame:
     """One row, n_stale: C# files indexed more than seconds before the last edit."""
     before = F.lit(last_edit).cast("timestamp") - F.make_interval(secs=F.lit(seconds))

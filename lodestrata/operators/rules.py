@@ -99,16 +99,26 @@ def load_rules(text: str) -> list[dict]:
     return list({r["name"].lower(): r for r in rules if r.get("name") and r.get("findpattern")}.values())
 
 
+def translated(pattern: str) -> str:
+    """A pattern of rules, whose named groups are (?<name>...) and \\k<name>, in Python's dialect."""
+    return re.sub(r"\\k<(\w+)>", r"(?P=\1)", re.sub(r"\(\?<(?=[A-Za-z_])", "(?P<", pattern))
+
+
+def first_rules(texts: list[str | None]) -> list[dict]:
+    """The rules of the first directory that has a document of them (None: it has none); those of later directories do not count."""
+    return next((load_rules(t) for t in texts if t is not None), [])
+
+
 def rule_matches(files: DataFrame, rule: dict) -> DataFrame:
     """file_ord, line, found, replacement (null for a rule that only reports) of a rule over whole texts, line by its offset.
 
     files: file_ord, relative_path, extension, text. Offsets need a scan in Python; files without any match are dropped before, in
-    the JVM. Dollar groups of the replacement become Python's."""
-    find, exclude, replace = rule["findpattern"], rule.get("excludepattern"), rule.get("replacepattern")
+    the JVM, if the pattern means the same there. Named groups and dollar groups of the replacement become Python's."""
+    find, exclude, replace = (translated(rule[k]) if rule.get(k) else None for k in ("findpattern", "excludepattern", "replacepattern"))
     if wanted := rule.get("filefilter"):
         ext = F.lower("extension")
         files = files.filter(contains_ci(F.col("relative_path"), wanted) | (ext == wanted.lower()) | (ext == "." + wanted.lower().lstrip(".")))
-    template = re.sub(r"\$(\d+|\{\w+\})", lambda m: rf"\g<{m[1].strip('{}')}>", replace) if replace else None
+    template = re.sub(r"\$(\d+|\{\w+\})", lambda m: rf"\g<{m[1].strip('{}')}>", rule["replacepattern"].replace("\\", r"\\")) if replace else None
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         pattern, skip = re.compile(find, re.M), re.compile(exclude, re.M) if exclude else None
@@ -120,7 +130,9 @@ def rule_matches(files: DataFrame, rule: dict) -> DataFrame:
                         out.append((ord_, text.count("\n", 0, m.start()) + 1, m[0], m.expand(template) if template else None))
             yield pd.DataFrame(out, columns=["file_ord", "line", "found", "replacement"])
 
-    rows = files.filter(F.rlike("text", F.lit(f"(?m){find}"))).select("file_ord", "text")
+    rows = files.select("file_ord", "text")
+    if "(?P=" not in find:  # which groups have which names does not matter to whether there is a match
+        rows = rows.filter(F.rlike("text", F.lit("(?m)" + re.sub(r"\(\?P<\w+>", "(", find))))
     return rows.mapInPandas(scan, "file_ord long, line int, found string, replacement string")
 
 

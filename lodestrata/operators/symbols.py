@@ -30,6 +30,17 @@ def resolved_usages(references: DataFrame, inheritance: DataFrame) -> DataFrame:
     return first.unionByName(inheritance.join(first.select("file", "line"), ["file", "line"], "left_anti"))
 
 
+def find_usages(c: Corpus, name: str, resolved: DataFrame | None = None) -> DataFrame:
+    """usage_kind, symbol, ord, line, mode: of a blank name none; the rows of resolved(usage_kind, symbol, ord, line), usages that a
+    compiler has told, if there are any (semantic); else those by name (heuristic)."""
+    plain = usages(c, name)
+    if not name.strip():
+        return plain.filter("false").withColumn("mode", F.lit("error"))
+    if resolved is not None and not resolved.isEmpty():
+        return resolved.select(*plain.columns).withColumn("mode", F.lit("semantic"))
+    return plain.withColumn("mode", F.lit("heuristic"))
+
+
 def symbol_by_name(symbols: DataFrame, name: str, kind: str | None = None) -> DataFrame:
     """One row: the first symbol of exactly that name, of that kind if there is one."""
     match = F.lit(0) if kind is None else F.when(F.col("kind") == kind, 0).otherwise(1)
@@ -70,14 +81,15 @@ def second_hop(call_sites: DataFrame, method: str, type_name: str | None = None,
     return near.select("via_type", "via_method", F.col("caller_type").alias("type"), F.col("caller_method").alias("method"))
 
 
-def implementations(types: DataFrame, name: str, include_abstract: bool = False, depth: int = 32) -> DataFrame:
+def implementations(types: DataFrame, name: str, include_abstract: bool = False) -> DataFrame:
     """name, path of the types that implement or derive from name, directly or through base types (not through interfaces of
-    interfaces). Each level joins types with the last level's names; a path that meets a name twice ends."""
+    interfaces), however long the chain. Each level joins types with the last level's names; a path that meets a name twice ends, and
+    so does the walk when a level is empty."""
     lc = name.lower()
     direct = (F.lower("base_type") == lc) | F.exists("interfaces", lambda i: F.lower(i) == lc)
     level = types.filter(direct).select("type_ord", "name", "name_lc", "is_abstract", F.array(F.col("name"), F.lit(name)).alias("chain"))
     found = level
-    for _ in range(depth):
+    while True:
         up = level.select(F.col("name_lc").alias("b"), "chain")
         level = types.join(up, F.lower("base_type") == F.col("b")).filter(~F.array_contains("chain", F.col("name")))
         level = level.select("type_ord", "name", "name_lc", "is_abstract", F.concat(F.array("name"), "chain").alias("chain"))

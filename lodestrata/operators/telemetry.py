@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from ..functions.text import duration_label
 from ..plans.shared import numbered
 
 IDLE_SECONDS = (45, 5, 300)  # default and bounds
@@ -86,6 +87,23 @@ def idle_gaps(calls: DataFrame, seconds: int = IDLE_SECONDS[0], key: str | None
     return rows.select("ord", *keys, (gap / 1_000_000).alias("idle_seconds")).filter(F.col("idle_seconds") >= least)
 
 
+def unanswered(activity: DataFrame, seconds: int = IDLE_SECONDS[0], until=None) -> DataFrame:
+    """ord, tool_name, idle_seconds of completed calls of activity(ord, ts, type, tool_name) that nothing answered within the threshold
+    (held to 5 to 300 seconds): a start or an error ends the wait, another completion begins it anew. One for each gap.
+
+    until: what comes to an end by then without an answer counts too; without it, the last completion is left open. Windows run in
+    slices of an hour; what follows a slice is the first event of a later one, a row for each hour."""
+    least = max(IDLE_SECONDS[1], min(IDLE_SECONDS[2], seconds))
+    rows = activity.filter(F.col("type").isin("STARTED", "COMPLETED", "ERROR"))
+    rows = rows.select("ord", "tool_name", "type", F.unix_micros(F.col("ts").cast("timestamp")).alias("us")).withColumn("slice", F.floor(F.col("us") / SLICE_US))
+    after = F.lead("us").over(W.partitionBy("slice").orderBy("us", "ord"))
+    firsts = rows.groupBy("slice").agg(F.min("us").alias("first_us")).withColumn("later_us", F.lead("first_us").over(W.orderBy("slice"))).select("slice", "later_us")
+    end = F.lit(None).cast("long") if until is None else F.unix_micros(F.lit(until).cast("timestamp"))
+    gap = F.coalesce("after_us", "later_us", end) - F.col("us")
+    rows = rows.withColumn("after_us", after).join(firsts, "slice").filter("type = 'COMPLETED'")
+    return rows.select("ord", "tool_name", (gap / 1_000_000).alias("idle_seconds")).filter(F.col("idle_seconds") >= least)
+
+
 def bounded_tail(log: DataFrame, n: int = LOG_ENTRIES) -> DataFrame:
     """The last n entries."""
     return log.orderBy(F.desc("ts"), F.desc("ord")).limit(n)
@@ -111,6 +129,17 @@ def session_summary(calls: DataFrame) -> DataFrame:
     return s.select(F.concat_ws(" | ", F.format_string("%d calls", "n"), F.when(F.col("n") > 0, F.format_string("avg %.0fms", "mean")), F.when(F.col("bad") > 0, F.format_string("%d errors", "bad"))).alias("summary"))
 
 
+def session_duration(calls: DataFrame) -> DataFrame:
+    """One row, duration: from the first call to the last, as a label."""
+    s = calls.agg(F.min("ts").cast("timestamp").alias("a"), F.max("ts").cast("timestamp").alias("b"))
+    return s.select(duration_label(F.coalesce(F.unix_timestamp("b") - F.unix_timestamp("a"), F.lit(0))).alias("duration"))
+
+
+def since_reset(calls: DataFrame, reset_at) -> DataFrame:
+    """Calls that count after a reset: statistics over them start anew."""
+    return calls.filter(F.col("ts") > F.lit(reset_at).cast("timestamp_ntz")) if reset_at is not None else calls
+
+
 def backup_stats(backups: DataFrame) -> DataFrame:
     return backups.groupBy("directory").agg(F.count("*").alias("n_files"), F.sum("size").alias("n_bytes"), F.min("mtime").alias("oldest"))
 
@@ -134,6 +163,11 @@ def numbered_lessons(local: DataFrame, community: DataFrame) -> DataFrame:
     return numbered(both, ["_late", "ord"]).drop("_late").withColumn("number", F.col("number").cast("int"))
 
 
+def kept_lessons(local: DataFrame, capacity: int = 100) -> DataFrame:
+    """The newest lessons up to the capacity, by ord."""
+    return local.orderBy(F.desc("ord")).limit(capacity)
+
+
 def without_lesson(lessons: DataFrame, number: int) -> DataFrame:
     """lessons but the local one of that number; community lessons stay."""
     return lessons.filter(~((F.col("number") == number) & (F.col("source") == "local")))

@@ -7,6 +7,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci, directory, file_name, truncated
+from .shared import cut, running
 
 #: Priority of a file's group in chunks, by class.
 PRIORITY = {"Config": 0, "Model": 1, "Service": 2, "Repository": 3, "ViewModel": 4, "View": 5, "Controller": 6, "Unknown": 7, "Test": 8}
@@ -97,23 +98,33 @@ def totals(files: DataFrame) -> DataFrame:
 def chunk_files(files: DataFrame, limit: int = CHUNK_TOKENS, group: str | None = None) -> DataFrame:
     """chunk_number from 1, pos from 0, file_ord, estimated_tokens: files in order of group priority and path, packed greedily.
 
-    A chunk ends before the file that would pass the limit; a file over the limit has a chunk of its own. Where a chunk ends
-    depends on where the one before did, so files are folded in order; only ords and sizes of the files are gathered."""
+    A chunk ends before the file that would pass the limit; a file over the limit has a chunk of its own. Each file knows, from sums
+    over the files before it, which file would begin the next chunk if it began one. Which files do begin one follows from the first:
+    each round joins the beginnings found so far with a table of leaps and doubles the leaps, so rounds grow with the logarithm of
+    the number of chunks, and no task holds all files."""
     priority = F.coalesce(F.create_map(*[F.lit(x) for kv in PRIORITY.items() for x in kv])[F.col("classification")], F.lit(7)) if group is None else F.col(group)
-    item = F.struct(priority.alias("priority"), F.col("relative_path"), F.col("file_ord"), F.col("estimated_tokens").alias("tokens"))
-    ordered = files.agg(F.sort_array(F.collect_list(item)).alias("f"))
-    start = F.struct(F.lit(0).alias("chunk"), F.lit(0).cast("long").alias("held"), F.lit(False).alias("closed"), F.array().cast("array<int>").alias("out"))
-
-    def step(s: Column, x: Column) -> Column:
-        tokens = x["tokens"].cast("long")
-        fresh = (s["chunk"] == 0) | s["closed"] | (s["held"] + tokens > limit)
-        chunk = F.when(fresh, s["chunk"] + 1).otherwise(s["chunk"])
-        return F.struct(chunk.alias("chunk"), F.when(fresh, tokens).otherwise(s["held"] + tokens).alias("held"), (fresh & (tokens > limit)).alias("closed"), F.concat(s["out"], F.array(chunk)).alias("out"))
-
-    packed = ordered.select(F.explode(F.arrays_zip("f", F.aggregate("f", start, step, lambda s: s["out"]).alias("chunk"))).alias("z"))
-    rows = packed.select(F.col("z.chunk").alias("chunk_number"), F.col("z.f.priority").alias("priority"), F.col("z.f.relative_path").alias("relative_path"), F.col("z.f.file_ord").alias("file_ord"), F.col("z.f.tokens").alias("estimated_tokens"))
-    place = W.partitionBy("chunk_number").orderBy("priority", "relative_path", "file_ord")
-    return rows.select("chunk_number", (F.row_number().over(place) - 1).alias("pos"), "file_ord", "estimated_tokens")
+    tokens = F.coalesce(F.col("estimated_tokens"), F.lit(0)).cast("long")
+    rows = files.select(priority.alias("priority"), "relative_path", "file_ord", "estimated_tokens", tokens.alias("tokens"))
+    rows = cut(running(rows, ["priority", "relative_path", "file_ord"], "tokens", "place", "held"), "placed")
+    ends = rows.select((F.col("held") + F.col("tokens")).alias("at"), F.lit(0).alias("asks"), "place")
+    asks = rows.select((F.col("held") + limit).alias("at"), F.lit(1).alias("asks"), "place")
+    both = ends.unionByName(asks).withColumn("ended", 1 - F.col("asks"))
+    # Files that end by then fit; the next one begins a chunk.
+    fits = running(both, ["at", "asks", "place"], "ended", total="fit").filter("asks = 1")
+    leap = cut(fits.select(F.col("place").alias("a"), F.greatest(F.col("fit") + 1, F.col("place") + 1).alias("b")), "leaps")
+    starts = cut(rows.filter("place = 1").select("place"), "starts")
+    known = starts.count()
+    while known:
+        ahead = starts.join(leap.withColumnRenamed("a", "place"), "place").select(F.col("b").alias("place"))
+        starts = cut(starts.unionByName(ahead.join(rows.select("place"), "place", "left_semi")).distinct(), "starts")
+        if starts.count() == known:
+            break
+        known = starts.count()
+        leap = cut(leap.join(leap.toDF("b", "c"), "b").select("a", F.col("c").alias("b")), "leaps")
+    begun = rows.join(starts.withColumn("begins", F.lit(1)), "place", "left").withColumn("begins", F.coalesce("begins", F.lit(0)))
+    packed = running(begun, ["place"], "begins", total="earlier").withColumn("chunk_number", (F.col("earlier") + F.col("begins")).cast("int"))
+    firsts = packed.filter("begins = 1").select("chunk_number", F.col("place").alias("first"))
+    return packed.join(firsts, "chunk_number").select("chunk_number", (F.col("place") - F.col("first")).cast("int").alias("pos"), "file_ord", "estimated_tokens")
 
 
 def chunk_descriptions(chunks: DataFrame, files: DataFrame) -> DataFrame:
@@ -151,8 +162,8 @@ def root_namespaces(files: DataFrame) -> DataFrame:
 
 
 def build_targets(files: DataFrame) -> DataFrame:
-    """Solutions in the root directory or its parent's, projects anywhere; by extension and path."""
-    top = directory(F.col("relative_path")) == ""
+    """Solutions in the root directory or its parent's (a path that begins with ../), projects anywhere; by extension and path."""
+    top = directory(F.regexp_replace(F.translate("relative_path", "\\", "/"), r"^\.\./", "")) == ""
     kind = F.lower("extension")
     return files.filter((kind.isin(".sln", ".slnx") & top) | (kind == ".csproj")).orderBy("extension", "relative_path")
 

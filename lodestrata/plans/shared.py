@@ -36,14 +36,27 @@ def cut(df: DataFrame, tag: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
-    """rows with their place from 1 in the order of some columns, nulls first; rows that tie are numbered in any order.
+def running(rows: DataFrame, order: list[str], value: str | None = None, number: str | None = None, total: str | None = None) -> DataFrame:
+    """rows with number, their place from 1 in the order of some columns, nulls first, and total, the sum of value over the rows before;
+    rows that tie come in any order.
 
-    Rows are dealt to ranges of the order, and numbered within each; where a range begins is a sum over the sizes of the ranges
-    before it, a row each. No task holds all rows. The ranges are written first, as their bounds come from a sample."""
+    Rows are dealt to ranges of the order, and counted within each; where a range begins is a sum over the ranges before it, a row
+    each. No task holds all rows. The ranges are written first, as their bounds come from a sample."""
     ranged = cut(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    what = {c: e for c, e in ((number, F.count("*")), (total, F.sum(value) if value else None)) if c and e is not None}
     before = W.orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_n"))
-    begins = sizes.select("_range", F.coalesce(F.sum("_n").over(before), F.lit(0)).alias("_begin"))
-    place = F.row_number().over(W.partitionBy("_range").orderBy(*order))
-    return ranged.join(begins, "_range").withColumn(name, F.col("_begin") + place).drop("_range", "_begin")
+    sums = ranged.groupBy("_range").agg(*[e.alias(f"_s_{c}") for c, e in what.items()])
+    begins = sums.select("_range", *[F.coalesce(F.sum(f"_s_{c}").over(before), F.lit(0)).alias(f"_b_{c}") for c in what])
+    within = W.partitionBy("_range").orderBy(*order)
+    out = ranged.join(begins, "_range")
+    if number:
+        out = out.withColumn(number, F.col(f"_b_{number}") + F.row_number().over(within))
+    if total:
+        earlier = F.coalesce(F.sum(value).over(within.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        out = out.withColumn(total, F.col(f"_b_{total}") + earlier)
+    return out.drop("_range", *[f"_b_{c}" for c in what])
+
+
+def numbered(rows: DataFrame, order: list[str], name: str = "number") -> DataFrame:
+    """rows with their place from 1 in the order of some columns, nulls first; rows that tie are numbered in any order. See running."""
+    return running(rows, order, number=name)

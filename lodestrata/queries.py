@@ -187,7 +187,19 @@ def blast_radius_score(spark, d):
     return A.read(spark, d, "part").select("p_partkey", impact.risk_score(n, n, k % 3, k % 4, k % 5, impact.is_critical(F.col("p_name"))).alias("risk_score"))
 
 
-@query()
+FILE_PATHS = "(SELECT CAST(o_orderkey AS VARCHAR) AS p, o_orderpriority = '1-URGENT' AS is_test FROM orders WHERE o_orderstatus <> 'P')"
+
+
+@query(
+    f"""WITH s AS (SELECT * FROM {SITES}),
+a AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY lower(caller_type || '.' || caller_method) ORDER BY site_ord) AS k FROM s WHERE lower(called_method) = 'm1') WHERE k = 1),
+f AS (SELECT m, row_number() OVER (ORDER BY o) AS spot FROM (SELECT lower(caller_method) AS m, min(site_ord) AS o FROM a GROUP BY 1)),
+b AS (SELECT * FROM (SELECT s.*, row_number() OVER (PARTITION BY lower(caller_type || '.' || caller_method) ORDER BY spot, site_ord) AS k FROM s JOIN f ON lower(s.called_method) = f.m
+  WHERE lower(caller_type || '.' || caller_method) NOT IN (SELECT lower(caller_type || '.' || caller_method) FROM a UNION ALL SELECT 'm1')) WHERE k = 1),
+u AS (SELECT 1 AS depth, * FROM a UNION ALL SELECT 2, * FROM b)
+SELECT depth, caller_type || '.' || caller_method AS name, coalesce('o/' || x.p, CAST(orderkey AS VARCHAR)) AS file, line, 'caller' AS kind, coalesce(x.is_test, FALSE) AS is_test, x.p IS NULL AS is_external
+FROM u LEFT JOIN {FILE_PATHS} x ON CAST(u.orderkey AS VARCHAR) = x.p"""
+)
 def blast_radius(spark, d):
     files = A.read(spark, d, "orders").filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").cast("string").alias("file_path"), F.concat(F.lit("o/"), F.col("o_orderkey").cast("string")).alias("relative_path"), (F.col("o_orderpriority") == "1-URGENT").alias("is_test"))
     members = A.part_members(spark, d).withColumn("file_path", F.col("member_ord").cast("string"))
@@ -245,26 +257,49 @@ def chunk_crossrefs(spark, d):
     return index.chunk_crossrefs(rows.filter("l_linenumber = 1").select("chunk", "name"), rows.filter("l_linenumber = 2").select("chunk", "name")).select("chunk", "other", "n_shared")
 
 
-@query()
+@query(
+    f"""WITH RECURSIVE r AS (SELECT file_ord, estimated_tokens AS t, row_number() OVER (ORDER BY relative_path, file_ord) AS i FROM {FILES}),
+p AS (SELECT i, file_ord, t, 1 AS chunk_number, 0 AS pos, t AS held, t > 5000 AS closed FROM r WHERE i = 1
+  UNION ALL SELECT r.i, r.file_ord, r.t, CASE WHEN p.closed OR p.held + r.t > 5000 THEN chunk_number + 1 ELSE chunk_number END, CASE WHEN p.closed OR p.held + r.t > 5000 THEN 0 ELSE pos + 1 END,
+    CASE WHEN p.closed OR p.held + r.t > 5000 THEN r.t ELSE p.held + r.t END, (p.closed OR p.held + r.t > 5000) AND r.t > 5000 FROM p JOIN r ON r.i = p.i + 1)
+SELECT chunk_number, pos, file_ord, t AS estimated_tokens FROM p"""
+)
 def chunk_pack(spark, d):
     return index.chunk_files(A.document_files(spark, d).withColumn("classification", F.lit("Unknown")), 5_000)
 
 
-@query(
-    f"""SELECT file_ord, CAST(CASE WHEN contains(lower(file_name), 'src1') THEN 10.0 ELSE 0.0 END + CASE WHEN contains(lower(relative_path), 'src1') THEN 4.0 ELSE 0.0 END + CASE WHEN contains(lower(relative_path), 'en/') THEN 4.0 ELSE 0.0 END
-+ CASE WHEN contains(lower(file_name), '7') THEN 10.0 ELSE 0.0 END + CASE WHEN contains(lower(relative_path), '7') THEN 4.0 ELSE 0.0 END AS DOUBLE) AS score FROM {FILES}"""
-)
+# Keywords of TASK: its words and identifiers, and the types that hold a word of four letters or more.
+KEYWORDS = f"""(SELECT lower(keyword) AS k, count(*) AS n FROM (SELECT DISTINCT keyword FROM (SELECT unnest(['nation', 'customer', 'parser', 'text', 'Find', 'Nation']) AS keyword
+  UNION ALL SELECT name FROM {TYPES} WHERE regexp_matches(lower(name), 'nation|customer|parser|text'))) GROUP BY 1)"""
+SCORES = f"""(SELECT file_ord, CAST(sum(s) AS DOUBLE) AS score FROM (SELECT file_ord, 0 AS s FROM {FILES} UNION ALL SELECT file_ord, n * 10 FROM {FILES} f JOIN {KEYWORDS} w ON contains(lower(file_name), k)
+  UNION ALL SELECT file_ord, n * 4 FROM {FILES} f JOIN {KEYWORDS} w ON contains(lower(relative_path), k)
+  UNION ALL SELECT type_ord, n * CASE WHEN lower(name) = k THEN 20 WHEN length(k) >= 4 THEN 10 ELSE 0 END FROM {TYPES} t JOIN {KEYWORDS} w ON contains(lower(name), k)
+  UNION ALL SELECT CAST(regexp_extract(type_name, '([0-9]+)$', 1) AS BIGINT), n * 5 FROM {MEMBERS} m JOIN {KEYWORDS} w ON length(k) >= 4 AND contains(lower(name), k)) GROUP BY file_ord)"""
+
+
+def _task_scores(spark, d):
+    types = A.chain_types(spark, d)
+    return context.scores(A.document_files(spark, d), types, A.part_members(spark, d), context.keywords(spark, TASK, types))
+
+
+@query(f"SELECT file_ord, score FROM {SCORES}")
 def keyword_scores(spark, d):
-    files, none = A.document_files(spark, d), A.chain_types(spark, d).filter("false")
-    return context.scores(files, none, A.part_members(spark, d).filter("false"), ["src1", "en/", "7"])
+    return _task_scores(spark, d)
 
 
-@query()
+@query(f"SELECT k, n FROM {KEYWORDS}")
+def task_keywords(spark, d):
+    return context.keywords(spark, TASK, A.chain_types(spark, d)).groupBy(F.lower("keyword").alias("k")).agg(F.count("*").alias("n"))
+
+
+@query(
+    f"""WITH RECURSIVE r AS (SELECT *, row_number() OVER (ORDER BY score DESC, file_ord) AS i FROM (SELECT s.file_ord, s.score, f.estimated_tokens AS tokens FROM {SCORES} s JOIN {FILES} f ON s.file_ord = f.file_ord WHERE score > 0)),
+p AS (SELECT 1 AS step, CAST(1 AS BIGINT) AS i, 35000 - tokens AS room FROM r WHERE i = 1
+  UNION ALL SELECT p.step + 1, min(r.i), arg_min(p.room - r.tokens, r.i) FROM p JOIN r ON r.i > p.i AND r.tokens <= p.room WHERE p.step < 5 GROUP BY p.step)
+SELECT r.file_ord, r.score, CAST(r.tokens AS BIGINT) AS tokens FROM p JOIN r ON p.i = r.i"""
+)
 def context_select(spark, d):
-    files, types = A.document_files(spark, d), A.chain_types(spark, d)
-    words = context.keywords(TASK, types)
-    scored = context.scores(files, types, A.part_members(spark, d), words)
-    return context.first_pass(scored, files)
+    return context.first_pass(_task_scores(spark, d), A.document_files(spark, d))
 
 
 @query(
@@ -289,13 +324,13 @@ def _texts(spark, d):
 
 @query()
 def document_pairs(spark, d):
-    return duplicates.row_pairs(_texts(spark, d), 50)
+    return duplicates.row_pairs(_texts(spark, d))
 
 
 @query()
 def duplicate_clusters(spark, d):
     rows = _texts(spark, d)
-    return duplicates.cluster_report(duplicates.row_clusters(rows, 50), rows)
+    return duplicates.cluster_report(duplicates.row_clusters(rows), rows)
 
 
 RULES = {"license": "[Ll]icensed under|License", "email": EMAIL, "shout": "!!"}
@@ -323,14 +358,8 @@ def missing_docs(spark, d):
     return rules.undocumented(A.part_members(spark, d)).groupBy("type_name").agg(F.count("*").alias("n_members"))
 
 
-@query("SELECT CAST(l_suppkey AS VARCHAR) AS directory, count(DISTINCT l_returnflag) AS n_workspaces, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS workspaces FROM lineitem WHERE l_quantity > 49 GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
-def shared_dirs(spark, d):
-    rows = A.read(spark, d, "lineitem").filter("l_quantity > 49").select(F.col("l_returnflag").alias("workspace"), F.col("l_suppkey").cast("string").alias("directory"))
-    return index.shared_directories(rows)
-
-
 @query("SELECT CAST(l_suppkey AS VARCHAR) AS directory, count(DISTINCT l_returnflag) AS n_workspaces, string_agg(DISTINCT l_returnflag, ', ' ORDER BY l_returnflag) AS workspaces FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")
-def all_shared_dirs(spark, d):
+def shared_dirs(spark, d):
     return index.shared_directories(A.read(spark, d, "lineitem").select(F.col("l_returnflag").alias("workspace"), F.col("l_suppkey").cast("string").alias("directory")))
 
 

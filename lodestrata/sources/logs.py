@@ -6,10 +6,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from ..functions.text import file_name
+from ..functions.text import file_name, substrings
 from ..plans.shared import numbered
 
 LESSONS = "number int, timestamp timestamp, type string, component string, observation string, proposal string, suggestedCode string, source string, contributedBy string"
+#: The forms of lines of compilers, linters and package checks.
 AT = r"^(.+?)\((\d+),(\d+)\):\s*(error|warning)\s+(\w+):\s*(.+)$"
 BARE = r"^\s*(?i:error)\s+(\w+):\s*(.+)$"
 LINT = r"^(.+?):(\d+):(\d+):\s*(?i:(error|warning|style)):\s*(.+)$"
@@ -25,7 +26,10 @@ def build_messages(lines: DataFrame) -> DataFrame:
     bare = lines.filter(F.rlike("value", F.lit(BARE))).select("ord", F.lit("error").alias("severity"), F.lit("").alias("file_path"), F.lit(None).cast("string").alias("full_path"), F.lit(0).alias("line"), F.lit(0).alias("column"), g(BARE, 1).alias("error_code"), g(BARE, 2).alias("message"))
     said = placed.filter("severity = 'error'").select(F.col("message").alias("_m")).distinct()
     first = bare.withColumn("_k", F.row_number().over(W.partitionBy("message").orderBy("ord"))).filter("_k = 1").drop("_k")
-    return placed.unionByName(first.join(said, F.contains(F.col("_m"), F.col("message")), "left_anti"))
+    # What a message may hold is found by its substrings of the lengths that bare messages have; no side is compared with all of the other.
+    lengths = sorted(r[0] for r in first.select(F.length("message")).distinct().collect())
+    held = said.select(F.explode(substrings(F.col("_m"), lengths)).alias("message")).distinct()
+    return placed.unionByName(first.join(held, "message", "left_anti"))
 
 
 def lint_messages(lines: DataFrame) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 
+#: The forms of declarations, imports and calls that are recognised.
 _CLASS = re.compile(r"^class\s+(\w+)\s*(?:\((.*?)\))?\s*:")
 _DEF = re.compile(r"^(\s*)(async\s+)?def\s+(\w+)\s*\((.*?)\)\s*(?:->\s*(\S+))?\s*:")
 _IMPORT = re.compile(r"^(?:from\s+(\S+)\s+)?import\s+(.+)$")

@@ -45,22 +45,33 @@ def recent_errors(calls: DataFrame, delay: str = DELAY) -> DataFrame:
 
 
 def idle_gaps(calls: DataFrame, seconds: int = IDLE_SECONDS[0], delay: str = DELAY) -> DataFrame:
-    """tool_name, ts of calls after which the tool was silent for the threshold, one for each gap. Update or append mode.
+    """tool_name, ts of calls after which the tool was silent for the threshold, one for each gap, in append mode.
 
-    State is the last call of a tool; a batch's calls are taken in order of time."""
-    least = max(IDLE_SECONDS[1], min(IDLE_SECONDS[2], seconds))
+    State is the last call of a tool, and whether its gap is told. A gap is told when the watermark passes its end, by a timer in the
+    time of events, or earlier, when the next call of the tool comes. A batch's calls are taken in order of time."""
+    least = max(IDLE_SECONDS[1], min(IDLE_SECONDS[2], seconds)) * 1_000_000
 
     def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        times = sorted(t for b in batches for t in b.ts.astype("int64") // 1000) if not state.hasTimedOut else []
-        last = state.get[0] if state.exists else None
+        last, told = state.get if state.exists else (None, True)
         out = []
-        for t in times:
-            if last is not None and t - last >= least * 1_000_000:
-                out.append((key[0], pd.Timestamp(last * 1000)))
-            last = t if last is None else max(last, t)
-        if last is not None:
-            state.update((last,))
-        yield pd.DataFrame(out, columns=["tool_name", "ts"]).astype({"ts": "datetime64[ns]"})
+        if state.hasTimedOut:
+            if not told:
+                out.append(last)
+            state.update((last, True))
+        else:
+            for t in sorted(t for b in batches for t in b.ts.astype("datetime64[us]").astype("int64")):
+                if last is not None and t - last >= least and not told:
+                    out.append(last)
+                if last is None or t > last:
+                    last, told = t, False
+            due = -(-(last + least) // 1000)
+            if not told and due <= state.getCurrentWatermarkMs():
+                out.append(last)
+                told = True
+            state.update((int(last), told))
+            if not told:
+                state.setTimeoutTimestamp(int(due))
+        yield pd.DataFrame({"tool_name": [key[0]] * len(out), "ts": pd.to_datetime(pd.Series(out, dtype="int64"), unit="us")})
 
     rows = calls.withWatermark("ts", delay).groupBy("tool_name")
-    return rows.applyInPandasWithState(step, "tool_name string, ts timestamp", "last long", "append", GroupStateTimeout.NoTimeout)
+    return rows.applyInPandasWithState(step, "tool_name string, ts timestamp", "last long, told boolean", "append", GroupStateTimeout.EventTimeTimeout)

@@ -75,6 +75,8 @@ def test_implementations(spark):
     assert {tuple(r) for r in symbols.implementations(t, "IFoo").collect()} == {("P", "direct"), ("Q", "Q → P → IFoo")}
     assert symbols.implementations(t, "IFoo", include_abstract=True).count() == 3
     assert symbols.implementations(t, "X").count() == 1
+    chain = types_of(spark, [(f"T{i}", f"T{i - 1}" if i else "IRoot", [], False) for i in range(40)])
+    assert {r.name for r in symbols.implementations(chain, "IRoot").collect()} == {f"T{i}" for i in range(40)}  # however long
 
 
 def test_indexes(spark):
@@ -90,7 +92,36 @@ def test_indexes(spark):
 def test_context_fold(spark):
     r = spark.createDataFrame([(1, 3.0, 60), (2, 2.0, 20), (3, 1.0, 10)], "file_ord long, score double, tokens long")
     assert [x.file_ord for x in context.select_within(r, 3, 70).collect()] == [1, 3]
-    assert context.keywords("Fix the \"big list\" in MyParser for Parser", types_of(spark, [("XmlParser", "", [], False)])) == ["XmlParser", "fix", "big", "list", "myparser", "parser", "Fix", "MyParser", "Parser", "big list"]
+    found = context.keywords(spark, "Fix the \"big list\" in MyParser for Parser", types_of(spark, [("XmlParser", "", [], False)]))
+    assert sorted(r.keyword for r in found.collect()) == sorted(["XmlParser", "fix", "big", "list", "myparser", "parser", "Fix", "MyParser", "Parser", "big list"])
+
+
+def test_scores(spark):
+    files = spark.createDataFrame([(0, "src/ParserTools.cs", "ParserTools.cs"), (1, "parser/x.cs", "x.cs"), (2, "y.cs", "y.cs")], "file_ord long, relative_path string, file_name string")
+    types = types_of(spark, [("ParserTools", "", [], False), ("Parser", "", [], False), ("Par", "", [], False)])
+    members = spark.createDataFrame([(2, "Par", "ParseParser"), (2, "Par", "run")], "file_ord long, type_name string, name string")
+    got = {r.file_ord: r.score for r in context.scores(files, types, members, ["Parser", "parser", "par"]).collect()}
+    # Twice parser, and par, which is too short for parts of names: file name 10, path 4, type 20 or 10, member 5.
+    assert got == {0: 2 * (10 + 4 + 10) + 10 + 4, 1: 2 * (4 + 20) + 4, 2: 2 * 5 + 20}
+
+
+def test_chunks_against_the_fold(spark):
+    import random
+
+    rng = random.Random(9)
+    for limit, most in ((50, 20), (50, 70), (10, 100)):
+        sizes = [rng.choice([0, rng.randrange(1, most)]) for _ in range(120)]
+        rows = [(i, f"p{(i * 7919) % 1000:04d}", n, rng.choice(["Config", "Model", "Unknown", "Test"])) for i, n in enumerate(sizes)]
+        df = spark.createDataFrame(rows, "file_ord long, relative_path string, estimated_tokens int, classification string")
+        want, chunk, held, closed, pos = {}, 0, 0, True, 0
+        for i, _, n, _ in sorted(rows, key=lambda r: (index.PRIORITY[r[3]], r[1], r[0])):
+            if closed or held + n > limit:
+                chunk, held, pos = chunk + 1, 0, 0
+            held, closed = held + n, not held and n > limit
+            want[i] = (chunk, pos)
+            pos += 1
+        assert {r.file_ord: (r.chunk_number, r.pos) for r in index.chunk_files(df, limit).collect()} == want
+    assert index.chunk_files(df.filter("false"), 10).count() == 0
 
 
 def test_first_pass_looks_past_many_large_files(spark):
@@ -174,6 +205,9 @@ def test_rules(spark):
     assert len(loaded) == 1
     f = spark.createDataFrame([(1, "a.cs", ".cs", "x\nfoo1 foo9\nfoo2"), (2, "b.py", ".py", "none")], "file_ord long, relative_path string, extension string, text string")
     assert [tuple(r) for r in rules.rule_matches(f, loaded[0]).orderBy("line").collect()] == [(1, 2, "foo1", "bao"), (1, 3, "foo2", "bao")]
+    named = {"findpattern": r"(?<one>[a-z])-(?<two>\w)\k<one>", "replacepattern": r"${two}\$1"}
+    f = spark.createDataFrame([(1, "a.cs", ".cs", "x-ya b-cb")], "file_ord long, relative_path string, extension string, text string")
+    assert [(r.found, r.replacement) for r in rules.rule_matches(f, named).collect()] == [("b-cb", "c\\b")]
     m = spark.createDataFrame([(1, 1, "M", "public", "Method", ["string a", "int b", "this Foo c"], "if (a == null) return;")], "file_ord long, member_ord long, name string, access_modifier string, kind string, parameters array<string>, body string")
     assert [r.parameter for r in rules.unchecked_parameters(m).collect()] == ["c"]
     lines = spark.createDataFrame([(2, 1, "aa"), (1, 2, "ab"), (1, 1, "b")], "file_ord long, line_no int, text string")
@@ -205,16 +239,16 @@ def test_notes_and_workspaces_of_whole_tables(spark, sf):
     from lodestrata import more_queries
 
     turns = sorted((r.conv_id * 1000 + r.turn, r.role) for r in spark.read.parquet(f"{sf}/conversations.parquet").collect())
-    got = more_queries.QUERIES["all_numbered_notes"](spark, sf).collect()
+    got = more_queries.QUERIES["numbered_notes"](spark, sf).collect()
     assert len(got) == len(turns)
     users = [i for i, role in turns if role == "user"]
     assert {r.line_no: r.number for r in got} == {i: users.index(i) + 1 if role == "user" else None for i, role in turns}
     used = {}
     for r in spark.read.parquet(f"{sf}/lineitem.parquet").select("l_suppkey", "l_returnflag").collect():
         used.setdefault(r.l_suppkey, set()).add(r.l_returnflag)
-    shared = {r.directory: r.workspaces for r in more_queries.QUERIES["all_shared_dirs"](spark, sf).collect()}
+    shared = {r.directory: r.workspaces for r in more_queries.QUERIES["shared_dirs"](spark, sf).collect()}
     assert shared == {str(k): ", ".join(sorted(v)) for k, v in used.items() if len(v) > 1}
-    tags = {r.directory: r.tags for r in more_queries.QUERIES["all_merged_workspaces"](spark, sf).collect()}
+    tags = {r.directory: r.tags for r in more_queries.QUERIES["merged_workspaces"](spark, sf).collect()}
     assert tags == {k: ", ".join(sorted(v, key=lambda x: (x != "R", x))) for k, v in used.items()}
 
 
@@ -342,6 +376,13 @@ def test_edits(spark):
     assert edits.replace_once(f, "b", "c").filter("file_ord = 1").first().status == "ambiguous"
     lines = spark.createDataFrame([(1, i, f"l{i}") for i in range(1, 5)], "file_ord long, line_no int, text string")
     assert [r.text for r in edits.replace_lines(lines, 1, 2, 3, ["n"]).orderBy("line_no").collect()] == ["l1", "n", "l4"]
+    for start, end in ((90, 91), (3, 5), (0, 1), (3, 2)):  # no lines of the file: no row changes
+        assert sorted(map(tuple, edits.replace_lines(lines, 1, start, end, ["n", "m"]).collect())) == [tuple(r) for r in lines.collect()]
+    deep = spark.createDataFrame([(1, i, x) for i, x in enumerate(["if (a)", "    {", "\t\tx();", "    }", "y();"], 1)], "file_ord long, line_no int, text string")
+    done = edits.replace_by_lines(deep, 1, "{\n  x();\n}", "{\n  z();\n}").orderBy("line_no").collect()
+    assert [r.text for r in done] == ["if (a)", "    {", "      z();", "    }", "y();"] and done[0].status == "replaced"
+    assert edits.replace_by_lines(deep, 1, "none", "x").first().status == "not found"
+    assert {(r["at"], r.score) for r in edits.matches_of_lines(deep, "{\n    x();\n    }").collect()} == {(2, 4)}
     t = spark.createDataFrame([(1, "a", "declare"), (2, "b", "declare"), (3, "a", "use"), (3, "r", "declare"), (4, "r", "assign"), (5, "r", "use")], "line_no int, name string, role string")
     assert tuple(edits.data_flow(t, 3, 4).first()) == (["a"], "r")
     code = spark.createDataFrame([(1, i, x) for i, x in enumerate(["class C", "{", "  void M()", "  {", "    x();", "    y();", "  }", "}"], 1)], "file_ord long, line_no int, text string")

@@ -25,7 +25,23 @@ def test_streams_equal_batch(spark, sf, tmp_path):
     got = {(r.minute, r.n_calls) for r in replay(spark, activity.per_minute(calls), "s_min", "complete", tmp_path / "c2").collect()}
     assert got == {(r.minute, r.n_calls) for r in telemetry.activity_per_minute(batch).select(F.col("minute").cast("timestamp").alias("minute"), "n_calls").collect()}
     gaps = replay(spark, activity.idle_gaps(calls), "s_gap", "append", tmp_path / "c3")
-    assert gaps.count() == telemetry.idle_gaps(batch, key="tool_name").count()
+    # Gaps between calls, and those that the watermark has passed after the last call of a tool.
+    between = {(r.tool_name, r.ts) for r in telemetry.idle_gaps(batch, key="tool_name").join(batch.select("ord", F.col("ts").cast("timestamp").alias("ts")), "ord").collect()}
+    ends = batch.groupBy("tool_name").agg(F.max("ts").cast("timestamp").alias("ts")).collect()
+    passed = max(r.ts for r in ends).timestamp() - 60
+    last = {(r.tool_name, r.ts) for r in ends if r.ts.timestamp() + 45 <= passed}
+    got = [(r.tool_name, r.ts) for r in gaps.collect()]
+    assert set(got) == between | last and len(got) == len(set(got))
+
+
+def test_a_gap_is_told_without_another_call(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    rows = [(1, "a", 0), (2, "b", 10), (3, "b", 30), (4, "b", 400)]
+    made = pd.DataFrame([(i, pd.Timestamp("2024-01-01") + pd.Timedelta(seconds=s), 1, t, 1.0, "") for i, t, s in rows], columns=["event_id", "ts", "user_id", "event_type", "value", "props"])
+    made["ts"] = made["ts"].astype("datetime64[us]")
+    made.to_parquet(tmp_path / "in" / "e.parquet")
+    gaps = replay(spark, activity.idle_gaps(activity.call_stream(spark, str(tmp_path / "in"))), "s_told", "append", tmp_path / "c")
+    assert sorted((r.tool_name, r.ts.second) for r in gaps.collect()) == [("a", 0), ("b", 30)]
 
 
 def test_activity_lines(spark, tmp_path):
