@@ -152,16 +152,25 @@ def drop_duplicates(docs: DataFrame) -> DataFrame:
     index, narrow = build_index(docs)
     many = index.entries.filter("group_size > 1").select(F.col("key").alias("_k"), F.col("digest").alias("_d"), F.col("keep_id").alias("_keep"))
     many = cut(many, "copied")
-    # Rows whose text no other row has stay where they are, if the table of the others' keys is small enough to broadcast.
-    norm = normalised(text_of(docs))
-    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), F.xxhash64(norm).alias("_key"), F.unhex(F.sha2(norm, 256)).alias("_digest"))
-    of_group = (F.col("_key") == F.col("_k")) & (F.col("_digest") == F.col("_d"))
-    out = rows.join(many, of_group, "left").filter(F.col("_k").isNull() | F.col("_row.doc_id").eqNullSafe(F.col("_keep")))
-    kept = narrow.join(many, (F.col("key") == F.col("_k")) & (F.col("digest") == F.col("_d")) & F.col("doc_id").eqNullSafe(F.col("_keep")))
-    repeated = cut(kept.groupBy("_k", "_d").count().filter("count > 1").select(F.col("_k").alias("_rk"), F.col("_d").alias("_rd")), "repeated")
+    told = narrow.join(many, (F.col("key") == F.col("_k")) & (F.col("digest") == F.col("_d")))
+    # An id that one row has tells which row goes: a narrow table of ids, so texts stay where they are if it is small enough to broadcast.
+    shared = narrow.filter("doc_id is not null").groupBy("doc_id").count().filter("count > 1").select(F.col("doc_id").alias("_shared"))
+    shared = cut(shared, "shared-ids")
+    gone = told.filter("doc_id <> _keep or _keep is null").select(F.col("doc_id").alias("_gone")).filter("_gone is not null")
+    gone = cut(gone.join(shared, F.col("_gone") == F.col("_shared"), "left_anti").orderBy("_gone"), "gone")
+    no_id = not narrow.filter("doc_id is null").isEmpty()
+    several = not shared.isEmpty()
     release(narrow)
-    if repeated.isEmpty():
-        return out.select("_row.*")
-    same = (F.col("_k") == F.col("_rk")) & (F.col("_d") == F.col("_rd"))
-    again = out.join(repeated, same, "left_semi").groupBy("_k", "_d").agg(F.min("_row").alias("_row"))
-    return out.join(repeated, same, "left_anti").select("_row.*").unionByName(again.select("_row.*"))
+    out = docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
+    if not no_id and not several:
+        return out
+    # Rows without an id, or that share theirs, are told by the digest of their texts.
+    plain = out.filter("doc_id is not null").join(shared, out["doc_id"] == shared["_shared"], "left_anti")
+    others = out.join(shared, out["doc_id"] == shared["_shared"], "left_semi").unionByName(out.filter("doc_id is null"))
+    norm = normalised(text_of(others))
+    rows = others.select(F.struct(*[others[f"`{c}`"] for c in docs.columns]).alias("_row"), F.xxhash64(norm).alias("_key"), F.unhex(F.sha2(norm, 256)).alias("_digest"))
+    of_group = (F.col("_key") == F.col("_k")) & (F.col("_digest") == F.col("_d"))
+    rows = rows.join(many, of_group, "left").filter(F.col("_k").isNull() | F.col("_row.doc_id").eqNullSafe(F.col("_keep")))
+    alone = rows.filter("_k is null").select("_row.*")
+    first = rows.filter("_k is not null").groupBy("_k", "_d").agg(F.min("_row").alias("_row"))
+    return plain.unionByName(alone).unionByName(first.select("_row.*"))

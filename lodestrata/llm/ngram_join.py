@@ -182,7 +182,8 @@ def verified(pairs: DataFrame, docs: DataFrame, size: int, percent: int) -> Data
     """u, v: those of pairs(a, b) of doc_ids whose texts' sets reach the threshold. The sets of documents in a pair, and no others,
     are computed again from their whole texts, once."""
     pairs = cut(pairs, "pairs")
-    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), "ids")
+    # In order, ids take little room: Spark broadcasts them if that is small enough, and texts stay where they are.
+    ids = cut(pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct().orderBy("doc_id"), "ids")
     texts = docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"])
     sets = cut(_hashes(texts.join(ids, "doc_id", "left_semi"), size).filter("size(elements) > 0"), "elements")
     rows = pairs.join(sets.toDF("b", "y"), "b").join(sets.toDF("a", "x"), "a").withColumn("both", F.size(F.array_intersect("x", "y")))
@@ -280,5 +281,5 @@ def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
 def one_of_each_group(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
     """docs without the documents of a group but its smallest doc_id. Rows that repeat a doc_id stay or go together; rows whose doc_id
     is null, or that have no words, stay. An empty table gives no rows; extra columns are kept, whatever their names."""
-    gone = cut(jaccard_groups(docs, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct(), "gone")
+    gone = cut(jaccard_groups(docs, size, percent).filter("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct().orderBy("_gone"), "gone")
     return docs.join(gone, docs["doc_id"] == gone["_gone"], "left_anti")
