@@ -126,27 +126,36 @@ FROM n""",
 
 
 def _licenses_sql() -> str:
-    """The templates as rows, then lines and paragraphs, their bigrams, and the coefficient."""
+    """The templates as rows; lines, paragraphs and runs of words, their bigrams, and the coefficient."""
     quote = lambda x: "'" + x.replace("'", "''") + "'"
-    rows = [(name, k, gram) for name, bodies in sorted(licenses.TEMPLATES.items()) for k, body in enumerate(bodies) for gram in licenses.bigrams(body)]
-    values = ", ".join(f"({quote(n)}, {k}, {quote(g)})" for n, k, g in rows)
+    bodies = [(name, k, body) for name, every in sorted(licenses.TEMPLATES.items()) for k, body in enumerate(every)]
+    values = ", ".join(f"({quote(n)}, {k}, {quote(' '.join(licenses.words_of(b)))})" for n, k, b in bodies)
+    anchors = ", ".join(map(quote, licenses.ANCHORS))
     return rf"""
-WITH t(license, k, gram) AS (VALUES {values}), m AS (SELECT license, k, count(*) AS n FROM t GROUP BY 1, 2),
+WITH b(license, k, p) AS (SELECT l, k, string_split(t, ' ') FROM (VALUES {values}) v(l, k, t)),
+t AS (SELECT DISTINCT license, k, p[j] || ' ' || p[j + 1] AS gram FROM (SELECT license, k, p, unnest(range(1, len(p))) AS j FROM b)), m AS (SELECT license, k, count(*) AS n FROM t GROUP BY 1, 2),
 u AS (SELECT DISTINCT doc_id, unit FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents
   UNION ALL SELECT doc_id, unnest(string_split_regex(text, '
-[ 	
-]*
+[ 	]*
 ')) FROM documents)),
 w AS (SELECT doc_id, unit, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS p FROM u),
 i AS (SELECT doc_id, unit, p, unnest(range(1, len(p))) AS j FROM w),
 g AS (SELECT DISTINCT doc_id, unit, p[j] || ' ' || p[j + 1] AS gram FROM i), s AS (SELECT doc_id, unit, count(*) AS n FROM g GROUP BY 1, 2),
 c AS (SELECT g.doc_id, g.unit, t.license, t.k, count(*) AS both FROM g JOIN t ON g.gram = t.gram GROUP BY 1, 2, 3, 4),
 d AS (SELECT c.doc_id, c.unit, c.license, 2.0::DOUBLE * c.both / (s.n + m.n) AS dice FROM c JOIN s ON c.doc_id = s.doc_id AND c.unit = s.unit JOIN m ON c.license = m.license AND c.k = m.k),
-h AS (SELECT doc_id, unit, license, dice FROM d WHERE dice >= 0.8),
-b AS (SELECT doc_id, license, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) AS r FROM h),
-n AS (SELECT doc_id, count(DISTINCT unit) AS n FROM h GROUP BY 1)
-SELECT documents.doc_id, coalesce(n.n, 0) AS n_notices, b.license, b.dice
-FROM documents LEFT JOIN n ON documents.doc_id = n.doc_id LEFT JOIN b ON documents.doc_id = b.doc_id AND b.r = 1"""
+h AS (SELECT doc_id, unit, license, dice, row_number() OVER (PARTITION BY doc_id, unit ORDER BY dice DESC, license) AS r FROM d WHERE dice >= 0.8),
+q AS (SELECT doc_id, string_split(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ' ') AS p FROM documents),
+x AS (SELECT doc_id, p, j FROM (SELECT doc_id, p, unnest(range(1, len(p) + 1)) AS j FROM q) WHERE p[j] IN ({anchors})),
+a AS (SELECT license, k, len(p) AS n, o, p[o] AS word FROM (SELECT license, k, p, unnest(range(1, len(p) + 1)) AS o FROM b) WHERE p[o] IN ({anchors})),
+f AS (SELECT DISTINCT doc_id, license, k, j - o + 1 AS begun, list_slice(x.p, greatest(j - o + 1, 1), j - o + a.n) AS p FROM x JOIN a ON x.p[x.j] = a.word),
+v AS (SELECT DISTINCT doc_id, license, k, begun, p[j] || ' ' || p[j + 1] AS gram FROM (SELECT *, unnest(range(1, len(p))) AS j FROM f)),
+y AS (SELECT v.doc_id, v.license, v.k, v.begun, count(*) AS n, count(t.gram) AS both FROM v LEFT JOIN t ON v.license = t.license AND v.k = t.k AND v.gram = t.gram GROUP BY 1, 2, 3, 4),
+z AS (SELECT doc_id, license, dice FROM (SELECT y.doc_id, y.license, 2.0::DOUBLE * y.both / (y.n + m.n) AS dice FROM y JOIN m ON y.license = m.license AND y.k = m.k) WHERE dice >= 0.8),
+e AS (SELECT doc_id, license, max(dice) AS dice, sum(unit) AS units FROM (SELECT doc_id, license, dice, 1 AS unit FROM h WHERE r = 1 UNION ALL SELECT doc_id, license, dice, 0 FROM z) GROUP BY 1, 2),
+n AS (SELECT doc_id, CAST(sum(greatest(units, 1)) AS BIGINT) AS n, string_agg(license, ',' ORDER BY license) AS names FROM e GROUP BY 1),
+o AS (SELECT doc_id, license, dice, row_number() OVER (PARTITION BY doc_id ORDER BY dice DESC, license) AS r FROM e)
+SELECT documents.doc_id, coalesce(n.n, 0) AS n_notices, o.license, o.dice, coalesce(n.names, '') AS licenses
+FROM documents LEFT JOIN n ON documents.doc_id = n.doc_id LEFT JOIN o ON documents.doc_id = o.doc_id AND o.r = 1"""
 
 
 ORACLE_SQL["op9_licenses"] = _licenses_sql()
