@@ -624,17 +624,28 @@ def test_each_pass_has_its_position(spark):
 
 
 def dice_brute(text, dice):
-    best = {}
-    units = {*(text or "").split("\n"), *re.split(r"\n[\x20\t\r]*\n", text or "")}
+    """n_notices, license, dice, licenses of a text."""
+
+    def coefficient(a, b):
+        return 2 * len(a & b) / (len(a) + len(b)) if a or b else 0
+
+    grams = lambda words: {f"{x} {y}" for x, y in zip(words, words[1:], strict=False)}
+    bodies = [(name, licenses.words_of(body)) for name, every in sorted(licenses.TEMPLATES.items()) for body in every]
+    units, found = {*(text or "").split("\n"), *re.split(r"\n[\x20\t\r]*\n", text or "")}, defaultdict(list)
     for u in units:
-        a = set(licenses.bigrams(u))
-        for name, bodies in sorted(licenses.TEMPLATES.items()):
-            for body in bodies:
-                b = set(licenses.bigrams(body))
-                d = 2 * len(a & b) / (len(a) + len(b)) if a or b else 0
-                if d >= dice and (-d, name) < best.get(u, (0, "")):
-                    best[u] = (-d, name)
-    return (len(best), min(best.values())[1] if best else None, -min(best.values())[0] if best else None)
+        met = [(-d, name) for name, body in bodies if (d := coefficient(grams(licenses.words_of(u)), grams(body))) >= dice]
+        if met:
+            d, name = min(met)
+            found[name].append((-d, 1))
+    words = licenses.words_of(text or "")
+    for i, w in enumerate(words):
+        for name, body in bodies:
+            for at in [k for k, x in enumerate(body) if x == w and w in licenses.ANCHORS]:
+                d = coefficient(grams(words[max(0, i - at) : max(0, i - at + len(body))]), grams(body))
+                if d >= dice:
+                    found[name].append((d, 0))
+    best = min(((-max(d for d, _ in v), k) for k, v in found.items()), default=None)
+    return (sum(max(1, sum(n for _, n in v)) for v in found.values()), best and best[1], best and -best[0], ",".join(sorted(found)))
 
 
 def test_licenses(spark, docs):
@@ -647,13 +658,24 @@ def test_licenses(spark, docs):
             words[rng.randrange(len(words))] = rng.choice(["the", "license", "version", "words", "UNDER"])
         if rng.random() < 0.3:
             del words[rng.randrange(len(words))]
-        rows.append((20_000 + i, "some text\n" + rng.choice(["", "// ", "* "]) + " ".join(words) + rng.choice(["\n\nmore", "\nmore", ""])))
-    got = {r.doc_id: (r.n_notices, r.license, r.dice) for r in licenses.licensed(table(spark, rows)).collect()}
+        width, lead = rng.choice([5, 9, 500]), rng.choice(["", "// ", "* ", "Some prose before it. "])
+        wrapped = "\n".join(" ".join(words[k : k + width]) for k in range(0, len(words), width))
+        rows.append((20_000 + i, "some text\n" + lead + wrapped + rng.choice(["\n\nmore", "\nmore", "", " and prose after it"])))
+    got = {r.doc_id: (r.n_notices, r.license, r.dice, r.licenses) for r in licenses.licensed(table(spark, rows)).collect()}
     assert got == {i: dice_brute(t, licenses.DICE) for i, t in rows}
-    assert sum(1 for v in got.values() if v[0]) > 50
+    assert sum(1 for v in got.values() if v[0]) > 100
     assert licenses.licensed(table(spark, rows).filter("false")).count() == 0
 
 
+def test_licenses_where_they_stand(spark):
+    mit, header = licenses.TEMPLATES["MIT"][3], licenses.TEMPLATES["Apache-2.0"][3]
+    wrapped = "\n".join(" * " + mit[k : k + 60] for k in range(0, len(mit), 60))
+    rows = [(1, f"Prose. {licenses.TEMPLATES['Apache-2.0'][0]} More prose that goes on and on."), (2, "/*\n" + wrapped + "\n*/ code();"), (3, "x " * 5000 + header + " y" * 5000), (4, "// SPDX-License-Identifier: MIT"),
+            (4, "nothing"), (None, "Released under the MIT License."), (5, "license " * 3000), (6, "By the license of the poet, under no conditions")]
+    got = sorted((str(r.doc_id), r.licenses) for r in licenses.licensed(table(spark, rows)).collect())
+    assert got == sorted([("1", "Apache-2.0"), ("2", "MIT"), ("3", "Apache-2.0"), ("4", "MIT"), ("4", "MIT"), ("None", "MIT"), ("5", ""), ("6", "")])
+
+
 def test_shards(spark, tmp_path, docs):
     df = table(spark, [*zip(docs.doc_id.tolist(), docs.text.tolist(), strict=True), (1, "again"), (None, None)])
     t = shards.ShardTable(spark, f"file://{tmp_path}/t")
