@@ -3,6 +3,9 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
+import ctypes
+import gc
 import re
 import shutil
 import tempfile
@@ -78,13 +81,21 @@ def _slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         yield from _slices(part)
 
 
+def _give_back() -> None:
+    """Workers live on between tasks: memory that a task is done with goes back to the machine, where the allocators can."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # not every C library has it
+        ctypes.CDLL(None).malloc_trim(0)
+
+
 def map_texts(df: DataFrame, function, schema) -> DataFrame:
     """df.mapInArrow(function, schema) in slices of a few megabytes: of a slice, function holds Python strings and more besides
-    the Arrow buffers. The session's own limit bounds the batches themselves. A worker that has finished gives back what it can."""
+    the Arrow buffers. The session's own limit bounds the batches themselves."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from function(part for b in batches for part in _slices(b))
-        pa.default_memory_pool().release_unused()
+        _give_back()
 
     return df.mapInArrow(run, schema)
 

@@ -39,3 +39,18 @@ def components(edges: DataFrame) -> DataFrame:
         if now == last or not now["n"]:
             return edges.select(F.col("u").alias("node"), F.col("v").alias("component"))
         last = now
+
+
+def joined(labels: DataFrame, edges: DataFrame) -> DataFrame:
+    """labels(node, component), as components() gives them, after more edges(u, v): these are contracted to components first, so what is
+    walked again is as small as they are. Without edges, labels as they are."""
+    end = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"{x}_c"))
+    some = edges.join(end("u"), "u", "left").join(end("v"), "v", "left").select(F.coalesce("u_c", "u").alias("u"), F.coalesce("v_c", "v").alias("v"))
+    some = cut(some.filter("u <> v").distinct(), "contracted")
+    if some.isEmpty():
+        release(some)
+        return labels
+    more = components(some)
+    release(some)
+    moved = labels.join(more.toDF("component", "_to"), "component", "left").select("node", F.coalesce("_to", "component").alias("component"))
+    return cut(moved.unionByName(more), "labels")

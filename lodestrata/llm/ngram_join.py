@@ -31,7 +31,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut, map_texts, release
-from .graph import components
+from .graph import components, joined
 from .hashing import WordHasher, mix, shingle_hashes
 
 SHINGLE, PERCENT = 5, 80
@@ -201,10 +201,10 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, slack: float = SLACK) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """sets(doc_id, n_shingles, h1, h2, ...), classes(n_shingles, h1, h2, class_id, ...) and edges(u, v) between classes.
+    """sets(doc_id, n_shingles, h1, h2, ...), classes(n_shingles, h1, h2, class_id, ...) and labels(node, component) of classes.
 
-    Classes are equal sets, class_id the smallest doc_id. The edges connect what links between all pairs of classes
-    connect: of pairs that share a signature, those are compared that other links have not put into one component."""
+    Classes are equal sets, class_id the smallest doc_id. The components are those that links between all pairs of classes
+    make: of pairs that share a signature, those are compared that other links have not put into one component."""
     signed = cut(signed_sets(docs, size, percent, slack), "signed")
     sets = cut(signed.select("doc_id", "n_shingles", "h1", "h2"), "sets")
     known = signed.filter("n_shingles > 0 and doc_id is not null")
@@ -228,27 +228,28 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     links = verified(bounded(stars), docs, size, percent)
     labels = components(links)
     apart = _apart(shared, labels)
-    release(shared, labels)
+    release(shared, links)
     if apart.isEmpty():
-        return sets, classes, links
+        return sets, classes, labels
     chosen = apart.groupBy("signature").agg(F.min(F.struct(F.xxhash64("class_id", "signature").alias("h"), "class_id", "component")).alias("l"))
     stars = apart.join(chosen, "signature").filter("component <> l.component")
     stars = stars.select(F.least("class_id", "l.class_id").alias("a"), F.greatest("class_id", "l.class_id").alias("b")).distinct()
-    links = links.unionByName(verified(bounded(stars), docs, size, percent))
-    labels = components(links)
+    links = verified(bounded(stars), docs, size, percent)
+    labels = joined(labels, links)
     rest = _apart(apart, labels)
-    release(apart, labels)
+    release(apart, links)
     if rest.isEmpty():
-        return sets, classes, links
+        return sets, classes, labels
     per = rest.groupBy("signature", "component").agg(F.count("*").alias("n"))
     most = per.groupBy("signature").agg(F.max(F.struct("n", "component")).alias("m")).select("signature", F.col("m.component").alias("most"))
     placed = cut(rest.join(most, "signature").join(about, "class_id").withColumn("minor", F.col("component") != F.col("most")).drop("most"), "placed")
     one = lambda x: placed.select("signature", *[F.col(c).alias(f"{x}_{c}") for c in ("class_id", "component", "minor", "n", *_P)])
     pairs = one("a").filter("a_minor").join(one("b"), "signature").filter(f"a_component <> b_component and (not b_minor or a_class_id < b_class_id) and {_similar_enough(percent)}")
     pairs = pairs.select(F.col("a_class_id").alias("a"), F.col("b_class_id").alias("b")).distinct()
-    links = links.unionByName(verified(pairs, docs, size, percent))
-    release(rest, placed)
-    return sets, classes, links
+    links = verified(pairs, docs, size, percent)
+    labels = joined(labels, links)
+    release(rest, placed, links)
+    return sets, classes, labels
 
 
 def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT) -> DataFrame:
@@ -258,23 +259,24 @@ def jaccard_groups(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT)
     shingle; a null or empty text has none and is linked with nothing. component_id is the smallest doc_id that links
     lead to, itself included. Rows that repeat a doc_id are one document, linked with all that either is linked with; a
     null doc_id is linked with nothing, whatever its text, and has a null component_id. An empty table gives no rows; other columns are ignored."""
-    sets, classes, edges = jaccard_links(docs, size, percent)
+    sets, classes, found = jaccard_links(docs, size, percent)
     of_row = F.when(F.col("doc_id").isNotNull(), F.col("class_id")).alias("class_id")
     members = sets.join(classes.select("n_shingles", "h1", "h2", "class_id"), ["n_shingles", "h1", "h2"], "left")
     members = cut(members.select("doc_id", "n_shingles", of_row), "members")
     release(sets)
     # A doc_id that is repeated with other texts joins their classes.
-    repeated = members.filter("class_id is not null and class_id <> doc_id").join(classes.select(F.col("class_id").alias("doc_id")), "doc_id", "left_semi")
-    edges = edges.unionByName(repeated.select(F.col("doc_id").alias("u"), F.col("class_id").alias("v")))
-    split = members.filter("class_id is not null").groupBy("doc_id").agg(F.min("class_id").alias("u"), F.max("class_id").alias("v")).filter("u <> v")
-    several = cut(members.join(split.select("doc_id", "u"), "doc_id").filter("class_id is not null").select("doc_id", "u", "class_id"), "several")
-    edges = edges.unionByName(several.select("u", F.col("class_id").alias("v")))
-    found = components(edges)
+    ids = cut(members.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n"), F.min("class_id").alias("u")).filter("n > 1").select("doc_id", "u"), "repeated")
+    if not ids.isEmpty():
+        several = members.filter("class_id is not null").join(ids, "doc_id").select("u", F.col("class_id").alias("v"))
+        met = members.filter("class_id is not null").join(ids.select("doc_id"), "doc_id", "left_semi")
+        own = met.join(classes.select(F.col("class_id").alias("doc_id")).distinct(), "doc_id", "left_semi").select(F.col("doc_id").alias("u"), F.col("class_id").alias("v"))
+        found = joined(found, several.unionByName(own).filter("u is not null and u <> v"))
     out = members.join(found.withColumnRenamed("node", "class_id"), "class_id", "left")
     out = out.select("doc_id", "n_shingles", F.coalesce("component", "class_id", "doc_id").alias("component_id"))
-    # Of a repeated doc_id without any of these, a row without words takes the component of the others.
-    ids = members.filter("doc_id is not null").groupBy("doc_id").agg(F.count("*").alias("n")).filter("n > 1").select("doc_id")
-    least = out.join(ids, "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("_least"))
+    if ids.isEmpty():
+        return out
+    # Of a repeated doc_id, a row without words takes the component of the others.
+    least = out.join(ids.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("component_id").alias("_least"))
     return out.join(least, "doc_id", "left").select("doc_id", "n_shingles", F.coalesce("_least", "component_id").alias("component_id"))
 
 
