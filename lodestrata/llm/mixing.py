@@ -128,7 +128,8 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     each pass at its own position."""
     times = mix(docs, **how).filter("repeats > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.struct("repeats", "positions").alias("_plan"))
     times = times.groupBy("_id", "_source", "_size").agg(F.max("_plan").alias("_plan"))
-    same = F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    rows = docs.withColumn("_n", n_words(docs["text"])).join(times, same)
-    rows = rows.withColumn("_at", F.explode(F.slice("_plan.positions", F.lit(1), F.col("_plan.repeats"))))
-    return rows.orderBy("_at", "doc_id").select(docs.columns)
+    # A row's own columns travel as one, so that names cannot clash.
+    rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), n_words(docs["text"]).alias("_n"))
+    same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
+    rows = rows.join(times, same).select("_row", F.explode(F.slice("_plan.positions", F.lit(1), F.col("_plan.repeats"))).alias("_at"))
+    return rows.orderBy("_at", "_row.doc_id").select("_row.*")

@@ -302,7 +302,8 @@ def toxicity(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFr
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, rows: int = FIT_ROWS) -> DataFrame:
-    """docs whose score is below 0.5, with their own columns."""
-    scored = score(docs.withColumnRenamed("score", "_score0").withColumnRenamed("hits", "_hits0"), train(docs, labels, rows))
-    kept = scored.filter("score < 0.5").drop("score", "hits")
-    return kept.withColumnRenamed("_score0", "score").withColumnRenamed("_hits0", "hits").select(docs.columns)
+    """docs whose score is below 0.5, with their own columns, whatever their names. Null and empty texts have no hits."""
+    names = docs.columns
+    at = [c.lower() for c in names].index("text")
+    plain = docs.toDF(*["text" if i == at else f"c{i}" for i in range(len(names))])
+    return score(plain, train(docs, labels, rows)).filter("score < 0.5").drop("score", "hits").toDF(*names)
