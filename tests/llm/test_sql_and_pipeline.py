@@ -108,3 +108,20 @@ def test_stages_on_hard_rows(spark, tmp_path):
     assert near == {-5, 1, 3, 4, 5, 8, 9, 10, 14, 15}  # 7 is 5 but for case; 11 and 13 are near -5
     empty = stages_of(spark, docs.filter("false"), str(tmp_path))
     assert all(not rows for _, rows in empty.values())
+
+
+def test_stages_keep_columns_of_any_name(spark, tmp_path):
+    from pyspark.sql import functions as F
+
+    from .test_contracts import table
+
+    spark.createDataFrame([(1, 0)], "doc_id long, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    docs = table(spark, [(i, f"some words of text number {i} " * (i + 1), f"s{i % 2}") for i in range(8)] + [(9, "some words of text number 0 ", "s1")])
+    names = ["_n", "_at", "_row", "_text", "_k", "_key", "_gone", "_keep", "hits", "component_id", "repeats", "Position", "a b"]
+    docs = docs.withColumns({n: F.lit(i) for i, n in enumerate(names)})
+    now = docs
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns, name
+        rows = now.collect()
+        assert rows and all(r[n] == i for r in rows for i, n in enumerate(names)), name
