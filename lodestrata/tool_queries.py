@@ -9,7 +9,9 @@ from .functions import text as T
 from .operators import buildlog, context, duplicates, edits, impact, lookup, rules, symbols, telemetry
 from .plans import adapters as A
 from .plans import index
+from .plans.shared import cut, fresh_path
 from .queries import CALLS, EMAIL, FILES, LINES, MEMBERS, ORACLE_SQL, QUERIES, SITES, TYPES, WORD_PATTERN, query
+from .sinks import export, reports
 from .sources import code
 
 BRAND = "CAST(regexp_extract(type_name, '([0-9]+)$', 1) AS BIGINT)"
@@ -324,3 +326,47 @@ def method_source(spark, d):
     rows = lookup.method_source(corpus.members, corpus.lines, f"M{lowest}", "brand13")
     first = corpus.members.filter(f"name = 'M{lowest}'").select("file_ord", F.col("start_line").alias("_s"))
     return rows.join(first, "file_ord").filter("line_no > _s").select(F.lit(lowest).alias("k"), (F.col("line_no") - F.col("_s") - 1).cast("int").alias("line_no"), "text")
+
+
+# Sinks.
+@query("SELECT CAST(n_nationkey AS INTEGER) AS number, n_name AS component, CASE WHEN n_regionkey <> 2 THEN r_name END AS observation FROM nation JOIN region ON n_regionkey = r_regionkey")
+def lessons_written(spark, d):
+    """Written as JSON, nulls left out, and read back."""
+    rows = A.read(spark, d, "nation").join(A.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = fresh_path(spark, "lessons")
+    export.write_lessons(rows.select(F.col("n_nationkey").cast("int").alias("number"), F.col("n_name").alias("component"), F.when(F.col("n_regionkey") != 2, F.col("r_name")).alias("observation")), path)
+    return spark.read.schema("number int, component string, observation string").json(path)
+
+
+@query("SELECT r_name AS name, n_name AS folder FROM nation JOIN region ON n_regionkey = r_regionkey")
+def workspaces_written(spark, d):
+    """A folder for each workspace, with its settings, and read back."""
+    rows = A.read(spark, d, "nation").join(A.read(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    path = fresh_path(spark, "workspaces")
+    export.write_workspaces(rows.groupBy(F.col("r_name").alias("name")).agg(F.collect_list("n_name").alias("folders")), path)
+    found = spark.read.schema("name string, folders array<string>, workspace string").json(path)
+    return found.filter("name = workspace").select("name", F.explode("folders").alias("folder"))
+
+
+@query("SELECT event_id AS n, upper(event_type) AS kind, CAST(floor(value) AS BIGINT) AS ms, props AS message FROM events")
+def activity_written(spark, d):
+    """Written as CSV with quotes and commas in cells, and read back."""
+    log = A.read(spark, d, "events").select(F.col("event_id").alias("ord"), "ts", F.upper("event_type").alias("type"), F.col("event_id").cast("string").alias("tool_name"), F.floor("value").alias("duration_ms"), F.col("props").alias("message"))
+    path = fresh_path(spark, "activity")
+    export.write_activity(log, path)
+    found = spark.read.schema("Timestamp string, Type string, Tool string, DurationMs long, Message string").csv(path, header=True, quote='"', escape='"')
+    return found.select(F.col("Tool").cast("long").alias("n"), F.col("Type").alias("kind"), F.col("DurationMs").alias("ms"), F.col("Message").alias("message"))
+
+
+@query(
+    f"""SELECT file_ord, text AS line FROM {LINES} UNION ALL SELECT file_ord, '// --- ' || relative_path || ' ---' FROM {FILES}
+UNION ALL SELECT file_ord, '```' || language FROM {FILES} UNION ALL SELECT file_ord, '```' FROM {FILES} UNION ALL SELECT file_ord, '' FROM {FILES}"""
+)
+def chunk_texts(spark, d):
+    """The files as chunks show them."""
+    none = F.array().cast("array<string>")
+    files = A.document_files(spark, d).withColumn("dependencies", none).withColumn("usings", none).withColumn("classification", F.lit("Unknown"))
+    chunks = cut(index.chunk_files(files, 20_000), "chunks")
+    types, members = A.chain_types(spark, d).filter("false"), A.part_members(spark, d).withColumn("signature", F.col("name")).filter("false")
+    rows = reports.chunk_texts(chunks, files, types, members).filter("part = 3").withColumn("pos", F.shiftright("sub", 40).cast("int"))
+    return rows.join(chunks.select(F.col("chunk_number").alias("at"), "pos", "file_ord"), ["at", "pos"]).select("file_ord", "line")
