@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ego_join, exact_dedup, langid, licenses, mixing, ngram_join, packing, repeats, shards, toxicity
+from . import ego_join, exact_dedup, langid, licenses, mixing, ngram_join, packing, repeats, runs, shards, toxicity
+from .common import WORD
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -62,8 +63,32 @@ def op10_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_duplicates(_docs(spark, sf_dir))
 
 
+def _with_planted_periods(docs: DataFrame) -> DataFrame:
+    """docs, with the words of every tenth document by hash repeating from some word on, as the query's contract plants them."""
+    h = F.crc32(docs["doc_id"].cast("string"))
+    words = F.regexp_extract_all(F.coalesce(docs["text"], F.lit("")), F.lit(WORD), F.lit(0))
+    n, g = F.size(words).cast("long"), F.floor(h / 10)
+    begin = g % n
+    period = 1 + F.floor((n - begin) / (3 + g % 8))
+    times = F.ceil((n - begin) / period).cast("int")
+    part = lambda at, length: F.slice(words, (at + 1).cast("int"), length.cast("int"))
+    planted = F.slice(F.concat(part(F.lit(0), begin), F.flatten(F.array_repeat(part(begin, period), times))), 1, n.cast("int"))
+    return docs.select("doc_id", F.when((h % 10 == 0) & (n > 0), F.array_join(planted, " ")).otherwise(docs["text"]).alias("text"))
+
+
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = runs.periodic_runs(_with_planted_periods(_docs(spark, sf_dir)))
+    line = lambda r: F.concat_ws(",", r["start"], r["length"], r["period"])
+    best = runs.strongest(F.col("runs"))
+    return found.withColumn("best", best).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), *[F.col(f"best.{c}").alias(c) for c in ("start", "length", "period")],
+        F.expr("1000 * best.length div best.period").alias("exponent_milli"),
+        F.sha2(F.array_join(F.transform("runs", lambda r: F.concat(line(r), F.lit("\n"))), ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"),
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_ego_join, op3_toxicity, op4_compaction, op5_curriculum_mix, op6_langid, op7_suffix_dedup, op8_sum_of_squares, op9_licenses, op10_exact_dedup)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_ego_join, op3_toxicity, op4_compaction, op5_curriculum_mix, op6_langid, op7_suffix_dedup, op8_sum_of_squares, op9_licenses, op10_exact_dedup, op11_periodic_runs)
 }
 
 
@@ -136,7 +161,8 @@ WITH b(license, k, p) AS (SELECT l, k, string_split(t, ' ') FROM (VALUES {values
 t AS (SELECT DISTINCT license, k, p[j] || ' ' || p[j + 1] AS gram FROM (SELECT license, k, p, unnest(range(1, len(p))) AS j FROM b)), m AS (SELECT license, k, count(*) AS n FROM t GROUP BY 1, 2),
 u AS (SELECT DISTINCT doc_id, unit FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS unit FROM documents
   UNION ALL SELECT doc_id, unnest(string_split_regex(text, '
-[ 	]*
+[ 	
+]*
 ')) FROM documents)),
 w AS (SELECT doc_id, unit, string_split(trim(regexp_replace(lower(unit), '[^a-z0-9]+', ' ', 'g')), ' ') AS p FROM u),
 i AS (SELECT doc_id, unit, p, unnest(range(1, len(p))) AS j FROM w),
@@ -180,3 +206,23 @@ e AS (SELECT d.a, d.b FROM d JOIN q p ON d.a = p.vec_id JOIN q t ON d.b = t.vec_
 r AS (SELECT vec_id AS node, vec_id AS reach FROM embeddings UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.reach),
 c AS (SELECT node, min(reach) AS component_id FROM r GROUP BY node), k AS (SELECT a, count(*) AS n FROM e GROUP BY a)
 SELECT c.node AS vec_id, coalesce(k.n, 0) AS n_links, c.component_id, c.node = c.component_id AS kept FROM c LEFT JOIN k ON c.node = k.a"""
+
+
+ORACLE_SQL["op11_periodic_runs"] = r"""
+WITH m AS (SELECT list(list_reduce([n, 0, 0, 0, 0, 0, 0, 0, 0], lambda x, z: xor(x >> 1, 3988292384 * (x & 1))) ORDER BY n) AS crc FROM range(256) v(n)),
+o AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS p, 4294967295 - list_reduce(list_prepend(4294967295::BIGINT,
+  list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda y: CAST(ascii(y) AS BIGINT))), lambda x, y: xor(x >> 8, crc[1 + (xor(x, y) & 255)])) AS h FROM documents, m),
+c AS (SELECT doc_id, p, h % 10 = 0 AND len(p) > 0 AS planted, (h // 10) % greatest(len(p), 1) AS a, 3 + (h // 10) % 8 AS parts FROM o),
+w AS (SELECT doc_id, CASE WHEN planted THEN list_transform(range(len(p)), lambda i: p[1 + CASE WHEN i < a THEN i ELSE a + (i - a) % (1 + (len(p) - a) // parts) END]) ELSE p END AS p FROM c),
+i AS (SELECT doc_id, len(p) AS n, unnest(range(len(p))) AS i, unnest(p) AS word FROM w),
+e AS (SELECT b.doc_id, b.i - a.i AS q, b.i AS j FROM i a JOIN i b ON a.doc_id = b.doc_id AND a.word = b.word AND a.i < b.i AND 3 * (b.i - a.i) <= a.n),
+k AS (SELECT doc_id, q, j, j - row_number() OVER (PARTITION BY doc_id, q ORDER BY j) AS island FROM e),
+s AS (SELECT doc_id, q, min(j) - q AS start, count(*) + q AS length FROM k GROUP BY doc_id, q, island HAVING count(*) + q >= greatest(24, 3 * q)),
+r AS (SELECT doc_id, start, length, min(q) AS period FROM s GROUP BY doc_id, start, length),
+t AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS lines FROM r GROUP BY doc_id),
+b AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) AS nth FROM r),
+g AS (SELECT DISTINCT i.doc_id, i.i FROM i JOIN r ON i.doc_id = r.doc_id AND i.i >= r.start + r.period AND i.i < r.start + r.length),
+l AS (SELECT i.doc_id, string_agg(word, ' ' ORDER BY i.i) AS rest FROM i LEFT JOIN g ON i.doc_id = g.doc_id AND i.i = g.i WHERE g.i IS NULL GROUP BY i.doc_id)
+SELECT o.doc_id, coalesce(t.n_runs, 0) AS n_runs, b.start, b.length, b.period, (1000 * b.length) // b.period AS exponent_milli,
+       sha256(coalesce(t.lines, '')) AS runs_sha256, sha256(coalesce(l.rest, '')) AS collapsed_sha256
+FROM o LEFT JOIN t ON o.doc_id = t.doc_id LEFT JOIN b ON o.doc_id = b.doc_id AND b.nth = 1 LEFT JOIN l ON o.doc_id = l.doc_id"""
