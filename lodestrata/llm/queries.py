@@ -7,8 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ego_join, exact_dedup, langid, licenses, mixing, negatives, ngram_join, packing, repeats, runs, shards, toxicity
-from .common import WORD
+from . import ego_join, exact_dedup, langid, licenses, mixing, negatives, ngram_join, packing, repeats, runs, shards, toxicity, webp
+from .common import WORD, cut
 
 
 def _docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,8 +93,19 @@ def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
     return negatives.hard_negatives(vectors.withColumn("label", moved))
 
 
+def op13_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = _docs(spark, sf_dir)
+    n_bytes = F.octet_length(F.encode(F.coalesce(docs["text"], F.lit("")), "utf-8")).cast("long")
+    media = cut(webp.to_media(docs.select("doc_id", n_bytes.alias("n_bytes"), webp.payload_of(docs["text"]).alias("media"))), "media")
+    read = webp.pixel_arrays(media, pixels=False)
+    return read.select(
+        "doc_id", "n_bytes", F.octet_length("samples").cast("long").alias("payload_bytes"), F.sha2("samples", 256).alias("payload_sha256"), F.crc32(F.substring("samples", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"), F.sha2("media", 256).alias("media_sha256"), "feature",
+    )
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    f.__name__: f for f in (op1_ngram_jaccard, op2_ego_join, op3_toxicity, op4_compaction, op5_curriculum_mix, op6_langid, op7_suffix_dedup, op8_sum_of_squares, op9_licenses, op10_exact_dedup, op11_periodic_runs, op12_hard_negatives)
+    f.__name__: f for f in (op1_ngram_jaccard, op2_ego_join, op3_toxicity, op4_compaction, op5_curriculum_mix, op6_langid, op7_suffix_dedup, op8_sum_of_squares, op9_licenses, op10_exact_dedup, op11_periodic_runs, op12_hard_negatives, op13_lossless_webp)
 }
 
 
