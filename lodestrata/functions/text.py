@@ -134,6 +134,6 @@ def similarity(a: Column, b: Column, long: int = 500) -> Column:
     most, least = F.greatest(F.length(a), F.length(b)), F.least(F.length(a), F.length(b))
     x, y = ngrams(a), ngrams(b)
     both = F.size(F.array_intersect(x, y))
-    jaccard = both * F.lit(100.0) / (F.size(x) + F.size(y) - both)
+    jaccard = both / (F.size(x) + F.size(y) - both) * 100
     edits = (F.lit(1.0) - F.levenshtein(a, b) / most) * 100
     return F.when(a == b, 100).when(least < most * 0.5, 0).when(most > long, jaccard.cast("int")).otherwise(edits.cast("int")).cast("int")

@@ -7,12 +7,14 @@ import re
 import shutil
 import tempfile
 import uuid
+import weakref
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 _own: list[str] = []
+_paths: weakref.WeakKeyDictionary = weakref.WeakKeyDictionary()
 
 
 def fresh_path(spark: SparkSession, tag: str) -> str:
@@ -33,7 +35,18 @@ def cut(df: DataFrame, tag: str = "table") -> DataFrame:
     """df, written to the shared folder and read again: what follows neither recomputes it nor carries its plan."""
     path = fresh_path(df.sparkSession, tag)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    _paths[out] = path
+    return out
+
+
+def release(*tables: DataFrame) -> None:
+    """Deletes what cut() has written for tables that no later step reads."""
+    for t in tables:
+        if path := _paths.pop(t, None):
+            sc = t.sparkSession.sparkContext
+            at = sc._jvm.org.apache.hadoop.fs.Path(path)
+            at.getFileSystem(sc._jsc.hadoopConfiguration()).delete(at, True)
 
 
 def running(rows: DataFrame, order: list[str], value: str | None = None, number: str | None = None, total: str | None = None) -> DataFrame:

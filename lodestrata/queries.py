@@ -322,12 +322,45 @@ def _texts(spark, d):
     return duplicates.text_blocks(A.read(spark, d, "documents").select(F.col("doc_id").alias("ord"), "text"))
 
 
-@query()
+# Documents by normalised text: k(ord, body, n_lines, rows), each text once by its first row, and the pairs of texts that are alike, e(a, b, similarity). DuckDB's edit distance
+# counts bytes, so characters beyond ASCII change to capitals and controls, which no normalised text has.
+TEXTS = r"""d AS (SELECT doc_id AS ord, trim(lower(regexp_replace(text, '[ \t\n\x0B\f\r]+', ' ', 'g'))) AS body, len(string_split(text, chr(10))) AS n_lines FROM documents),
+k AS (SELECT min(ord) AS ord, body, count(*) AS n_rows, length(body) AS n FROM d WHERE body <> '' GROUP BY body),
+w AS (SELECT string_agg(c, '' ORDER BY c) AS other FROM (SELECT DISTINCT unnest(regexp_extract_all(body, '[^\x00-\x7F]')) AS c FROM k)),
+z AS (SELECT k.*, translate(body, coalesce(other, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ' || (SELECT string_agg(chr(i::INTEGER), '' ORDER BY i) FROM range(14, 32) v(i))) AS plain FROM k, w WHERE n <= 500),
+g AS (SELECT DISTINCT ord, substr(body, i::INTEGER, 5) AS gram FROM (SELECT ord, body, unnest(range(1, n - 3)) AS i FROM k WHERE 2 * n > 500)),
+h AS (SELECT ord, count(*) AS size FROM g GROUP BY ord),
+s AS (SELECT x.ord AS a, y.ord AS b, count(*) AS shared FROM (SELECT g.*, size, n FROM g JOIN h USING (ord) JOIN k USING (ord)) x JOIN (SELECT g.*, size, n FROM g JOIN h USING (ord) JOIN k USING (ord)) y
+  ON x.gram = y.gram AND x.ord < y.ord AND greatest(x.n, y.n) > 500 AND 2 * least(x.n, y.n) >= greatest(x.n, y.n) AND 5 * least(x.size, y.size) >= 4 * greatest(x.size, y.size) GROUP BY 1, 2),
+e AS (SELECT a, b, CAST(trunc(shared::DOUBLE / (p.size + q.size - shared) * 100) AS INTEGER) AS similarity FROM s JOIN h p ON p.ord = a JOIN h q ON q.ord = b WHERE similarity >= 80
+  UNION ALL SELECT x.ord, y.ord, CAST(trunc((1.0::DOUBLE - levenshtein(x.plain, y.plain)::DOUBLE / greatest(x.n, y.n)) * 100) AS INTEGER) AS similarity
+  FROM z x JOIN z y ON x.ord < y.ord AND 5 * least(x.n, y.n) >= 4 * greatest(x.n, y.n) WHERE similarity >= 80)"""
+
+
+@query(f"WITH {TEXTS} SELECT a, b, similarity, x.n_rows AS a_rows, y.n_rows AS b_rows FROM e JOIN k x ON x.ord = a JOIN k y ON y.ord = b")
 def document_pairs(spark, d):
     return duplicates.row_pairs(_texts(spark, d))
 
 
-@query()
+@query(f"WITH {TEXTS} SELECT d.ord, k.ord AS class, k.n_rows FROM d JOIN k ON d.body = k.body")
+def document_classes(spark, d):
+    """The rows that document_pairs' texts stand for."""
+    return duplicates.row_classes(_texts(spark, d))
+
+
+# Texts in order: one that no seed before it is similar to is a seed itself.
+@query(
+    f"""WITH RECURSIVE {TEXTS},
+t AS (SELECT ord, row_number() OVER (ORDER BY ord) AS i, (SELECT list(a) FROM e WHERE b = ord) AS below FROM (SELECT a AS ord FROM e UNION SELECT b FROM e)),
+r AS (SELECT CAST(0 AS BIGINT) AS i, CAST([] AS BIGINT[]) AS seeds UNION ALL
+  SELECT t.i, CASE WHEN list_has_any(seeds, coalesce(below, [])) THEN seeds ELSE list_append(seeds, t.ord) END FROM r JOIN t ON t.i = r.i + 1),
+f AS (SELECT unnest(seeds) AS seed FROM (SELECT seeds FROM r ORDER BY i DESC LIMIT 1)),
+j AS (SELECT b AS ord, min(seed) AS seed, arg_min(similarity, seed) AS similarity FROM e JOIN f ON e.a = seed WHERE b NOT IN (FROM f) GROUP BY b),
+c AS (SELECT seed, ord, similarity FROM j UNION ALL SELECT DISTINCT seed, seed, 100 FROM j UNION ALL SELECT ord, ord, 100 FROM k WHERE n_rows > 1 AND ord NOT IN (SELECT ord FROM j) AND ord NOT IN (SELECT seed FROM j)),
+m AS (SELECT c.seed, d.ord, c.similarity, d.n_lines FROM c JOIN k ON c.ord = k.ord JOIN d ON d.body = k.body)
+SELECT seed, count(*) AS n_members, max(similarity) FILTER (ord <> seed) AS similarity, CAST(sum(n_lines) AS BIGINT) AS total_lines, CAST(sum(n_lines) - max(n_lines) FILTER (ord = seed) AS BIGINT) AS saved_lines
+FROM m GROUP BY seed ORDER BY n_members DESC, similarity DESC, seed LIMIT 20"""
+)
 def duplicate_clusters(spark, d):
     rows = _texts(spark, d)
     return duplicates.cluster_report(duplicates.row_clusters(rows), rows)

@@ -160,12 +160,19 @@ def test_duplicates_of_all_rows(spark, sf, monkeypatch):
     copies = [t for _, t in texts if t and 300 < len(t) < 2_000][:3]
     texts += [(10_000 + i, t) for i, t in enumerate(copies * 2)] + [(20_000 + i, "tiny text") for i in range(4)] + [(30_000, None), (30_001, " "), (30_002, copies[0] + " tail")]
     rows = duplicates.text_blocks(spark.createDataFrame(texts, "ord long, text string")).cache()
+    texts_of = {r.ord: r.body for r in rows.collect()}
     a, b = rows.toDF("a", "x", "n"), rows.toDF("b", "y", "k")
     # The definition, which compares every row with every row.
     similar = F.when(F.col("x") == F.col("y"), 100).otherwise(T.similarity(F.col("x"), F.col("y")))
     near = F.least(F.length("x"), F.length("y")) * 2 >= F.greatest(F.length("x"), F.length("y"))
     want = {tuple(r) for r in a.join(b, F.col("a") < F.col("b")).filter(near).select("a", "b", similar.alias("s")).filter("s >= 50").collect()}
-    got = [tuple(r) for r in duplicates.row_pairs(rows, 50).collect()]
+    of = {}
+    for r in duplicates.row_classes(rows).collect():
+        of.setdefault(r["class"], []).append(r.ord)
+        assert r["class"] == min(x for x, t in texts_of.items() if t == texts_of[r.ord]) and r.n_rows == sum(t == texts_of[r.ord] for t in texts_of.values())
+    pairs = duplicates.row_pairs(rows, 50).collect()
+    assert all((r.a_rows, r.b_rows) == (len(of[r.a]), len(of[r.b])) for r in pairs) and len(pairs) < len(want)
+    got = [(min(x, y), max(x, y), r.similarity) for r in pairs for x in of[r.a] for y in of[r.b]] + [(x, y, 100) for xs in of.values() for x in xs for y in xs if x < y]
     assert len(got) == len(set(got)) and set(got) == want and sum(s == 100 for *_, s in got) >= 15
     taken, clusters, like = set(), {}, {(x, y): s for x, y, s in want}
     for i in sorted(r.ord for r in rows.collect()):  # the loop of the reference
@@ -183,6 +190,33 @@ def test_duplicates_of_all_rows(spark, sf, monkeypatch):
     assert report
 
 
+def test_parities_lose_no_pair(spark):
+    """Long texts changed more and more, in one space of sizes or in neighbouring ones, and some with more letters than digits hold."""
+    import random
+
+    rng = random.Random(9)
+    base = "".join(rng.choice("abcdefgh ") for _ in range(1500))
+    texts = [base]
+    for k in range(1, 40):
+        t = list(base)
+        for _ in range(4 * k):
+            t[rng.randrange(len(t))] = rng.choice("xyz")
+        texts.append("".join(t)[: 1500 - 7 * k])
+    texts += ["".join(rng.choice("abcdefgh ") for _ in range(rng.randrange(501, 2500))) for _ in range(40)] + ["ab" * 300, "ab" * 400, "ab" * 800]
+    wide = "".join(chr(0x4E00 + i) for i in range(8000))
+    texts += [wide, wide[:7500] + wide[:200], wide[4000:]]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    for least in (50, 80, 100):
+        want = set()
+        for i, x in enumerate(sets):
+            for j in range(i + 1, len(sets)):
+                n, k = len(texts[i]), len(texts[j])
+                if max(n, k) > 500 and 2 * min(n, k) >= max(n, k) and texts[i] != texts[j] and (p := int(len(x & sets[j]) / len(x | sets[j]) * 100)) >= least:
+                    want.add((i, j, p))
+        rows = spark.createDataFrame(list(enumerate(texts)), "ord long, body string")
+        assert {tuple(r) for r in duplicates.similar_pairs(rows, least).collect()} == want and want
+
+
 def test_telemetry(spark):
     lines = spark.createDataFrame([(i, v) for i, v in enumerate(["W|COMPLETED|grep|12ms", "W|INDEXED|5 files", "W|ERROR|grep|x|y", "nobar", "W|STARTED"])], "ord long, value string")
     got = telemetry.parse_activity(lines).collect()
