@@ -10,6 +10,7 @@ sum is taken over slots of the hash in two levels, so that no task ever holds mo
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
@@ -123,13 +124,41 @@ def mix(docs: DataFrame, weights=WEIGHTS, share: float = SHARE, max_repeats: int
     return rows.select("doc_id", "source", "size", "source_size", "target", "taken", "repeats", "position", "positions").orderBy("position", "doc_id")
 
 
+#: Parts in which the rows that share doc_id, source and size are numbered.
+SALTS = 64
+
+
+def _numbered(rows: DataFrame, key: list[str], salt: Column, order: Column) -> DataFrame:
+    """rows with _nth, their number from 1 among those of a key, null or not: in parts by salt, each after the parts before it."""
+    rows = rows.withColumn("_salt", F.pmod(salt, F.lit(SALTS)))
+    parts = rows.groupBy(*key, "_salt").agg(F.count("*").alias("_many"))
+    begins = F.coalesce(F.sum("_many").over(W.partitionBy(*key).orderBy("_salt").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = parts.select(*[F.col(c).alias(f"_of{c}") for c in [*key, "_salt"]], begins.alias("_begin"))
+    rows = rows.withColumn("_within", F.row_number().over(W.partitionBy(*key, "_salt").orderBy(order)))
+    same = [F.col(c).eqNullSafe(F.col(f"_of{c}")) for c in [*key, "_salt"]]
+    return rows.join(parts, reduce(Column.__and__, same)).withColumn("_nth", F.col("_begin") + F.col("_within")).drop("_salt", "_within", "_begin", *[f"_of{c}" for c in [*key, "_salt"]])
+
+
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """docs as the mix takes them, in the order of training: documents with repeats 0 go, others are there that many times, whole,
-    each pass at its own position."""
-    times = mix(docs, **how).filter("repeats > 0").select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.struct("repeats", "positions").alias("_plan"))
-    times = times.groupBy("_id", "_source", "_size").agg(F.max("_plan").alias("_plan"))
+    each pass at its own position. Rows that share doc_id, source and size, null or not, each have a plan of their own: which has which is left open."""
+    key = ["_id", "_source", "_size"]
+    plans = mix(docs, **how).select(F.col("doc_id").alias("_id"), F.col("source").alias("_source"), F.col("size").alias("_size"), F.struct("repeats", "positions").alias("_plan"))
+    plans = cut(plans, "mix-plans")
+    groups = cut(plans.groupBy(*key).agg(F.count("*").alias("_rows"), F.max("_plan").alias("_plan")), "mix-groups")
     # A row's own columns travel as one, so that names cannot clash.
     rows = docs.select(F.struct(*[docs[f"`{c}`"] for c in docs.columns]).alias("_row"), n_words(docs["text"]).alias("_n"))
     same = F.col("_row.doc_id").eqNullSafe(F.col("_id")) & F.col("_row.source").eqNullSafe(F.col("_source")) & (F.col("_n") == F.col("_size"))
-    rows = rows.join(times, same).select("_row", F.explode(F.slice("_plan.positions", F.lit(1), F.col("_plan.repeats"))).alias("_at"))
-    return rows.orderBy("_at", "_row.doc_id").select("_row.*")
+    out = rows.join(groups.filter("_rows = 1 and _plan.repeats > 0"), same).select("_row", "_plan")
+    shared = groups.filter("_rows > 1").select(*key)
+    if not shared.isEmpty():
+        together = [F.col(c).eqNullSafe(F.col(f"_g{c}")) for c in key]
+        mine = shared.toDF(*[f"_g{c}" for c in key])
+        one = _numbered(plans.join(mine, reduce(Column.__and__, together), "left_semi"), key, F.xxhash64("_plan.positions"), F.col("_plan"))
+        two = rows.join(shared, same).select("_row", *key)
+        two = _numbered(two, key, F.xxhash64("_row.text"), F.xxhash64("_row.text"))
+        met = [F.col(c).eqNullSafe(F.col(f"_p{c}")) for c in [*key, "_nth"]]
+        one = one.filter("_plan.repeats > 0").select(*[F.col(c).alias(f"_p{c}") for c in [*key, "_nth"]], "_plan")
+        out = out.unionByName(two.join(one, reduce(Column.__and__, met)).select("_row", "_plan"))
+    out = out.select("_row", F.explode(F.slice("_plan.positions", F.lit(1), F.col("_plan.repeats"))).alias("_at"))
+    return out.orderBy("_at", "_row.doc_id").select("_row.*")

@@ -9,6 +9,7 @@ executors are lost before the commit leaves nothing but files that no manifest n
 
 from __future__ import annotations
 
+import time
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -27,8 +28,12 @@ CODEC = "zstd"
 SHARD, BYTES = "__shard", "__bytes"
 
 
+#: vacuum() leaves what was written in the last week, and what the last two versions name.
+RETENTION_S, KEPT_VERSIONS = 7 * 24 * 3600, 2
+
+
 class Conflict(RuntimeError):
-    """Another writer has committed the version that this one was to be."""
+    """Another writer has committed the version that this one was to be, or deleted its files."""
 
 
 class ShardTable:
@@ -60,6 +65,9 @@ class ShardTable:
 
     def commit(self, manifest: DataFrame, base: int) -> int:
         """Makes manifest the version after base, in one atomic rename; Conflict if that version is there already."""
+        for r in manifest.select("generation").distinct().collect():  # one per append or merge
+            if not self._fs.exists(self._path(f"{self.root}/data/{r.generation}")):
+                raise Conflict(f"the files of {r.generation} are gone")
         staged = f"{self.root}/staged/{uuid.uuid4().hex}"
         manifest.coalesce(1 + manifest.count() // 1_000_000).write.parquet(staged)  # a row per shard
         self._fs.mkdirs(self._path(f"{self.root}/manifests"))
@@ -90,7 +98,7 @@ class ShardTable:
     def _described(self, generation: str) -> DataFrame:
         rows = self.spark.read.parquet(f"{self.root}/data/{generation}")
         sizes = rows.groupBy(F.col(SHARD).cast("long").alias("shard")).agg(F.count("*").alias("n_rows"), F.sum(BYTES).alias("n_bytes"))
-        return sizes.select("shard", F.lit(generation).alias("generation"), tier_of(F.col("n_bytes")).alias("tier"), "n_rows", "n_bytes")
+        return cut(sizes.select("shard", F.lit(generation).alias("generation"), tier_of(F.col("n_bytes")).alias("tier"), "n_rows", "n_bytes"), "described")
 
     def append(self, rows: DataFrame, arrival_rows: int = ARRIVAL_ROWS) -> int:
         """Writes rows(text, ...) as small shards, without a shuffle, and commits them. Returns the version."""
@@ -123,14 +131,28 @@ class ShardTable:
             self.commit(rest.unionByName(self._described(generation)), base)
             release(live, plan)
 
-    def vacuum(self) -> int:
-        """Deletes generations that the latest version does not name; how many. Readers of older versions lose them."""
-        live = {r.generation for r in self.manifest().select("generation").distinct().collect()}
-        old = [s.getPath() for s in self._fs.listStatus(self._path(f"{self.root}/data")) if s.getPath().getName() not in live]
+    def vacuum(self, older_than_s: float = RETENTION_S, keep_versions: int = KEPT_VERSIONS) -> int:
+        """Deletes generations that none of the latest versions names and that were written longer ago than any writer takes from its first file to its
+        commit; how many. Readers of older versions lose them."""
+        last = self.version()
+        live: set[str] = set()
+        for v in range(max(1, last - keep_versions + 1), last + 1):
+            live |= {r.generation for r in self.manifest(v).select("generation").distinct().collect()}
+        before = time.time() * 1000 - older_than_s * 1000
+        at = self._path(f"{self.root}/data")
+        every = [s for s in self._fs.listStatus(at)] if self._fs.exists(at) else []
+        old = [s.getPath() for s in every if s.getPath().getName() not in live and self._written(s.getPath()) <= before]
         for p in old:
             self._fs.delete(p, True)
         return len(old)
 
+    def _written(self, generation) -> int:
+        """When the last file of a generation was written; folders are written to before the files in them are complete."""
+        files, latest = self._fs.listFiles(generation, True), self._fs.getFileStatus(generation).getModificationTime()
+        while files.hasNext():
+            latest = max(latest, files.next().getModificationTime())
+        return latest
+
 
 def tier_of(n_bytes) -> F.Column:
     """Runs of similar size: 0 up to SMALLEST bytes, then one tier for each factor of FANOUT."""

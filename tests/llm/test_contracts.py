@@ -6,7 +6,7 @@ import random
 import re
 import struct
 import zlib
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
@@ -690,7 +690,7 @@ def test_shards(spark, tmp_path, docs):
     assert sorted((str(r.doc_id), r.text) for r in t.rows(3).collect()) == before  # older versions stay readable
     with pytest.raises(shards.Conflict):
         t.commit(t.manifest(), base=v - 1)
-    assert t.vacuum() > 0 and sorted((str(r.doc_id), r.text) for r in t.rows().collect()) == before
+    assert t.vacuum() == 0 and t.vacuum(older_than_s=0, keep_versions=1) > 0 and sorted((str(r.doc_id), r.text) for r in t.rows().collect()) == before
     from pyspark.sql import functions as F
 
     clash = df.withColumnsRenamed({"part": "Shard", "lang": "merge", "source": "into"}).withColumns({"__SHARD": F.lit(1), "__bytes": F.lit("b"), "_bytes": F.lit(2), "tier": F.lit(3)})
@@ -732,3 +732,37 @@ def test_session_keeps_its_settings(spark):
     before = spark.conf.getAll
     langid.identify(table(spark, HARD), langid.fit(["a b c"], ["en"])).count()
     assert spark.conf.getAll == before
+
+
+def test_vacuum_leaves_what_is_not_committed_yet(spark, tmp_path):
+    """A second writer cleans up between the files of an append and its commit."""
+    t = shards.ShardTable(spark, f"file://{tmp_path}/t")
+    t.append(table(spark, [(1, "a"), (2, "b")]))
+    commit = shards.ShardTable.commit
+
+    class Slow(shards.ShardTable):
+        def commit(self, manifest, base):
+            removed.append(shards.ShardTable(spark, self.root).vacuum(**how))
+            return commit(self, manifest, base)
+
+    removed, how = [], {}
+    Slow(spark, t.root).append(table(spark, [(3, "c")]))
+    assert removed == [0] and sorted(r.doc_id for r in t.rows().collect()) == [1, 2, 3]
+    how = {"older_than_s": -1}
+    with pytest.raises(shards.Conflict):  # not a table that cannot be read
+        Slow(spark, t.root).append(table(spark, [(4, "d")]))
+    assert sorted(r.doc_id for r in t.rows().collect()) == [1, 2, 3]
+
+
+@pytest.mark.parametrize("ids", [[None] * 400, [7] * 400, [None, 7] * 200])
+def test_rows_that_share_an_id_have_plans_of_their_own(spark, ids):
+    rows = [(i, f"w{k} " * 10, "a") for k, i in enumerate(ids)] + [(1000 + k, "x y z", "b") for k in range(5)]
+    docs = table(spark, rows)
+    plan = mixing.mix(docs, weights=(1.0, 5.0), max_repeats=2).collect()
+    out = mixing.mixed_documents(docs, weights=(1.0, 5.0), max_repeats=2).collect()
+    for source in "ab":
+        times = sorted(r.repeats for r in plan if r.source == source and r.repeats)
+        got = Counter(r.text if source == "a" else r.doc_id for r in out if r.source == source)
+        assert sorted(got.values()) == times
+    taken, written = (sum(10 * n for n in x) for x in ([r.repeats for r in plan if r.source == "a"], [1 for r in out if r.source == "a"]))
+    assert taken == written
