@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .functions import text as T
 from .operators import buildlog, edits, lookup, rules, symbols, telemetry
 from .plans import adapters as A
-from .plans import index
+from .plans import index, shared, store
 from .queries import CALLS, FILES, LINES, MEMBERS, ORACLE_SQL, QUERIES, SITES, TYPES, WORD_PATTERN, query
 from .sinks import export, reports
 from .sources import files as scans
@@ -351,3 +354,42 @@ def hierarchy_report(spark, d):
     members = A.part_members(spark, d).withColumn("signature", F.col("name"))
     chunks = spark.createDataFrame([], "chunk_number int, pos int, file_ord long, estimated_tokens int")
     return reports.master_index("driver", "now", files, types, members, chunks).filter("part in (2, 4)").select("line")
+
+
+# Orders as files: each declares a type of its customer and calls its parts in turn. Three batches of changes: two thirds of the files; the rest, and a fifth of all with calls the
+# other way round and another base; a seventh of all gone.
+_KEPT = "(SELECT *, o_orderkey % 5 = 0 AS turned FROM orders WHERE o_orderkey % 7 <> 0)"
+_BASES = "[CASE WHEN turned THEN o_orderpriority ELSE o_orderstatus END, 'I' || CAST(o_orderkey % 4 AS VARCHAR)]"
+
+
+@query(
+    f"""SELECT 'type_hierarchy' AS index_name, 'T' || CAST(o_custkey AS VARCHAR) AS key, array_to_string(arg_max({_BASES}, o_orderkey), ',') AS value FROM {_KEPT} GROUP BY o_custkey
+UNION ALL SELECT 'dependency_map', 'T' || CAST(o_custkey AS VARCHAR), array_to_string(arg_max(list_append({_BASES}, 'clerk ' || o_clerk), o_orderkey), ',') FROM {_KEPT} GROUP BY o_custkey
+UNION ALL SELECT 'file_dependencies', CAST(o_orderkey AS VARCHAR), array_to_string({_BASES}, ',') FROM {_KEPT}
+UNION ALL SELECT DISTINCT 'call_graph', CASE WHEN turned THEN 'm' || n.l_partkey ELSE 'm' || l.l_partkey END, CASE WHEN turned THEN 'm' || l.l_partkey ELSE 'm' || n.l_partkey END
+  FROM lineitem l JOIN lineitem n ON l.l_orderkey = n.l_orderkey AND n.l_linenumber = l.l_linenumber + 1 JOIN {_KEPT} ON o_orderkey = l.l_orderkey"""
+)
+def incremental_indexes(spark, d):
+    orders = A.read(spark, d, "orders").withColumn("file_path", F.concat(F.lit("f"), F.col("o_orderkey").cast("string")))
+    items = A.read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.concat(F.lit("m"), F.col("l_partkey").cast("string")).alias("method"))
+    pairs = items.join(items.select("l_orderkey", (F.col("l_linenumber") - 1).alias("l_linenumber"), F.col("method").alias("next")), ["l_orderkey", "l_linenumber"])
+
+    def base(some, turned):
+        one, two = ("next", "method") if turned else ("method", "next")
+        parts = lambda c: [F.lit(None).cast("string"), F.col(c)]
+        files = some.select("file_path", F.col("o_orderkey").alias("file_ord"), F.array(F.concat(F.lit("clerk "), "o_clerk")).alias("dependencies"))
+        types = some.select("file_path", F.col("o_orderkey").alias("file_ord"), F.col("o_orderkey").alias("type_ord"), F.concat(F.lit("T"), F.col("o_custkey").cast("string")).alias("name"),
+                            F.col("o_orderpriority" if turned else "o_orderstatus").alias("base_type"), F.array(F.concat(F.lit("I"), (F.col("o_orderkey") % 4).cast("string"))).alias("interfaces"))
+        calls = some.select("file_path", F.col("o_orderkey").alias("l_orderkey")).join(pairs, "l_orderkey")
+        calls = calls.select("file_path", *[c.alias(n) for c, n in zip([*parts(one), *parts(two)], ("caller_type", "caller_method", "called_type", "called_method"), strict=True)])
+        return {"files": files, "types": types, "call_sites": calls}
+
+    kept = store.IndexStore(spark, shared.fresh_path(spark, "indexes"), buckets=16)
+    kept.apply(base(orders.filter("o_orderkey % 3 <> 0"), False))
+    plain, turned = base(orders.filter("o_orderkey % 3 = 0 and o_orderkey % 5 <> 0"), False), base(orders.filter("o_orderkey % 5 = 0"), True)
+    kept.apply({k: plain[k].unionByName(turned[k]) for k in plain})
+    version = kept.apply({k: t.filter("false") for k, t in plain.items()}, gone=orders.filter("o_orderkey % 7 = 0").select("file_path"))
+    text = lambda c: F.array_join(c, ",").alias("value")
+    shown = {"type_hierarchy": ["name", text("bases")], "dependency_map": ["name", text("deps")], "file_dependencies": [F.col("file_ord").cast("string"), text("dependencies")], "call_graph": ["caller", "callee"]}
+    out = [kept.index(n, version).select(F.lit(n).alias("index_name"), *cols).toDF("index_name", "key", "value") for n, cols in shown.items()]
+    return reduce(DataFrame.unionByName, out)
