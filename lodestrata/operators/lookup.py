@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.errors import IllegalArgumentException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -58,13 +59,31 @@ def dependencies(dependency_map: DataFrame, name: str) -> DataFrame:
     return ahead.unionByName(pairs.filter(F.col("dep") == name).select(F.lit("reverse").alias("direction"), "name"))
 
 
+def searched(spark: SparkSession, pattern: str, is_regex: bool = True, case_sensitive: bool = False) -> tuple[str, str | None]:
+    """The pattern as scans take it, with classes, word ends and case of all of Unicode, and why it is none, if so: then it is one that nothing matches."""
+    text = ("(?U)" if case_sensitive else "(?iU)") + (pattern if is_regex else escaped(pattern))
+    try:
+        spark.sparkContext._jvm.java.util.regex.Pattern.compile(text)
+    except IllegalArgumentException as e:
+        return "(?!)", f"Invalid regex pattern: {str(e).splitlines()[0]}"
+    return text, None
+
+
+def with_error(found: DataFrame, error: str | None) -> DataFrame:
+    """found with a column error, null, or one row more that has nothing else."""
+    found = found.withColumn("error", F.lit(None).cast("string"))
+    if error is None:
+        return found
+    row = [F.lit(error if f.name == "error" else None).cast(f.dataType).alias(f.name) for f in found.schema.fields]
+    return found.unionByName(found.sparkSession.range(1).select(*row))
+
+
 def grep(lines: DataFrame, pattern: str, is_regex: bool = True, case_sensitive: bool = False, context: int = 2, limit: int | None = 50) -> DataFrame:
-    """file_ord, line_no, text, at, found, before, after: one hit per line, its first match.
+    """file_ord, line_no, text, at, found, before, after, error: one hit per line, its first match. A pattern that is none gives one row with error alone.
 
     Context comes from a window over the lines of files that have a hit; other files are dropped before the window's
     shuffle, hits are found in the scan. limit None: all hits."""
-    text = pattern if is_regex else escaped(pattern)
-    text = text if case_sensitive else f"(?i){text}"
+    text, error = searched(lines.sparkSession, pattern, is_regex, case_sensitive)
     hit = F.rlike(F.col("text"), F.lit(text))
     shown = ["file_ord", "line_no", "text", F.regexp_instr("text", F.lit(text)).alias("at"), F.regexp_substr("text", F.lit(text)).alias("found")]
     if not context:
@@ -75,18 +94,20 @@ def grep(lines: DataFrame, pattern: str, is_regex: bool = True, case_sensitive:
         near = lines.join(with_hits, "file_ord", "left_semi")
         near = near.withColumn("before", F.collect_list("text").over(w.rowsBetween(-context, -1))).withColumn("after", F.collect_list("text").over(w.rowsBetween(1, context)))
         out = near.filter(hit).select(*shown, "before", "after")
-    return out if limit is None else out.orderBy("file_ord", "line_no").limit(limit)
+    return with_error(out if limit is None else out.orderBy("file_ord", "line_no").limit(limit), error)
 
 
 def grep_total(lines: DataFrame, pattern: str, is_regex: bool = True, case_sensitive: bool = False, context: int = 2, limit: int = 50) -> DataFrame:
     """The first hits of grep, with total: how many lines match in all, beyond the limit too."""
-    every = grep(lines, pattern, is_regex, case_sensitive, 0, None).agg(F.count("*").alias("total"))  # one row
+    every = grep(lines, pattern, is_regex, case_sensitive, 0, None).agg(F.count("file_ord").alias("total"))  # one row
     return grep(lines, pattern, is_regex, case_sensitive, context, limit).crossJoin(every)
 
 
 def grep_summary(lines: DataFrame, pattern: str, is_regex: bool = True, case_sensitive: bool = False) -> DataFrame:
-    """file_ord, n_hits, most first."""
-    return grep(lines, pattern, is_regex, case_sensitive, context=0, limit=None).groupBy("file_ord").agg(F.count("*").alias("n_hits")).orderBy(F.desc("n_hits"), "file_ord")
+    """file_ord, n_hits, error, most first. A pattern that is none gives one row with error alone."""
+    text, error = searched(lines.sparkSession, pattern, is_regex, case_sensitive)
+    found = lines.filter(F.rlike(F.col("text"), F.lit(text))).groupBy("file_ord").agg(F.count("*").alias("n_hits"))
+    return with_error(found, error).orderBy(F.desc("n_hits"), "file_ord")
 
 
 def line_range(lines: DataFrame, file_ord: int, start: int, end: int | None = None) -> DataFrame:

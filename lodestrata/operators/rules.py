@@ -7,6 +7,7 @@ import re
 from collections.abc import Iterator
 
 import pandas as pd
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -26,6 +27,8 @@ VALUE_TYPES = (
     "datetime datetimeoffset timespan guid dateonly timeonly cancellationtoken"
 ).split()
 ASYNC_EXEMPT = "main oninitialized onafterrender dispose disposeasync onnavigatedto onnavigatedfrom onappearing ondisappearing".split()
+#: Seconds that a match, and its exclusion, may take.
+FIND_SECONDS, EXCLUDE_SECONDS = 5.0, 2.0
 SERVICE_SUFFIXES = ("Service", "Handler", "Repository", "Manager", "Provider", "Factory")
 
 
@@ -100,8 +103,50 @@ def load_rules(text: str) -> list[dict]:
 
 
 def translated(pattern: str) -> str:
-    """A pattern of rules, whose named groups are (?<name>...) and \\k<name>, in Python's dialect."""
-    return re.sub(r"\\k<(\w+)>", r"(?P=\1)", re.sub(r"\(\?<(?=[A-Za-z_])", "(?P<", pattern))
+    """A pattern of rules in the dialect of the matcher, which has other names for references to named groups."""
+    return re.sub(r"\\k<(\w+)>", r"(?P=\1)", pattern)
+
+
+def required_literal(pattern: str, least: int = 3) -> str | None:
+    """The longest text that every match holds, as a parse tree of the pattern tells: characters that follow each other outside of choices, repetitions
+    and groups with flags. None where there is none of that length, or the pattern is not of the parser's dialect."""
+    try:
+        tree = re._parser.parse(re.sub(r"\(\?<(?=[A-Za-z_])", "(?P<", pattern), re.M)
+    except (re.error, OverflowError):
+        return None
+    if tree.state.flags & re.I:
+        return None
+    found, now = [], []
+    for kind, value in [*tree, (None, None)]:
+        if kind is re._constants.LITERAL:
+            now.append(chr(value))
+        else:
+            found.append("".join(now))
+            now = []
+    best = max(found, key=len)
+    return best if len(best) >= least else None
+
+
+def _parts(replacement: str) -> list[str | tuple[str]]:
+    """A replacement as texts and groups, (name or number,): $1, ${name}, $& and $$."""
+    out: list[str | tuple[str]] = []
+    for text, group in re.findall(r"([^$]+)|\$(\d+|\{\w+\}|&|\$|)", replacement):
+        out.append(text or ("$" if group in ("$", "") else ("0" if group == "&" else group.strip("{}"),)))
+    return out
+
+
+def _replaced(m, parts: list[str | tuple[str]]) -> str:
+    """The parts for a match; a group that the pattern does not have stands for itself."""
+    out = []
+    for p in parts:
+        if isinstance(p, str):
+            out.append(p)
+            continue
+        try:
+            out.append(m[int(p[0]) if p[0].isdigit() else p[0]] or "")
+        except IndexError:
+            out.append(f"${p[0]}" if p[0].isdigit() else f"${{{p[0]}}}")
+    return "".join(out)
 
 
 def first_rules(texts: list[str | None]) -> list[dict]:
@@ -109,31 +154,50 @@ def first_rules(texts: list[str | None]) -> list[dict]:
     return next((load_rules(t) for t in texts if t is not None), [])
 
 
-def rule_matches(files: DataFrame, rule: dict) -> DataFrame:
-    """file_ord, line, found, replacement (null for a rule that only reports) of a rule over whole texts, line by its offset.
+def rule_matches(files: DataFrame, rule: dict, find_s: float = FIND_SECONDS, exclude_s: float = EXCLUDE_SECONDS) -> DataFrame:
+    """file_ord, line, found, replacement (null for a rule that only reports), error of a rule over whole texts, line by its offset.
 
-    files: file_ord, relative_path, extension, text. Offsets need a scan in Python; files without any match are dropped before, in
-    the JVM, if the pattern means the same there. Named groups and dollar groups of the replacement become Python's."""
-    find, exclude, replace = (translated(rule[k]) if rule.get(k) else None for k in ("findpattern", "excludepattern", "replacepattern"))
+    files: file_ord, relative_path, extension, text. The matcher knows all of Unicode and can be stopped: a file with a match that takes longer than find_s seconds,
+    or an exclusion than exclude_s, gives one row with an error and no others. A pattern that is none gives one row with an error alone. Only files that
+    hold the text that every match holds, if the pattern has one, leave the JVM."""
+    find, exclude, replace = (rule.get(k) for k in ("findpattern", "excludepattern", "replacepattern"))
+    find, exclude, parts = translated(find), translated(exclude) if exclude else None, _parts(replace) if replace else None
     if wanted := rule.get("filefilter"):
         ext = F.lower("extension")
         files = files.filter(contains_ci(F.col("relative_path"), wanted) | (ext == wanted.lower()) | (ext == "." + wanted.lower().lstrip(".")))
-    template = re.sub(r"\$(\d+|\{\w+\})", lambda m: rf"\g<{m[1].strip('{}')}>", rule["replacepattern"].replace("\\", r"\\")) if replace else None
+    schema = f"file_ord {files.schema['file_ord'].dataType.simpleString()}, line int, found string, replacement string, error string"
+    try:
+        for p in (find, exclude or ""):
+            regex.compile(p, regex.M)
+    except regex.error as e:
+        return files.sparkSession.createDataFrame([(None, None, None, None, f"Invalid regex in rule '{rule.get('name', '')}': {e}")], schema)
+
+    def matches(text: str, pattern, skip) -> list[tuple]:
+        out, line, counted, at = [], 1, 0, 0
+        while at <= len(text) and (m := pattern.search(text, at, timeout=find_s)):
+            at = m.end() + (m.end() == m.start())
+            if skip and skip.search(m[0], timeout=exclude_s):
+                continue
+            line += text.count("\n", counted, m.start())
+            counted = m.start()
+            out.append((line, m[0], _replaced(m, parts) if parts is not None else None, None))
+        return out
 
     def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pattern, skip = re.compile(find, re.M), re.compile(exclude, re.M) if exclude else None
+        pattern, skip = regex.compile(find, regex.M), regex.compile(exclude, regex.M) if exclude else None
         for b in batches:
             out = []
             for ord_, text in zip(b.file_ord, b.text, strict=True):
-                for m in pattern.finditer(text or ""):
-                    if not (skip and skip.search(m[0])):
-                        out.append((ord_, text.count("\n", 0, m.start()) + 1, m[0], m.expand(template) if template else None))
-            yield pd.DataFrame(out, columns=["file_ord", "line", "found", "replacement"])
+                try:
+                    out += [(ord_, *x) for x in matches(text or "", pattern, skip)]
+                except TimeoutError:
+                    out.append((ord_, None, None, None, "The rule takes too long"))
+            yield pd.DataFrame(out, columns=["file_ord", "line", "found", "replacement", "error"])
 
     rows = files.select("file_ord", "text")
-    if "(?P=" not in find:  # which groups have which names does not matter to whether there is a match
-        rows = rows.filter(F.rlike("text", F.lit("(?m)" + re.sub(r"\(\?P<\w+>", "(", find))))
-    return rows.mapInPandas(scan, "file_ord long, line int, found string, replacement string")
+    if (held := required_literal(find)) is not None:
+        rows = rows.filter(F.contains("text", F.lit(held)))
+    return rows.mapInPandas(scan, schema)
 
 
 def line_violations(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:

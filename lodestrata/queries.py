@@ -111,7 +111,7 @@ def grep_context(spark, d):
 
 @query(f"SELECT file_ord, count(*) AS n_hits FROM {LINES} WHERE regexp_matches(lower(text), '{WORD_PATTERN}') GROUP BY file_ord")
 def grep_summary(spark, d):
-    return lookup.grep_summary(A.document_lines(spark, d), WORD_PATTERN)
+    return lookup.grep_summary(A.document_lines(spark, d), WORD_PATTERN).select("file_ord", "n_hits")
 
 
 @query(f"SELECT file_ord, line_no, replace(replace(replace(text, chr(13), ''), chr(9), '→'), ' ', '·') AS shown FROM {LINES} WHERE file_ord = 5 AND line_no BETWEEN 1 AND 21")

@@ -188,7 +188,7 @@ HELD = f"(SELECT file_ord, CAST(line_no AS INTEGER) AS line, unnest(regexp_extra
 def user_rule(spark, d):
     (rule,) = rules.first_rules([None, USER_RULES, '{"customIntents": [{"name": "other", "findPattern": "y"}]}'])
     files = A.document_files(spark, d).withColumn("extension", F.lit(".txt"))
-    return rules.rule_matches(files, rule)
+    return rules.rule_matches(files, rule).select("file_ord", "line", "found", "replacement")
 
 
 @query(

@@ -238,7 +238,7 @@ def test_rules(spark):
     loaded = rules.load_rules('{"customIntents": [{"name": "r", "findPattern": "old"}, {"name": "R", "findPattern": "fo(o)\\\\d", "replacePattern": "ba$1", "excludePattern": "9"}, {"name": "x"},] // end\n}')
     assert len(loaded) == 1
     f = spark.createDataFrame([(1, "a.cs", ".cs", "x\nfoo1 foo9\nfoo2"), (2, "b.py", ".py", "none")], "file_ord long, relative_path string, extension string, text string")
-    assert [tuple(r) for r in rules.rule_matches(f, loaded[0]).orderBy("line").collect()] == [(1, 2, "foo1", "bao"), (1, 3, "foo2", "bao")]
+    assert [tuple(r)[:4] for r in rules.rule_matches(f, loaded[0]).orderBy("line").collect()] == [(1, 2, "foo1", "bao"), (1, 3, "foo2", "bao")]
     named = {"findpattern": r"(?<one>[a-z])-(?<two>\w)\k<one>", "replacepattern": r"${two}\$1"}
     f = spark.createDataFrame([(1, "a.cs", ".cs", "x-ya b-cb")], "file_ord long, relative_path string, extension string, text string")
     assert [(r.found, r.replacement) for r in rules.rule_matches(f, named).collect()] == [("b-cb", "c\\b")]
@@ -442,3 +442,31 @@ def test_orders_do_not_matter(spark, sf):
     f = A.document_files(spark, sf).withColumn("classification", F.lit("Unknown"))
     key = lambda df: sorted(map(tuple, index.chunk_files(df, 2000).collect()))
     assert key(f) == key(f.repartition(7))
+
+
+def test_patterns_of_all_of_unicode_and_errors(spark):
+    texts = [(1, "été froid"), (2, "ÉTÉ"), (3, "Ábc"), (4, "abc"), (5, "a" * 40 + "!"), (6, None), (7, "x\n\nkey=one key=two\nkey=three")]
+    lines = spark.createDataFrame([(i, 1, t) for i, t in texts], "file_ord long, line_no int, text string")
+    hits = lambda p, **how: [r.file_ord for r in lookup.grep(lines, p, context=0, **how).collect()]
+    assert hits("été") == [1, 2] and hits("été", case_sensitive=True) == [1] and hits(r"^\w+ froid") == [1] and hits(r"\bbc") == [] and hits("É", is_regex=False) == [1, 2]
+    for context in (0, 2):
+        (bad,) = lookup.grep(lines, "(", context=context).collect()
+        assert bad.error.startswith("Invalid regex pattern") and bad.file_ord is None and bad.text is None
+    assert [(r.file_ord, r.n_hits, r.error is None) for r in lookup.grep_summary(lines, "[").collect()] == [(None, None, False)]
+    assert [r.total for r in lookup.grep_total(lines, "(").collect()] == [0] and all(r.error is None for r in lookup.grep(lines, "a").collect())
+
+    files = spark.createDataFrame([(i, "a.txt", ".txt", t) for i, t in texts], "file_ord long, relative_path string, extension string, text string")
+    found = lambda p, **how: sorted(tuple(r) for r in rules.rule_matches(files, {"name": "r", "findpattern": p, **how}, find_s=0.5).collect())
+    assert found(r"^\w+ froid") == [(1, 1, "été froid", None, None)] and found(r"\p{Lu}bc") == [(3, 1, "Ábc", None, None)] and found("(?i)été") == [(1, 1, "été", None, None), (2, 1, "ÉTÉ", None, None)]
+    assert found(r"key=(?<v>\w+)", replacepattern="${v}$$ $1 $7 ${no} $&", excludepattern="^key=two$") == [(7, 3, "key=one", "one$ one $7 ${no} key=one", None), (7, 4, "key=three", "three$ three $7 ${no} key=three", None)]
+    assert found(r"(?<q>.)\k<q>c") == [] and [x[:3] for x in found("^$")] == [(6, 1, ""), (7, 2, "")]
+    ((i, *_, error),) = [x for x in found("(a|aa)+$") if x[4]]  # backtracks without an end
+    assert i == 5 and "too long" in error
+    ((i, line, text, new, error),) = found("(")
+    assert (i, line, text, new) == (None, None, None, None) and error.startswith("Invalid regex in rule 'r'")
+
+
+def test_required_literals():
+    held = rules.required_literal
+    assert held(r"foo\d+barbaz") == "barbaz" and held("ab|cde") is None and held("(?i)abcd") is None and held(r"(?<n>abcd)efg\k<n>") in (None, "efg")
+    assert held("abc?de") is None and held(r"\p{Lu}bcd") in (None, "bcd") and held("(") is None
