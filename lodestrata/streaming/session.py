@@ -26,7 +26,7 @@ STATISTICS = "session string, tool_name string, n_calls long, avg_ms double, ent
 class Sessions(StatefulProcessor):
     """Of each session and batch: a row for each tool with calls since the last reset, and the entries of the log, oldest first."""
 
-    def __init__(self, entries: int = LOG_ENTRIES, forget_ms: int = FORGET_MS) -> None:
+    def __init__(self, entries: int = LOG_ENTRIES, forget_ms: int | None = FORGET_MS) -> None:
         self.most, self.forget_ms = entries, forget_ms
 
     def init(self, handle: StatefulProcessorHandle) -> None:
@@ -62,9 +62,11 @@ class Sessions(StatefulProcessor):
         pass
 
 
-def session_statistics(calls: DataFrame, entries: int = LOG_ENTRIES, forget_ms: int = FORGET_MS) -> DataFrame:
+def session_statistics(calls: DataFrame, entries: int = LOG_ENTRIES, forget_ms: int | None = FORGET_MS) -> DataFrame:
     """session, tool_name, n_calls, avg_ms, entries of calls(session, ord, type, tool_name, duration_ms), in update mode: after each batch what is so by then, one row
-    without a tool for a session that a reset has emptied. Rows of type RESET reset their session, others are calls; a null duration counts as 0."""
+    without a tool for a session that a reset has emptied. Rows of type RESET reset their session, others are calls; a null duration counts as 0.
+    forget_ms: how long a silent session is remembered; state that can expire makes batches without rows, so such a stream wants a trigger by time, and availableNow would not
+    end. None: for ever."""
     calls.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", PROVIDER)
     known = calls.select("session", "ord", "type", "tool_name", "duration_ms").fillna({"duration_ms": 0.0})
-    return known.groupBy("session").transformWithStateInPandas(Sessions(entries, forget_ms), STATISTICS, "Update", "ProcessingTime")
+    return known.groupBy("session").transformWithStateInPandas(Sessions(entries, forget_ms), STATISTICS, "Update", "ProcessingTime" if forget_ms else "None")

@@ -1,6 +1,7 @@
 """A stream that is replayed gives what the batch gives."""
 
 import shutil
+import time
 
 import pandas as pd
 import pytest
@@ -90,7 +91,7 @@ def test_sessions_with_resets_in_mid_stream(spark, tmp_path):
     columns = "session string, ord long, type string, tool_name string, duration_ms double"
     (tmp_path / "in").mkdir()
     stream = spark.readStream.schema(columns).option("maxFilesPerTrigger", 1).json(str(tmp_path / "in"))
-    out = session.session_statistics(stream, entries=10)
+    out = session.session_statistics(stream, entries=10, forget_ms=None)
     told = []
 
     def keep(rows, batch):
@@ -114,3 +115,22 @@ def test_sessions_with_resets_in_mid_stream(spark, tmp_path):
         got = [(s, t if isinstance(t, str) else None, n, None if not n else a, list(e)) for s, t, n, a, e in last[name]]
         assert [x[:3] + x[4:] for x in got] == [x[:3] + x[4:] for x in want] and all(a[3] == b[3] or abs(a[3] - b[3]) < 1e-9 for a, b in zip(got, want, strict=True))
     assert all(len(r[4]) <= 10 for batch in told for r in batch)  # state is bounded
+
+
+def test_silent_sessions_are_forgotten(spark, tmp_path):
+    columns = "session string, ord long, type string, tool_name string, duration_ms double"
+    (tmp_path / "in").mkdir()
+    put = lambda i: spark.createDataFrame([("A", i, "COMPLETED", "t", 1.0)], columns).coalesce(1).write.mode("append").json(str(tmp_path / "in"))
+    told = []
+    out = session.session_statistics(spark.readStream.schema(columns).json(str(tmp_path / "in")), forget_ms=2_000)
+    running = out.writeStream.outputMode("update").foreachBatch(lambda rows, _: told.extend((r.n_calls, r.entries) for r in rows.collect())).option("checkpointLocation", str(tmp_path / "c")).trigger(processingTime="1 second").start()
+    try:
+        for i in (1, 2):
+            put(i)
+            end = time.time() + 60
+            while len(told) < i and time.time() < end:
+                time.sleep(0.5)
+            time.sleep(4)
+    finally:
+        running.stop()
+    assert told == [(1, [1]), (1, [2])]
