@@ -364,7 +364,7 @@ _BASES = "[CASE WHEN turned THEN o_orderpriority ELSE o_orderstatus END, 'I' ||
 
 @query(
     f"""SELECT 'type_hierarchy' AS index_name, 'T' || CAST(o_custkey AS VARCHAR) AS key, array_to_string(arg_max({_BASES}, o_orderkey), ',') AS value FROM {_KEPT} GROUP BY o_custkey
-UNION ALL SELECT 'dependency_map', 'T' || CAST(o_custkey AS VARCHAR), array_to_string(arg_max(list_append({_BASES}, 'clerk ' || o_clerk), o_orderkey), ',') FROM {_KEPT} GROUP BY o_custkey
+UNION ALL SELECT 'dependency_map', 'T' || CAST(o_custkey AS VARCHAR), array_to_string(arg_max(list_append({_BASES}, 'C' || CAST(o_custkey % 10 AS VARCHAR)), o_orderkey), ',') FROM {_KEPT} GROUP BY o_custkey
 UNION ALL SELECT 'file_dependencies', CAST(o_orderkey AS VARCHAR), array_to_string({_BASES}, ',') FROM {_KEPT}
 UNION ALL SELECT DISTINCT 'call_graph', CASE WHEN turned THEN 'm' || n.l_partkey ELSE 'm' || l.l_partkey END, CASE WHEN turned THEN 'm' || l.l_partkey ELSE 'm' || n.l_partkey END
   FROM lineitem l JOIN lineitem n ON l.l_orderkey = n.l_orderkey AND n.l_linenumber = l.l_linenumber + 1 JOIN {_KEPT} ON o_orderkey = l.l_orderkey"""
@@ -377,14 +377,14 @@ def incremental_indexes(spark, d):
     def base(some, turned):
         one, two = ("next", "method") if turned else ("method", "next")
         parts = lambda c: [F.lit(None).cast("string"), F.col(c)]
-        files = some.select("file_path", F.col("o_orderkey").alias("file_ord"), F.array(F.concat(F.lit("clerk "), "o_clerk")).alias("dependencies"))
+        files = some.select("file_path", F.col("o_orderkey").alias("file_ord"), F.array(F.concat(F.lit("C"), (F.col("o_custkey") % 10).cast("string"))).alias("dependencies"))
         types = some.select("file_path", F.col("o_orderkey").alias("file_ord"), F.col("o_orderkey").alias("type_ord"), F.concat(F.lit("T"), F.col("o_custkey").cast("string")).alias("name"),
                             F.col("o_orderpriority" if turned else "o_orderstatus").alias("base_type"), F.array(F.concat(F.lit("I"), (F.col("o_orderkey") % 4).cast("string"))).alias("interfaces"))
         calls = some.select("file_path", F.col("o_orderkey").alias("l_orderkey")).join(pairs, "l_orderkey")
         calls = calls.select("file_path", *[c.alias(n) for c, n in zip([*parts(one), *parts(two)], ("caller_type", "caller_method", "called_type", "called_method"), strict=True)])
         return {"files": files, "types": types, "call_sites": calls}
 
-    kept = store.IndexStore(spark, shared.fresh_path(spark, "indexes"), buckets=16)
+    kept = store.IndexStore(spark, shared.fresh_path(spark, "indexes"), buckets=4)
     kept.apply(base(orders.filter("o_orderkey % 3 <> 0"), False))
     plain, turned = base(orders.filter("o_orderkey % 3 = 0 and o_orderkey % 5 <> 0"), False), base(orders.filter("o_orderkey % 5 = 0"), True)
     kept.apply({k: plain[k].unionByName(turned[k]) for k in plain})

@@ -470,3 +470,12 @@ def test_required_literals():
     held = rules.required_literal
     assert held(r"foo\d+barbaz") == "barbaz" and held("ab|cde") is None and held("(?i)abcd") is None and held(r"(?<n>abcd)efg\k<n>") in (None, "efg")
     assert held("abc?de") is None and held(r"\p{Lu}bcd") in (None, "bcd") and held("(") is None
+
+
+def test_keys_of_places_never_collide(spark, monkeypatch):
+    rows = spark.createDataFrame([(899_999_999, 99_999)], "file_ord long, pos int")
+    assert rows.select(code._key("file_ord", 100_000).alias("k")).first().k == 89_999_999_999_999
+    with pytest.raises(Exception, match="more than 100000 rows within file_ord 7"):
+        spark.createDataFrame([(7, 100_000)], "file_ord long, pos int").select(code._key("file_ord", 100_000).alias("k")).collect()
+    monkeypatch.setattr(code.csharp, "parse", lambda _: [][1])
+    assert code.parse("class A {}", "a.cs") == code._EMPTY | {"error": "IndexError: list index out of range"} and code.parse("x", "a.txt") == code._EMPTY
