@@ -17,8 +17,8 @@ Sets that are equal are one class, found by grouping. Of classes that share a si
 2. those that still share a signature across components are compared with one that a hash chooses for each signature;
 3. those outside the most frequent component of a signature are compared with all of other components in it.
 
-Each time, a bound from sizes and 512 parity bits goes before the comparison of the sets, and no link between different
-texts is lost.
+Each time, a bound from sizes and parity bits, two for each element, goes before the comparison of the sets, and no link between different
+texts is lost. Texts that are a little too different share many signatures: of signatures that the same classes have, one is joined.
 """
 
 from __future__ import annotations
@@ -36,8 +36,8 @@ from .hashing import WordHasher, mix, shingle_hashes
 
 SHINGLE, PERCENT = 5, 80
 CHUNK = 1 << 20
-#: 64-bit words of parity bits.
-PARITY = 8
+#: 64-bit words of parity bits, at least and at most: two bits for each element between.
+PARITY, MOST_PARITY = 8, 1024
 #: First-level parts beyond those that links need, as a share of the elements that may differ.
 SLACK = 0.08
 #: The pairs of second-level parts of a first-level part.
@@ -122,13 +122,17 @@ def shingle_sets(texts: list[str | None], size: int, hasher: WordHasher) -> Iter
 
 def parity(u: np.ndarray) -> np.ndarray:
     """For each value of the lowest bits, whether an odd number of elements has it. Two sets differ in at least as many elements
-    as their parities differ in bits."""
-    size = 64 * PARITY
+    as their parities differ in bits. Sets of similar sizes have as many bits, or one twice as many as the other."""
+    size = 64 * min(MOST_PARITY, max(PARITY, 1 << (len(u) * 2 // 64).bit_length()))
     return np.packbits(np.bincount((u & np.uint64(size - 1)).astype(np.int64), minlength=size).astype(np.uint8) & 1).view(np.int64)
 
 
-_P = [f"p{i}" for i in range(PARITY)]
-_SET = f"doc_id long, n_shingles long, h1 long, h2 long, {', '.join(f'{p} long' for p in _P)}, signatures array<long>"
+_SET = "doc_id long, n_shingles long, h1 long, h2 long, parity array<long>, signatures array<long>"
+
+
+def _lists(arrays: list[np.ndarray]) -> pa.ListArray:
+    ends = np.r_[0, np.cumsum([len(a) for a in arrays])].astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(arrays)))
 
 
 def signed_sets(docs: DataFrame, size: int, percent: int, slack: float = SLACK) -> DataFrame:
@@ -139,28 +143,29 @@ def signed_sets(docs: DataFrame, size: int, percent: int, slack: float = SLACK)
         for b in batches:
             for at in range(0, b.num_rows, 512):
                 part = b.slice(at, 512)
-                rows, signatures, done = [], [], set()
+                rows, parities, signatures, done = [], [], [], set()
                 named = part.column(0).is_valid().to_pylist()
                 for has_id, u in zip(named, shingle_sets(part.column(1).to_pylist(), size, hasher), strict=True):
                     h1 = int(mix(u).sum(dtype=np.uint64).astype(np.int64)) if len(u) else 0
                     h2 = int(mix(u ^ np.uint64(0x5851F42D4C957F2D)).sum(dtype=np.uint64).astype(np.int64)) if len(u) else 0
                     signs = has_id and len(u) and (h1, h2) not in done
-                    rows.append((len(u), h1, h2, *parity(u).tolist()))
+                    rows.append((len(u), h1, h2))
+                    parities.append(parity(u))
                     signatures.append(signer.sign(u).view(np.int64) if signs else np.zeros(0, np.int64))
                     if has_id:
                         done.add((h1, h2))
-                ends = np.r_[0, np.cumsum([len(s) for s in signatures])].astype(np.int32)
-                cols = [part.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True))]
-                cols.append(pa.ListArray.from_arrays(pa.array(ends), pa.array(np.concatenate(signatures))))
-                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "h1", "h2", *_P, "signatures"])
+                cols = [part.column(0), *(pa.array(c, pa.int64()) for c in zip(*rows, strict=True)), _lists(parities), _lists(signatures)]
+                yield pa.RecordBatch.from_arrays(cols, names=["doc_id", "n_shingles", "h1", "h2", "parity", "signatures"])
 
     return map_texts(docs.select(docs["doc_id"].cast("long").alias("doc_id"), docs["text"]), run, _SET)
 
 
 def _similar_enough(percent: int) -> str:
     """Of a row with sizes a_n, b_n and parities: whether the bounds allow the pair."""
-    differ = " + ".join(f"bit_count(a_{p} ^ b_{p})" for p in _P)
-    return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and ({differ}) * {100 + percent} <= (a_n + b_n) * {100 - percent}"
+    half = lambda x: f"zip_with(slice({x}, 1, cast(size({x}) div 2 as int)), slice({x}, cast(size({x}) div 2 as int) + 1, size({x})), (p, q) -> p ^ q)"
+    same = lambda x, y: f"if(size({x}) > size({y}), {half(x)}, {x})"
+    differ = f"aggregate(zip_with({same('a_parity', 'b_parity')}, {same('b_parity', 'a_parity')}, (p, q) -> bit_count(p ^ q)), 0, (s, d) -> s + d)"
+    return f"100 * least(a_n, b_n) >= {percent} * greatest(a_n, b_n) and {differ} * {100 + percent} <= (a_n + b_n) * {100 - percent}"
 
 
 def _hashes(docs: DataFrame, size: int) -> DataFrame:
@@ -200,6 +205,14 @@ def _apart(shared: DataFrame, labels: DataFrame) -> DataFrame:
     return cut(rows.join(mixed.select("signature"), "signature", "left_semi"), "apart")
 
 
+def _unlike(shared: DataFrame) -> DataFrame:
+    """shared(signature, class_id, ...) with one of the signatures that have the same classes, told by 128 bits and their number: the others would
+    give the same pairs."""
+    of = [F.bit_xor(F.xxhash64("class_id", F.lit(k))).alias(f"x{k}") for k in range(2)]
+    groups = shared.groupBy("signature").agg(F.count("*").alias("n"), *of).groupBy("n", "x0", "x1").agg(F.min("signature").alias("signature"))
+    return shared.join(groups.select("signature"), "signature", "left_semi")
+
+
 def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT, slack: float = SLACK) -> tuple[DataFrame, DataFrame, DataFrame]:
     """sets(doc_id, n_shingles, h1, h2, ...), classes(n_shingles, h1, h2, class_id, ...) and labels(node, component) of classes.
 
@@ -208,7 +221,7 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     signed = cut(signed_sets(docs, size, percent, slack), "signed")
     sets = cut(signed.select("doc_id", "n_shingles", "h1", "h2"), "sets")
     known = signed.filter("n_shingles > 0 and doc_id is not null")
-    classes = cut(known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"), *[F.first(p).alias(p) for p in _P]), "classes")
+    classes = cut(known.groupBy("n_shingles", "h1", "h2").agg(F.min("doc_id").alias("class_id"), F.first("parity").alias("parity")), "classes")
     # Signatures meet by the rows that signed, of which a class has one for each batch that holds it; only those that meet are
     # told their class.
     exploded = known.select(F.col("doc_id").alias("row_id"), F.explode("signatures").alias("signature")).repartition("signature")
@@ -221,8 +234,8 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     several = placed.groupBy("signature").agg(F.min("class_id").alias("leader"), F.max("class_id").alias("last")).filter("leader <> last")
     shared = cut(placed.join(several.select("signature", "leader"), "signature"), "shared")
     release(met, signers)
-    about = classes.select("class_id", F.col("n_shingles").alias("n"), *_P)
-    side = lambda x: about.toDF(x, f"{x}_n", *[f"{x}_{p}" for p in _P])
+    about = classes.select("class_id", F.col("n_shingles").alias("n"), "parity")
+    side = lambda x: about.toDF(x, f"{x}_n", f"{x}_parity")
     bounded = lambda pairs: pairs.join(side("a"), "a").join(side("b"), "b").filter(_similar_enough(percent)).select("a", "b").distinct()
     stars = shared.filter("leader <> class_id").select(F.col("leader").alias("a"), F.col("class_id").alias("b")).distinct()
     links = verified(bounded(stars), docs, size, percent)
@@ -236,14 +249,16 @@ def jaccard_links(docs: DataFrame, size: int = SHINGLE, percent: int = PERCENT,
     stars = stars.select(F.least("class_id", "l.class_id").alias("a"), F.greatest("class_id", "l.class_id").alias("b")).distinct()
     links = verified(bounded(stars), docs, size, percent)
     labels = joined(labels, links)
-    rest = _apart(apart, labels)
+    left = _apart(apart, labels)
     release(apart, links)
-    if rest.isEmpty():
+    if left.isEmpty():
         return sets, classes, labels
+    rest = cut(_unlike(left), "rest")
+    release(left)
     per = rest.groupBy("signature", "component").agg(F.count("*").alias("n"))
     most = per.groupBy("signature").agg(F.max(F.struct("n", "component")).alias("m")).select("signature", F.col("m.component").alias("most"))
     placed = cut(rest.join(most, "signature").join(about, "class_id").withColumn("minor", F.col("component") != F.col("most")).drop("most"), "placed")
-    one = lambda x: placed.select("signature", *[F.col(c).alias(f"{x}_{c}") for c in ("class_id", "component", "minor", "n", *_P)])
+    one = lambda x: placed.select("signature", *[F.col(c).alias(f"{x}_{c}") for c in ("class_id", "component", "minor", "n", "parity")])
     pairs = one("a").filter("a_minor").join(one("b"), "signature").filter(f"a_component <> b_component and (not b_minor or a_class_id < b_class_id) and {_similar_enough(percent)}")
     pairs = pairs.select(F.col("a_class_id").alias("a"), F.col("b_class_id").alias("b")).distinct()
     links = verified(pairs, docs, size, percent)
