@@ -19,6 +19,8 @@ STOP_WORDS = frozenset(
     also want need like make look find take give""".split()
 )
 MAX_FILES, MAX_TOKENS, FIRST_PASS = 10, 50_000, 0.7
+#: Keywords that may be broadcast.
+FEW_WORDS = 10_000
 
 
 def task_words(task: str) -> tuple[list[str], list[str]]:
@@ -58,6 +60,8 @@ def scores(files: DataFrame, types: DataFrame, members: DataFrame, words: DataFr
     if isinstance(words, list):
         words = files.sparkSession.createDataFrame([(w,) for w in words], "keyword string")
     words = cut(words.groupBy(F.lower("keyword").alias("k")).agg(F.count("*").alias("n")), "words")
+    if words.count() > FEW_WORDS:
+        words = words.hint("merge")  # as many as there are types: never a table that the driver holds, however small its files are
     points = lambda rows, p: rows.select("file_ord", (F.col("n") * p).cast("double").alias("s"))
     rows = [files.select("file_ord", F.lit(0.0).alias("s"))]
     rows.append(points(held_keywords(files, F.col("file_name"), words, ["file_ord"]), F.lit(10)))
