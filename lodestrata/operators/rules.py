@@ -4,15 +4,14 @@ from __future__ import annotations
 
 import json
 import re
-from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import contains_ci
-from ..plans.shared import numbered
+from ..plans.shared import map_texts, numbered
 
 #: Built-in rules with the words that call them, types passed by value, exempt names, suffixes of services.
 INTENTS = {
@@ -183,21 +182,22 @@ def rule_matches(files: DataFrame, rule: dict, find_s: float = FIND_SECONDS, exc
             out.append((line, m[0], _replaced(m, parts) if parts is not None else None, None))
         return out
 
-    def scan(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        pattern, skip = regex.compile(find, regex.M), regex.compile(exclude, regex.M) if exclude else None
-        for b in batches:
-            out = []
-            for ord_, text in zip(b.file_ord, b.text, strict=True):
-                try:
-                    out += [(ord_, *x) for x in matches(text or "", pattern, skip)]
-                except TimeoutError:
-                    out.append((ord_, None, None, None, "The rule takes too long"))
-            yield pd.DataFrame(out, columns=["file_ord", "line", "found", "replacement", "error"])
+    def scan(b: pa.RecordBatch) -> pa.RecordBatch:
+        pattern, skip = regex.compile(find, regex.M), regex.compile(exclude, regex.M) if exclude else None  # compiled once: regex keeps them
+        out = []
+        for ord_, text in zip(b.column("file_ord").to_pylist(), b.column("text").to_pylist(), strict=True):
+            try:
+                out += [(ord_, *x) for x in matches(text or "", pattern, skip)]
+            except TimeoutError:
+                out.append((ord_, None, None, None, "The rule takes too long"))
+        kinds = [b.schema.field("file_ord").type, pa.int32(), pa.string(), pa.string(), pa.string()]
+        cols = zip(*out, strict=True) if out else [()] * len(kinds)
+        return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["file_ord", "line", "found", "replacement", "error"])
 
     rows = files.select("file_ord", "text")
     if (held := required_literal(find)) is not None:
         rows = rows.filter(F.contains("text", F.lit(held)))
-    return rows.mapInPandas(scan, schema)
+    return map_texts(rows, scan, schema)
 
 
 def line_violations(lines: DataFrame, patterns: dict[str, str]) -> DataFrame:

@@ -3,15 +3,15 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+import re
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import estimated_tokens, language_of
 from ..plans.index import classification, python_classification
-from ..plans.shared import cut
+from ..plans.shared import cut, map_texts
 from ..tables import Corpus, lines_of
 from . import csharp, python_code
 
@@ -45,13 +45,12 @@ def corpus(files: DataFrame) -> Corpus:
     A file that cannot be parsed declares nothing and says why in parse_error. Keys of types, members and sites are places in their file behind its number: file_ord is below
     9 * 10**8, and a file has fewer than 10**5 types, a type fewer than 10**5 members, a file fewer than 10**6 calls; more is an error, never a collision."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            found = [json.dumps(parse(t or "", n)) for t, n in zip(b.text, b.file_name, strict=True)]
-            yield b[["file_ord", "file_path", "relative_path", "file_name", "extension", "size_bytes", "text"]].assign(parsed=found)
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [json.dumps(parse(t or "", n)) for t, n in zip(b.column("text").to_pylist(), b.column("file_name").to_pylist(), strict=True)]
+        return pa.RecordBatch.from_arrays([*b.columns, pa.array(found, pa.string())], names=[*b.schema.names, "parsed"])
 
-    kept = files.select("file_ord", "file_path", "relative_path", "file_name", "extension", "size_bytes", F.decode("content", "UTF-8").alias("text"))
-    rows = kept.mapInPandas(run, "file_ord long, file_path string, relative_path string, file_name string, extension string, size_bytes long, text string, parsed string")
+    kept = files.select(F.col("file_ord").cast("long"), "file_path", "relative_path", "file_name", "extension", F.col("size_bytes").cast("long"), F.decode("content", "UTF-8").alias("text"))
+    rows = map_texts(kept, run, "file_ord long, file_path string, relative_path string, file_name string, extension string, size_bytes long, text string, parsed string")
     # Written once: five tables come from it, and a lost executor must not have files parsed again.
     rows = cut(rows.withColumn("parsed", F.from_json("parsed", PARSED)), "parsed")
     kinds = F.transform("parsed.types", lambda t: F.struct(t["base_type"].alias("base_type"), t["interfaces"].alias("interfaces")))
@@ -69,10 +68,8 @@ def corpus(files: DataFrame) -> Corpus:
 def tokens(files: DataFrame) -> DataFrame:
     """file_ord, token: identifiers of C# files(file_ord, text) outside literals and comments."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        import re
+    def run(b: pa.RecordBatch) -> pa.RecordBatch:
+        found = [(o, t) for o, s in zip(*(c.to_pylist() for c in b.columns), strict=True) for t in re.findall(r"\b[A-Za-z_]\w*", csharp.blanked(s or ""))]
+        return pa.RecordBatch.from_arrays([pa.array([o for o, _ in found], pa.int64()), pa.array([t for _, t in found], pa.string())], names=["file_ord", "token"])
 
-        for b in batches:
-            yield pd.DataFrame([(o, t) for o, s in zip(b.file_ord, b.text, strict=True) for t in re.findall(r"\b[A-Za-z_]\w*", csharp.blanked(s or ""))], columns=["file_ord", "token"])
-
-    return files.select("file_ord", "text").mapInPandas(run, "file_ord long, token string")
+    return map_texts(files.select(F.col("file_ord").cast("long"), "text"), run, "file_ord long, token string")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
+from pyspark.sql.classic.dataframe import DataFrame
+
 from lodestrata.operators import context
 
 
@@ -14,3 +17,22 @@ def test_many_keywords_are_not_broadcast(spark):
     found = {r.file_ord: r.score for r in scored.collect()}
     assert len(found) == n and found[0] == 10 + 4 + 20 and found[12] == 20 + 10 and found[5000] == 20 + 3 * 10  # Customer12 holds Customer1, Customer5000 three others
     assert "Broadcast" not in scored._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parsers_get_their_batches_in_slices(spark, monkeypatch):
+    from lodestrata.operators import edits, rules
+    from lodestrata.plans import shared
+    from lodestrata.sources import code, markup
+
+    batch = pa.RecordBatch.from_pydict({"file_ord": list(range(100)), "text": ["x" * 100_000] * 99 + [None]})
+    parts = list(shared.slices(batch))
+    assert sum(p.num_rows for p in parts) == 100 and max(p.nbytes for p in parts) <= shared.SLICE
+    seen = []
+    monkeypatch.setattr(DataFrame, "mapInPandas", lambda *a: seen.append(a))
+    files = spark.sql("select 1 as file_ord, 'a.py' as file_path, 'a.py' as relative_path, 'a.py' as file_name, '.py' as extension, 9 as size_bytes, 'def f(): g()' as text")
+    assert code.corpus(files.withColumn("content", files["text"].cast("binary"))).call_sites.count() == 2
+    assert [r.token for r in code.tokens(files).collect()] == ["def", "f", "g"]
+    assert edits.diffs(files.selectExpr("file_ord", "text as old", "'b' as new")).first().is_rewrite
+    assert rules.rule_matches(files, {"findpattern": "f"}).count() == 2
+    assert markup.nodes(files.selectExpr("file_ord", "'<Grid/>' as text")).count() == 1
+    assert not seen
