@@ -121,10 +121,11 @@ class IndexStore:
         return of.shown(state.filter(F.col(of.key).isin(keys)) if keys is not None else state)
 
     def _write(self, name: str, rows: DataFrame, key: str) -> tuple[str, set[int]]:
-        """Writes rows by buckets of a key; the generation and the buckets that have rows."""
+        """Writes rows by buckets of a key; the generation and the buckets that have rows. A bucket that is large is several tasks and files: what a task
+        holds does not grow with the corpus, however few the buckets are."""
         generation = uuid.uuid4().hex
         at = f"{self.root}/data/{name}/{generation}"
-        rows.withColumn("bucket", self._bucket(key)).repartition(self.buckets, "bucket").write.partitionBy("bucket").parquet(at)
+        rows.withColumn("bucket", self._bucket(key)).hint("rebalance", "bucket").write.partitionBy("bucket").parquet(at)
         found = self._fs.listStatus(self._path(at))
         return generation, {int(n.split("=")[1]) for n in (s.getPath().getName() for s in found) if n.startswith("bucket=")}
 

@@ -36,3 +36,20 @@ def test_parsers_get_their_batches_in_slices(spark, monkeypatch):
     assert rules.rule_matches(files, {"findpattern": "f"}).count() == 2
     assert markup.nodes(files.selectExpr("file_ord", "'<Grid/>' as text")).count() == 1
     assert not seen
+
+
+def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
+    from lodestrata.plans.store import IndexStore
+
+    name = "spark.sql.adaptive.advisoryPartitionSizeInBytes"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "20000")
+    try:
+        store = IndexStore(spark, f"file://{tmp_path}/s", buckets=1)
+        rows = spark.range(0, 40_000, 1, 8).selectExpr("concat('f', id) as file_path", "id as file_ord")
+        generation, buckets = store._write("files", rows, "file_path")
+    finally:
+        spark.conf.set(name, before)
+    at = tmp_path / "s" / "data" / "files" / generation / "bucket=0"
+    assert buckets == {0} and len(list(at.glob("*.parquet"))) > 1
+    assert spark.read.parquet(f"file://{at}").count() == 40_000
