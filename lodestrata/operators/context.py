@@ -106,7 +106,8 @@ def select_within(ranked: DataFrame, max_files: int, budget: int, first_always:
 def first_pass(scored: DataFrame, files: DataFrame, max_files: int = MAX_FILES, max_tokens: int = MAX_TOKENS) -> DataFrame:
     """The first files under 70 % of the budget, from all that score at all: in each round, of the files ranked after the last
     pick, the best that fits what is left. The first is taken whatever its size."""
-    ranked = scored.filter("score > 0").join(files.select("file_ord", F.col("estimated_tokens").cast("long").alias("tokens")), "file_ord").select("file_ord", "score", "tokens")
+    sized = files.select("file_ord", F.col("estimated_tokens").cast("long").alias("tokens")).hint("merge")  # a row for each file: as scored, nothing for the driver to hold
+    ranked = scored.filter("score > 0").join(sized, "file_ord").select("file_ord", "score", "tokens")
     ranked, left = cut(ranked, "ranked"), int(max_tokens * FIRST_PASS)
     picked: list = []
     while len(picked) < max(3, max_files // 2):

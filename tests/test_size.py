@@ -19,6 +19,14 @@ def test_many_keywords_are_not_broadcast(spark):
     assert "Broadcast" not in scored._jdf.queryExecution().executedPlan().toString()
 
 
+def test_ranked_files_are_not_broadcast(spark, monkeypatch):
+    seen = []
+    monkeypatch.setattr(context, "cut", lambda df, tag: seen.append(df) or df)
+    scored, files = spark.sql("select id as file_ord, double(id) as score from range(9)"), spark.sql("select id as file_ord, 10 as estimated_tokens from range(9)")
+    assert [r.file_ord for r in context.first_pass(scored, files).collect()] == [8, 7, 6, 5, 4]
+    assert "Broadcast" not in seen[0]._jdf.queryExecution().executedPlan().toString()
+
+
 def test_parsers_get_their_batches_in_slices(spark, monkeypatch):
     from lodestrata.operators import edits, rules
     from lodestrata.plans import shared
