@@ -61,3 +61,55 @@ def test_a_large_bucket_is_written_by_several_tasks(spark, tmp_path):
     at = tmp_path / "s" / "data" / "files" / generation / "bucket=0"
     assert buckets == {0} and len(list(at.glob("*.parquet"))) > 1
     assert spark.read.parquet(f"file://{at}").count() == 40_000
+
+
+def test_texts_of_a_group_are_read_once_for_its_pairs(spark, monkeypatch):
+    """Near copies are alike pair by pair; no step gets a row with the texts of each pair."""
+    import random
+
+    from lodestrata.operators import duplicates
+
+    r = random.Random(5)
+    base = "".join(r.choice("abcdefgh ") for _ in range(900))
+    texts = ["".join(c if r.random() > 0.004 else "x" for c in base) + str(i) for i in range(60)]
+    sets = [{t[i : i + 5] for i in range(len(t) - 4)} for t in texts]
+    want = {(i, j, p) for i in range(60) for j in range(i + 1, 60) if (p := int(len(sets[i] & sets[j]) / len(sets[i] | sets[j]) * 100)) >= 80}
+    rows, seen, mapped = spark.createDataFrame(list(enumerate(texts)), "ord long, body string"), [], DataFrame.mapInArrow
+
+    def counted(df, *a, **b):
+        if any("body" in c for c in df.columns):
+            seen.append(df.count())
+        return mapped(df, *a, **b)
+
+    monkeypatch.setattr(DataFrame, "mapInArrow", counted)
+    if hasattr(duplicates, "GROUP_ROWS"):
+        monkeypatch.setattr(duplicates, "GROUP_ROWS", 20)  # several parts in the group
+    assert {tuple(p) for p in duplicates.similar_pairs(rows, 80).collect()} == want and len(want) > 1000
+    assert max(seen) <= 60
+
+
+def test_clusters_of_a_long_chain_take_few_rounds(spark, monkeypatch):
+    import random
+
+    from lodestrata.operators import duplicates
+
+    def greedy(pairs):
+        taken, out = set(), set()
+        for seed in sorted({p for pair in pairs for p in pair}):
+            if seed not in taken:
+                mine = [b for a, b in sorted(pairs) if a == seed and b not in taken]
+                taken |= {seed, *mine}
+                out |= {(seed, b) for b in [seed, *mine] if mine}
+        return out
+
+    r = random.Random(1)
+    chain, some = {(i, i + 1) for i in range(40)}, {tuple(sorted(r.sample(range(60), 2))) for _ in range(90)}
+    seen, cut = [], duplicates.cut
+    monkeypatch.setattr(duplicates, "cut", lambda df, tag: seen.append(tag) or cut(df, tag))
+    for pairs, few in ((chain, None), (some, None), (some, 3)):
+        if few is not None and hasattr(duplicates, "FEW_PAIRS"):
+            monkeypatch.setattr(duplicates, "FEW_PAIRS", few)  # rounds, and an end
+        table = spark.createDataFrame([(a, b, 90) for a, b in pairs], "a long, b long, similarity int")
+        assert {(x.seed, x.ord) for x in duplicates.clusters(table, table).collect()} == greedy(pairs)
+        assert few is not None or len(seen) < 8
+        seen.clear()
