@@ -5,13 +5,12 @@ from __future__ import annotations
 import difflib
 from itertools import islice
 
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions.text import escaped, namespace_of, stem
-from ..plans.shared import map_texts, numbered
+from ..plans.shared import numbered
 
 
 def replace_once(files: DataFrame, old: str, new: str) -> DataFrame:
@@ -139,15 +138,14 @@ def diffs(pairs: DataFrame, context: int = 3, limit: int = 100) -> DataFrame:
     """file_ord, diff, is_rewrite of pairs(file_ord, old, new): a unified difference of at most limit lines; a rewrite has less than a
     fifth of its lines equal in place. Hunks may be chosen otherwise than by other tools."""
 
-    def run(b: pa.RecordBatch) -> pa.RecordBatch:
-        found, rewrites = [], []
-        for old, new in zip(b.column("old").to_pylist(), b.column("new").to_pylist(), strict=True):
-            x, y = old.split("\n"), new.split("\n")
-            found.append("\n".join(islice(difflib.unified_diff(x, y, lineterm="", n=context), limit)))
-            rewrites.append(sum(p == q for p, q in zip(x, y, strict=False)) < 0.2 * max(len(x), len(y)))
-        return pa.RecordBatch.from_arrays([b.column("file_ord"), pa.array(found, pa.string()), pa.array(rewrites, pa.bool_())], names=["file_ord", "diff", "is_rewrite"])
+    # By rows, not by Arrow: Spark gives such a function 100 rows at a time, an Arrow batch has up to 10,000 pairs of texts.
+    @F.udf("diff string, is_rewrite boolean", useArrow=False)
+    def difference(old: str, new: str) -> tuple[str, bool]:
+        x, y = old.split("\n"), new.split("\n")
+        found = "\n".join(islice(difflib.unified_diff(x, y, lineterm="", n=context), limit))
+        return found, sum(p == q for p, q in zip(x, y, strict=False)) < 0.2 * max(len(x), len(y))
 
-    return map_texts(pairs.select(F.col("file_ord").cast("long"), "old", "new"), run, "file_ord long, diff string, is_rewrite boolean")
+    return pairs.select(F.col("file_ord").cast("long").alias("file_ord"), difference("old", "new").alias("d")).select("file_ord", "d.diff", "d.is_rewrite")
 
 
 def matches_of_lines(lines: DataFrame, old: str) -> DataFrame:

@@ -113,3 +113,40 @@ def test_clusters_of_a_long_chain_take_few_rounds(spark, monkeypatch):
         assert {(x.seed, x.ord) for x in duplicates.clusters(table, table).collect()} == greedy(pairs)
         assert few is not None or len(seen) < 8
         seen.clear()
+
+
+def test_texts_to_compare_reach_python_a_few_at_a_time(spark):
+    """A worker does not hold all pairs of a batch of 10,000: memory of the workers hardly grows over pairs of 300 MB."""
+    import threading
+
+    import psutil
+
+    from lodestrata.operators import edits
+
+    def held() -> int:
+        total = 0
+        for p in psutil.Process().children(recursive=True):
+            try:
+                total += p.memory_full_info().uss if "pyspark" in " ".join(p.cmdline()) and "java" not in p.name() else 0
+            except psutil.Error:  # it has ended meanwhile
+                pass
+        return total
+
+    text = "concat_ws('\\n', 'a', repeat(concat(id, ' word '), 4000))"
+    pairs = lambda n: spark.range(0, n, 1, 1).selectExpr("id as file_ord", f"{text} as old", f"concat('b', substring({text}, 2)) as new")
+    edits.diffs(pairs(300)).count()  # a worker is there
+    before, most, over = held(), [0], threading.Event()
+
+    def watch() -> None:
+        while not over.is_set():
+            most[0] = max(most[0], held())
+
+    watching = threading.Thread(target=watch)
+    watching.start()
+    try:
+        rows = edits.diffs(pairs(4000)).selectExpr("count(*)", "count_if(startswith(diff, '--- \\n+++ \\n@@ -1,2 +1,2 @@\\n-a\\n+b\\n '))", "count_if(is_rewrite)").first()
+    finally:
+        over.set()
+        watching.join()
+    assert tuple(rows) == (4000, 4000, 0)
+    assert before and most[0] - before < 60e6
