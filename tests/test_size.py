@@ -150,3 +150,38 @@ def test_texts_to_compare_reach_python_a_few_at_a_time(spark):
         watching.join()
     assert tuple(rows) == (4000, 4000, 0)
     assert before and most[0] - before < 60e6
+
+
+def test_pairs_of_blocks_are_not_shuffled(spark, monkeypatch):
+    """A row that holds two blocks goes to Python where it is made, and blocks go when no later step reads them."""
+    import random
+
+    from lodestrata.operators import duplicates
+
+    r = random.Random(8)
+    texts = ["".join(r.choice("abcdefgh ") for _ in range(n)) for n in [40] * 60 + [900] * 60]
+    texts += [t[:-1] + "x" for t in texts]
+    rows, seen, released, mapped, release = spark.createDataFrame(list(enumerate(texts)), "ord long, body string"), [], [], DataFrame.mapInArrow, duplicates.release
+    monkeypatch.setattr(DataFrame, "mapInArrow", lambda df, *a, **b: seen.append(df) or mapped(df, *a, **b))
+    monkeypatch.setattr(duplicates, "release", lambda *t: released.extend(t) or release(*t))
+    monkeypatch.setattr(duplicates, "SHORT_ROWS", 8)
+    monkeypatch.setattr(duplicates, "BLOCK_ROWS", 8)
+    assert {(p.a, p.b) for p in duplicates.similar_pairs(rows, 90).collect()} == {(i, i + 120) for i in range(120)}
+    plans = [df._jdf.queryExecution().optimizedPlan().toString() for df in seen if "x_block" in df.columns]
+    assert len(plans) == 2 and all("Repartition" not in p.split("Join")[0] for p in plans)
+    assert len(released) >= 3
+
+
+def test_texts_are_shuffled_once_and_shuffle_files_go(spark):
+    import tempfile
+    from pathlib import Path
+
+    from lodestrata.operators import duplicates
+
+    def files() -> set[Path]:
+        return set(Path(spark.conf.get("spark.local.dir", tempfile.gettempdir())).glob("**/blockmgr-*/*/shuffle_*.data"))
+
+    rows, before = spark.range(0, 2000, 1, 4).selectExpr("id as ord", "concat(repeat(sha2(string(id % 1900), 256), 3)) as body", "1 as n_lines"), files()
+    classes, members = duplicates.text_classes(rows)
+    assert not files() - before
+    assert classes.count() == 1900 and members.filter("class <> ord").count() == 100
