@@ -185,3 +185,22 @@ def test_texts_are_shuffled_once_and_shuffle_files_go(spark):
     classes, members = duplicates.text_classes(rows)
     assert not files() - before
     assert classes.count() == 1900 and members.filter("class <> ord").count() == 100
+
+
+def test_tables_of_pairs_go_when_no_later_step_reads_them(spark, monkeypatch):
+    from lodestrata.operators import duplicates
+
+    texts = ["abcdefgh " * n for n in range(60, 90)] + ["some words", "some word", "others"]
+    rows, tags, gone = spark.createDataFrame([(i, t, 1) for i, t in enumerate(texts + texts[-3:])], "ord long, body string, n_lines int"), {}, []
+    cut, release = duplicates.cut, duplicates.release
+
+    def written(df, tag):
+        out = cut(df, tag)
+        tags[out] = tag
+        return out
+
+    monkeypatch.setattr(duplicates, "cut", written)
+    monkeypatch.setattr(duplicates, "release", lambda *t: gone.extend(t) or release(*t))
+    found = {(r.a, r.b, r.a_rows, r.b_rows) for r in duplicates.row_pairs(rows, 80).collect()}
+    assert (30, 31, 2, 2) in found and (0, 1, 1, 1) in found
+    assert sorted(tag for df, tag in tags.items() if all(df is not t for t in gone)) == ["short", "similar", "texts", "units"]
